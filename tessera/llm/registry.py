@@ -6,7 +6,11 @@ from importlib import import_module
 
 #: query name -> module of this package that defines it
 QUERIES = {
+    "op7_line_dedup": "line_dedup",
+    "op9_quality": "quality",
+    "op10_licenses": "licenses",
     "op3_bpe": "bpe",
+    "op5_decontaminate": "decontaminate",
     "op4_token_counts": "token_counts",
 }
 
