@@ -19,6 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -122,7 +123,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text") -
     path = path or vocabulary_path()
     new = ["n_words", "n_tokens", "n_unknown"]
     out = docs.select(*[c for c in docs.columns if c not in new])
-    schema = out.schema
+    schema = StructType(list(out.schema))
     for c in new:
         schema = schema.add(c, "long")
 
