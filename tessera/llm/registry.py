@@ -9,6 +9,7 @@ QUERIES = {
     "op7_line_dedup": "line_dedup",
     "op9_quality": "quality",
     "op10_licenses": "licenses",
+    "op6_simhash": "simhash",
     "op3_bpe": "bpe",
     "op5_decontaminate": "decontaminate",
     "op4_token_counts": "token_counts",
