@@ -10,6 +10,7 @@ QUERIES = {
     "op9_quality": "quality",
     "op10_licenses": "licenses",
     "op6_simhash": "simhash",
+    "op8_language": "langid",
     "op3_bpe": "bpe",
     "op5_decontaminate": "decontaminate",
     "op4_token_counts": "token_counts",
