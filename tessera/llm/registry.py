@@ -11,6 +11,7 @@ QUERIES = {
     "op10_licenses": "licenses",
     "op6_simhash": "simhash",
     "op8_language": "langid",
+    "op2_html_text": "html_text",
     "op3_bpe": "bpe",
     "op5_decontaminate": "decontaminate",
     "op4_token_counts": "token_counts",
