@@ -8,6 +8,8 @@ worked out once per class and joined back to the rows, so thousands of exact cop
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +82,25 @@ def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 1001):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.mapInArrow(function, schema)
+
+
+@contextmanager
+def shuffle_files_dropped(spark: SparkSession):
+    """Within, Spark deletes an execution's shuffle files as soon as it has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write an intermediate table as Parquet to the shared checkpoint folder and read it from there."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

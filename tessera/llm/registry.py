@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": "simhash",
     "op8_language": "langid",
     "op2_html_text": "html_text",
+    "op1_suffix_dedup": "suffix_dedup",
     "op3_bpe": "bpe",
     "op5_decontaminate": "decontaminate",
     "op4_token_counts": "token_counts",

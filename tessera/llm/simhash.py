@@ -17,7 +17,6 @@ none) or repeated, each row gives one row; an empty table gives none; other colu
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +33,6 @@ RADIUS = 4
 ROUNDS = 8
 #: Fingerprints per block that one task expands at a time (x 2081 variants / ROUNDS x 16 bytes).
 BLOCK = 4096
-#: Shuffle partitions of a round per shuffle partition of the session.
 BITS = 64
 
 
@@ -79,21 +77,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@contextmanager
-def shuffle_files_dropped(spark: SparkSession):
-    """Within, Spark deletes an execution's shuffle files as soon as it has ended."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def round_links(distinct: DataFrame, this: int, rounds: int, parts: int, radius: int) -> DataFrame:
     """(a, b): links a < b (unsigned) found by the variants of one round."""
     half = masks(radius // 2)
@@ -159,7 +142,7 @@ def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFra
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks(radius // 2)) // rounds // 1_000_000 + 1)
     spread = distinct.repartition(max(1, min(parts, n // BLOCK + 1)))
     found = None
-    with shuffle_files_dropped(spark):
+    with common.shuffle_files_dropped(spark):
         for this in range(rounds):
             made = common.cut(round_links(spread, this, rounds, parts, radius))
             found = made if found is None else found.unionByName(made)
