@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -55,15 +56,18 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(sum(1 << i for i in range(BITS) if 2 * counts[i] > n))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp as signed long) of every row of (doc_id, text)."""
+def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Every row with its fp (signed long); other columns stay, one of that name is replaced."""
+    out = docs.select(*[c for c in docs.columns if c != "fp"])
+    schema = StructType(list(out.schema)).add("fp", "long")
 
     def run(batches):
         for batch in batches:
-            made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["doc_id", "fp"])
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            made = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], [*batch.schema.names, "fp"])
 
-    return common.by_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return common.by_batches(out, run, schema)
 
 
 def masks(radius: int) -> np.ndarray:
@@ -170,14 +174,28 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def groups(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of (doc_id, fp).
+
+    root names the component; component_id is its smallest doc_id.
+    """
+    roots = components(links(fps, radius, rounds)).withColumnRenamed("node", "fp")
+    own = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return common.cut(own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
-    fps = common.cut(fingerprints(docs))
-    roots = components(links(fps, radius, rounds))
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = common.cut(own.join(least, "root").select("fp", "component_id"))
-    return fps.join(member, "fp", "left")
+    """(doc_id, fp, root, component_id) of every row of (doc_id, text)."""
+    fps = common.cut(fingerprints(docs.select("doc_id", "text")).drop("text"))
+    return fps.join(groups(fps, radius, rounds), "fp", "left")
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+    """One row of each component, with the columns of docs: the one with the smallest doc_id."""
+    marked = common.written(fingerprints(docs.withColumnRenamed("fp", "own fp") if "fp" in docs.columns else docs))
+    found = groups(marked.select("doc_id", "fp"), radius, rounds)
+    first = marked.join(found, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return first.select(*[F.col("own fp").alias("fp") if c == "fp" and "own fp" in first.columns else F.col(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
