@@ -103,7 +103,8 @@ def mean_score(*parts: Column) -> Column:
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return F.least(F.lit(1.0), total / F.lit(float(len(parts))))
+    mean = total / F.lit(float(len(parts)))
+    return F.when(mean > 1.0, 1.0).otherwise(mean)  # null if a part is null
 
 
 def clamp(x: Column) -> Column:
