@@ -100,14 +100,10 @@ def entity_types(t: Tables) -> DataFrame:
 
 def subclass(t: Tables) -> DataFrame:
     """(child, parent): types of parts are products, products and people are things."""
-    return union(
-        t.part.select(concept(F.col("p_type")).alias("child"), F.lit("concept:product").alias("parent")).distinct(),
-        t.region.select(F.lit("concept:product").alias("child"), F.lit("concept:thing").alias("parent")).distinct(),
-        t.region.select(F.lit("concept:person").alias("child"), F.lit("concept:thing").alias("parent")).distinct(),
-        t.region.select(F.lit("concept:nation").alias("child"), F.lit("concept:place").alias("parent")).distinct(),
-        t.region.select(F.lit("concept:region").alias("child"), F.lit("concept:place").alias("parent")).distinct(),
-        t.region.select(F.lit("concept:place").alias("child"), F.lit("concept:thing").alias("parent")).distinct(),
-    )
+    upper = [("product", "thing"), ("person", "thing"), ("nation", "place"), ("region", "place"), ("place", "thing")]
+    pairs_ = F.array(*[F.struct(F.lit(f"concept:{a}").alias("child"), F.lit(f"concept:{b}").alias("parent")) for a, b in upper])
+    above = t.region.limit(1).select(F.explode(pairs_).alias("x")).select("x.*")
+    return t.part.select(concept(F.col("p_type")).alias("child")).distinct().withColumn("parent", F.lit("concept:product")).unionByName(above)
 
 
 def event_symbol(key: Column) -> Column:
