@@ -102,8 +102,9 @@ def subclass(t: Tables) -> DataFrame:
     """(child, parent): types of parts are products, products and people are things."""
     upper = [("product", "thing"), ("person", "thing"), ("nation", "place"), ("region", "place"), ("place", "thing")]
     pairs_ = F.array(*[F.struct(F.lit(f"concept:{a}").alias("child"), F.lit(f"concept:{b}").alias("parent")) for a, b in upper])
+    # Written as an expression of `child`: Spark 4.1 can't checkpoint a union in which a branch has a literal column.
     above = t.region.limit(1).select(F.explode(pairs_).alias("x")).select("x.*")
-    return t.part.select(concept(F.col("p_type")).alias("child")).distinct().withColumn("parent", F.lit("concept:product")).unionByName(above)
+    return t.part.select(concept(F.col("p_type")).alias("child")).distinct().withColumn("parent", F.regexp_replace("child", "^.*$", "concept:product")).unionByName(above)
 
 
 def event_symbol(key: Column) -> Column:
