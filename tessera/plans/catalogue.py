@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: modules of this package that define QUERIES and ORACLES
-MODULES = ["store_queries", "answer_queries", "rule_queries"]
+MODULES = ["store_queries", "answer_queries", "rule_queries", "diagnose_queries"]
 
 
 def _merged(attribute: str) -> dict:
