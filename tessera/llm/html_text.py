@@ -54,6 +54,10 @@ MARKS = frozenset(
 )
 
 
+#: Running text counts this much less for each level that a container is farther up.
+FARTHER = 0.8
+
+
 class Element:
     __slots__ = ("tag", "path", "apart", "parent", "depth", "score")
 
@@ -160,12 +164,20 @@ def scored(source: str) -> tuple[list[tuple[Element, str]], Element | None]:
             kept.append((element, text))
         # Blocks count for the elements around them, not for the block's own element.
         above = element.parent if element.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt") and element.parent else element
+        share = 1.0
         while above is not None:
-            above.score += gain
+            above.score += gain * share if gain > 0 else gain
             seen[id(above)] = above
-            above = above.parent
+            above, share = above.parent, share * FARTHER
     inside = [e for e in seen.values() if not e.apart]
-    return kept, max(inside, key=lambda e: (e.score, e.depth), default=None)
+    best = max(inside, key=lambda e: (e.score, e.depth), default=None)
+    # A part of an article or main element stands for the whole of it.
+    above = best
+    while above is not None:
+        if above.tag in ("article", "main") and not above.apart:
+            best = above
+        above = above.parent
+    return kept, best
 
 
 def extract(source: str, path: str | None = None) -> str:
