@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from . import common
 
@@ -142,7 +142,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text")
     path = path or vocabulary_path()
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
     out = docs.select(*kept)
-    schema = StructType(list(out.schema)).add("ids", "array<int>").add("n_tokens", "long").add("decoded", "string")
+    schema = StructType(list(out.schema)).add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded", "string")
 
     def run(batches):
         bpe = word_bpe(path)
