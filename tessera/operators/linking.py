@@ -93,14 +93,14 @@ def nearest_centroid(vectors: DataFrame, key: str, vector: str, centres: DataFra
     """(key, cluster, score): the centre with the largest cosine; centres are few and meet by slot."""
     each = vectors.select(key, F.posexplode(vector).alias("slot", "v"))
     size = F.sqrt(F.sum(F.col("v").cast("double") * F.col("v")).over(Window.partitionBy(key)))
-    dots = each.withColumn("u", F.col("v").cast("double") / size).join(F.broadcast(centres), "slot").groupBy(key, cluster).agg(F.sum(F.col("u") * F.col("value")).alias("score"))
+    dots = each.withColumn("u", F.col("v").cast("double") / size).join(centres, "slot").groupBy(key, cluster).agg(F.sum(F.col("u") * F.col("value")).alias("score"))
     return dots.groupBy(key).agg(F.max_by(F.struct(F.col(cluster), "score"), "score").alias("x")).select(key, f"x.{cluster}", "x.score")
 
 
 def nearest_marker(texts: DataFrame, resources: DataFrame, markers: DataFrame) -> DataFrame:
     """(key, at, marker, resource, distance): each marker word with the resource word (both tables of `term`) at the least distance."""
     each = texts.select("key", F.posexplode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("pos", "term"))
-    a = each.join(F.broadcast(markers.distinct()), "term", "left_semi").select("key", F.col("pos").alias("mp"), F.col("term").alias("marker"))
+    a = each.join(markers.distinct(), "term", "left_semi").select("key", F.col("pos").alias("mp"), F.col("term").alias("marker"))
     b = each.join(resources.distinct(), "term", "left_semi").select("key", F.col("pos").alias("rp"), F.col("term").alias("resource"))
     # The nearest to the left and to the right by one pass over the merged positions of a text.
     both = a.select("key", F.col("mp").alias("pos"), F.lit(1).alias("kind"), F.col("marker").alias("w")).unionByName(b.select("key", F.col("rp").alias("pos"), F.lit(0).alias("kind"), F.col("resource").alias("w")))

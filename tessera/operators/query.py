@@ -18,7 +18,7 @@ NEUTRAL_FOCUS = 0.6
 def rewrites(predicates: DataFrame, flags: DataFrame, inverse: DataFrame, subprop: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(p, p2, swap, qmatch): predicates that also answer p.
 
-    Direct and sub-properties 1.0; aliases 1.0; symmetric ones swapped 0.85; inverses and their
+    Direct ones, sub-properties, aliases, and symmetric ones swapped 1.0; inverses and their
     sub-properties swapped 0.9. Of several ways to one (p, p2, swap) the best stays.
     """
     own = predicates.select("p").distinct()
@@ -27,7 +27,7 @@ def rewrites(predicates: DataFrame, flags: DataFrame, inverse: DataFrame, subpro
     below = subprop.select(F.col("parent"), F.col("child"))
     found = way(own, F.col("p"), False, 1.0)
     found = found.union(way(own.join(below, F.col("p") == F.col("parent")), F.col("child"), False, 1.0))
-    found = found.union(way(own.join(flags.filter("symmetric").select("p"), "p"), F.col("p"), True, 0.85))
+    found = found.union(way(own.join(flags.filter("symmetric").select("p"), "p"), F.col("p"), True, 1.0))
     turned = own.join(inverses, "p")
     found = found.union(way(turned, F.col("inv"), True, 0.9))
     found = found.union(way(turned.join(below, F.col("inv") == F.col("parent")), F.col("child"), True, 0.9))
@@ -38,7 +38,7 @@ def rewrites(predicates: DataFrame, flags: DataFrame, inverse: DataFrame, subpro
 
 def matched(goals: DataFrame, facts: DataFrame, rewrite: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Goals with their rewritten predicates, and facts read both ways (a: near end, b: far end)."""
-    ways = goals.join(F.broadcast(rewrite).withColumnRenamed("p", "predicate"), "predicate")
+    ways = goals.join(rewrite.withColumnRenamed("p", "predicate"), "predicate")
     turned = facts.select(F.col("p").alias("p2"), F.explode(F.array(F.struct(F.lit(False).alias("swap"), F.col("s").alias("a"), F.col("o").alias("b")), F.struct(F.lit(True).alias("swap"), F.col("o").alias("a"), F.col("s").alias("b")))).alias("e"), "s", "p", "o", "conf", "seq").select("p2", "e.*", "s", "p", "o", "conf", "seq")
     return ways, turned
 
@@ -56,6 +56,14 @@ def relation_query(goals: DataFrame, facts: DataFrame, rewrite: DataFrame) -> Da
     return left.select(*cols, F.col("f.b").alias("answer")).unionByName(right.select(*cols, F.col("f.a").alias("answer")))
 
 
+def symmetric_fallback(goals: DataFrame, candidates: DataFrame, facts: DataFrame, symmetric: DataFrame) -> DataFrame:
+    """For object-bound goals without an answer: facts of a symmetric predicate that have the object as subject, at 0.85."""
+    open_ = goals.filter("object IS NOT NULL AND subject IS NULL").join(candidates.select("goal_id").distinct(), "goal_id", "left_anti")
+    asked = open_.join(symmetric.select(F.col("p").alias("predicate")), "predicate", "left_semi")
+    found = asked.join(facts, (F.col("predicate") == F.col("p")) & (F.col("object") == F.col("s")))
+    return found.select("goal_id", F.lit(0.85).alias("qmatch"), "s", "p", "o", "conf", "seq", F.col("o").alias("answer"))
+
+
 def open_query(goals: DataFrame, facts: DataFrame) -> DataFrame:
     """Neither side bound: subjects of the predicate."""
     open_ = goals.filter("subject IS NULL AND object IS NULL")
@@ -98,7 +106,7 @@ def typed(candidates: DataFrame, goals: DataFrame, types: DataFrame, compatible:
 
     types (id, type); compatible (type, wider) holds each type with itself and what it is below.
     """
-    wide = types.join(F.broadcast(compatible), "type").select(F.col("id").alias("answer"), F.col("wider").alias("expected_type")).distinct().withColumn("fits", F.lit(True))
+    wide = types.join(compatible, "type").select(F.col("id").alias("answer"), F.col("wider").alias("expected_type")).distinct().withColumn("fits", F.lit(True))
     known = types.select(F.col("id").alias("answer")).distinct().withColumn("known", F.lit(True))
     asked = candidates.join(goals.select("goal_id", "expected_type"), "goal_id")
     seen = asked.join(wide, ["answer", "expected_type"], "left").join(known, "answer", "left")

@@ -132,7 +132,7 @@ def conjoined(facts: DataFrame) -> DataFrame:
 def vocabulary_predicate(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """(key, predicate): the first word whose stem is a known predicate."""
     each = df.select(key, F.posexplode(words(F.col(text))).alias("pos", "word")).withColumn("predicate", exprs.verb_stem(F.col("word")))
-    return each.join(F.broadcast(vocabulary), "predicate", "left_semi").groupBy(key).agg(F.min_by("predicate", "pos").alias("predicate"))
+    return each.join(vocabulary, "predicate", "left_semi").groupBy(key).agg(F.min_by("predicate", "pos").alias("predicate"))
 
 
 def best_parse(df: DataFrame, key: str) -> DataFrame:

@@ -81,7 +81,7 @@ def rel_query_object(t: Tables):
     return got.select("goal_id", "answer", F.round(exprs.mean_score(F.col("qmatch"), F.lit(1.0), F.col("conf"), F.lit(0.6)), 6).alias("head_score"))
 
 
-@query("rel_symmetric", with_views("pairs") + " SELECT CAST(substr(o, 17) AS BIGINT) AS goal_id, s AS answer, 0.85::DOUBLE AS qmatch, round(least(1, (0.85 + 1 + conf + 0.6) / 4), 6) AS head_score FROM pairs")
+@query("rel_symmetric", with_views("pairs") + " SELECT CAST(substr(o, 17) AS BIGINT) AS goal_id, s AS answer, 1.0::DOUBLE AS qmatch, round(least(1, (1.0 + 1 + conf + 0.6) / 4), 6) AS head_score FROM pairs")
 def rel_symmetric(t: Tables):
     """Supplier S is with what? The facts say it the other way round."""
     goals = goal(t.supplier, F.col("s_suppkey"), facts.symbol("supplier", F.col("s_suppkey")), "with", None)
@@ -89,6 +89,15 @@ def rel_symmetric(t: Tables):
     return got.select("goal_id", "answer", "qmatch", F.round(exprs.mean_score(F.col("qmatch"), F.lit(1.0), F.col("conf"), F.lit(0.6)), 6).alias("head_score"))
 
 
+@query("symmetric_fallback", with_views("pairs") + " SELECT CAST(substr(s, 13) AS BIGINT) AS goal_id, o AS answer, 0.85::DOUBLE AS qmatch FROM pairs")
+def symmetric_fallback(t: Tables):
+    """? poweredBy part P: no fact has the part as object; were the predicate symmetric, the part's own facts answer."""
+    own = facts.part_powered_by(t)
+    goals = goal(t.part, F.col("p_partkey"), None, "poweredBy", facts.symbol("part", F.col("p_partkey")))
+    symmetric = t.region.limit(1).select(F.lit("poweredBy").alias("p"))
+    return ask.symmetric_fallback(goals, ask.relation_query(goals, own, axioms(t)), own, symmetric).select("goal_id", "answer", "qmatch")
+
+
 @query("rel_inverse", with_views("places") + " SELECT o AS place, s AS answer, 0.9::DOUBLE AS qmatch FROM places")
 def rel_inverse(t: Tables):
     """Place P contains what? `contains` is the inverse of `in`, and `locatedIn` is below `in`."""
@@ -205,8 +214,8 @@ def range_alignment(t: Tables):
     ranges = t.region.limit(1).select(F.explode(F.array(F.struct(F.lit("locatedIn").alias("p"), F.lit("concept:nation").alias("range")), F.struct(F.lit("in").alias("p"), F.lit("concept:region").alias("range")))).alias("r")).select("r.*")
     wide = compatible(t)
     placed = ranges.join(wide, F.col("range") == F.col("type")).filter("wider = 'concept:place'").select("p").distinct()
-    who = facts.entity_types(t).join(F.broadcast(wide), "type").filter("wider = 'concept:person'").select(F.col("id").alias("s")).distinct()
-    got = facts.places(t).join(F.broadcast(placed), "p", "left_semi").join(who, "s", "left_semi")
+    who = facts.entity_types(t).join(wide, "type").filter("wider = 'concept:person'").select(F.col("id").alias("s")).distinct()
+    got = facts.places(t).join(placed, "p", "left_semi").join(who, "s", "left_semi")
     return got.select(F.col("s").alias("subject"), F.col("o").alias("answer"), F.round(exprs.mean_score(F.lit(0.9), F.lit(1.0), F.lit(1.0), F.col("conf")), 6).alias("head_score"))
 
 

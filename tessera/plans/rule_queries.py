@@ -243,7 +243,7 @@ def type_bridge(t: Tables):
     """Entities with their types and everything above those."""
     up = ontology.closure(facts.subclass(t), "child", "parent")
     own = facts.entity_types(t)
-    return own.union(own.join(F.broadcast(up), F.col("type") == F.col("child")).select("id", F.col("parent").alias("type"))).distinct()
+    return own.union(own.join(up, F.col("type") == F.col("child")).select("id", F.col("parent").alias("type"))).distinct()
 
 
 QUERIES, ORACLES = query.queries, query.oracles
