@@ -32,7 +32,7 @@ def rank(df: DataFrame, goal: str = "goal_id", payload: str = "answer") -> DataF
     """
     have = lambda name, order: [order(name)] if name in df.columns else []
     order = [F.desc("score"), *have("ontology_support", F.asc), *have("n_evidence", F.desc), *have("depth", F.asc), *have("producer", F.asc), F.asc(payload)]
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(goal).orderBy(*order)))
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(goal).orderBy(*order)).cast("long"))
 
 
 def winner(ranked: DataFrame, goal: str = "goal_id") -> DataFrame:
@@ -76,4 +76,4 @@ def top_specific(df: DataFrame, by: str, value: str, keep: int, without_losses:
     own = df.filter(~has_loss(F.col(value))) if without_losses else df
     scored = own.withColumn("specificity", F.round(specificity(F.col(value)), 6))
     order = Window.partitionBy(by).orderBy(F.desc("specificity"), value)
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+    return scored.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= keep)

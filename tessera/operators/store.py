@@ -70,7 +70,7 @@ def recent(rows: DataFrame, session: str, value: str, seq: str, keep: int) -> Da
     """The last `keep` distinct values of each session, newest first (`place` from 1)."""
     last = rows.groupBy(session, value).agg(F.max(seq).alias("last"))
     order = Window.partitionBy(session).orderBy(F.desc("last"), value)
-    return last.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+    return last.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= keep)
 
 
 def trace(candidates: DataFrame, depth: int) -> DataFrame:

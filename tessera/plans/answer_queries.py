@@ -178,7 +178,7 @@ def expected_type(t: Tables):
 
 @query(
     "person_preference",
-    """WITH c AS (SELECT c_nationkey AS goal_id, 'entity:customer_' || c_custkey AS answer, 1 AS tier FROM customer UNION ALL SELECT s_nationkey, 'entity:supplier_' || s_suppkey, 3 FROM supplier),
+    """WITH c AS (SELECT c_nationkey::BIGINT AS goal_id, 'entity:customer_' || c_custkey AS answer, 1 AS tier FROM customer UNION ALL SELECT s_nationkey, 'entity:supplier_' || s_suppkey, 3 FROM supplier),
   m AS (SELECT *, min(tier) OVER (PARTITION BY goal_id) AS best FROM c) SELECT goal_id, answer FROM m WHERE tier = best""",
 )
 def person_preference(t: Tables):
@@ -250,7 +250,7 @@ def subgoal_expansion(t: Tables):
     from pyspark.sql import Window
 
     kinds = t.part.select(facts.concept(F.col("p_type")).alias("entity_type")).distinct()
-    goals = kinds.withColumn("goal_id", F.row_number().over(Window.orderBy("entity_type"))).withColumn("depth", F.lit(0))  # a row per type
+    goals = kinds.withColumn("goal_id", F.row_number().over(Window.orderBy("entity_type")).cast("long")).withColumn("depth", F.lit(0))  # a row per type
     return ask.subgoals(goals, facts.entity_types(t), facts.part_with_supplier(t), ["with"]).withColumn("score", F.round("score", 6))
 
 
