@@ -63,14 +63,15 @@ def dedup_lines(docs: DataFrame, site: str = "source", least_sites: int = LEAST_
     """The same rows and columns with boilerplate lines taken out of `text`, plus n_lines and n_removed."""
     lines = boilerplate(docs, site, least_sites)
     rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "k1", "k2")], *common.text_key(F.col("text")))
-    flagged = rows.join(removed_flags(docs, lines, site), ["k1", "k2"], "left")
+    flags = removed_flags(docs, lines, site).withColumnRenamed("goes", "__goes")
+    flagged = rows.join(flags, ["k1", "k2"], "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.get("goes", i)), "\n")
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.get("__goes", i)), "\n")
     return flagged.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"),
-            "n_removed": F.coalesce(F.size(F.filter("goes", lambda x: x)), F.lit(0)).cast("long"),
-            "text": F.when(F.col("goes").isNull(), F.col("text")).otherwise(kept),
+            "n_removed": F.coalesce(F.size(F.filter("__goes", lambda x: x)), F.lit(0)).cast("long"),
+            "text": F.when(F.col("__goes").isNull(), F.col("text")).otherwise(kept),
         }
     ).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "k1", "k2")], "n_lines", "n_removed")
 

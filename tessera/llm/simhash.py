@@ -192,10 +192,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS)
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
     """One row of each component, with the columns of docs: the one with the smallest doc_id."""
-    marked = common.written(fingerprints(docs.withColumnRenamed("fp", "own fp") if "fp" in docs.columns else docs))
+    whole = F.struct(*docs.columns).alias("row")  # so that no column of docs can clash with ours
+    marked = common.written(fingerprints(docs.select(whole, "doc_id", "text")).select("row", "doc_id", "fp"))
     found = groups(marked.select("doc_id", "fp"), radius, rounds)
     first = marked.join(found, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    return first.select(*[F.col("own fp").alias("fp") if c == "fp" and "own fp" in first.columns else F.col(c) for c in docs.columns])
+    return first.select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     """The rows with extra columns that clash with the operators' own."""
-    return spark.createDataFrame(TEXTS, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("k1", "k2", "words", "n_words", "fp", "ids", "lang_pred", "score", "items", "n_lines", "site", "host")}).repartition(3).cache()
+    return spark.createDataFrame(TEXTS, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("k1", "k2", "words", "n_words", "fp", "ids", "lang_pred", "score", "items", "n_lines", "site", "host", "root", "component_id", "goes", "row", "pos", "line")}).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
