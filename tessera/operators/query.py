@@ -52,7 +52,7 @@ def relation_query(goals: DataFrame, facts: DataFrame, rewrite: DataFrame) -> Da
     right = ways.filter("object IS NOT NULL AND subject IS NULL").alias("g").join(
         turned.alias("f"), (F.col("g.p2") == F.col("f.p2")) & (F.col("g.swap") == F.col("f.swap")) & (F.col("g.object") == F.col("f.b"))
     )
-    cols = ["g.goal_id", "g.qmatch", "f.s", "f.p", "f.o", "f.conf", "f.seq"]
+    cols = ["g.goal_id", "g.qmatch", *[f"g.{c}" for c in ("expected_type",) if c in goals.columns], "f.s", "f.p", "f.o", "f.conf", "f.seq"]
     return left.select(*cols, F.col("f.b").alias("answer")).unionByName(right.select(*cols, F.col("f.a").alias("answer")))
 
 
@@ -106,12 +106,10 @@ def typed(candidates: DataFrame, goals: DataFrame, types: DataFrame, compatible:
 
     types (id, type); compatible (type, wider) holds each type with itself and what it is below.
     """
-    wide = types.join(compatible, "type").select(F.col("id").alias("answer"), F.col("wider").alias("expected_type")).distinct().withColumn("fits", F.lit(True))
-    known = types.select(F.col("id").alias("answer")).distinct().withColumn("known", F.lit(True))
-    asked = candidates.join(goals.select("goal_id", "expected_type"), "goal_id")
-    seen = asked.join(wide, ["answer", "expected_type"], "left").join(known, "answer", "left")
-    fit = F.when(F.col("expected_type").isNull() | F.col("known").isNull(), F.lit(None)).otherwise(F.coalesce("fits", F.lit(False)))
-    return seen.withColumn("type_fit", fit).drop("fits", "known")
+    wide = types.join(compatible, "type").groupBy(F.col("id").alias("answer")).agg(F.collect_set("wider").alias("wide"))  # a few types per entity
+    asked = candidates if "expected_type" in candidates.columns else candidates.join(goals.select("goal_id", "expected_type"), "goal_id")
+    fit = F.when(F.col("expected_type").isNotNull() & F.col("wide").isNotNull(), F.array_contains("wide", F.col("expected_type")))
+    return asked.join(wide, "answer", "left").withColumn("type_fit", fit).drop("wide")
 
 
 def valid_goals(goals: DataFrame) -> DataFrame:
