@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import mean_score
+from ..functions.exprs import mean_score, specificity
+from .ontology import cut
 
 NEUTRAL_FOCUS = 0.6
 
@@ -190,6 +191,39 @@ def direct_relation(goals: DataFrame, facts: DataFrame) -> DataFrame:
     return by_s.unionByName(by_o).unionByName(free)
 
 
+def direct_rule(goals: DataFrame, rules: DataFrame) -> DataFrame:
+    """(goal_id, answer): rule consequents and antecedents (s, p, o, conf, seq, side) asked like facts.
+
+    Answers that repeat the goal's own sides go if there are others; the most specific one stays.
+    """
+    found = direct_relation(goals, rules.drop("side")).select("goal_id", "answer").distinct()
+    own = echo_free(found, goals).withColumn("specific", F.round(specificity(F.col("answer")), 6))
+    return own.groupBy("goal_id").agg(F.max(F.struct("specific", "answer")).alias("x")).select("goal_id", "x.answer")
+
+
+def resolve(goals: DataFrame, facts: DataFrame, colocation: list[str], location: list[str], rounds: int = 3) -> DataFrame:
+    """(goal_id, place, hops): WHERE goals (goal_id, subject), all in one job per round.
+
+    A goal whose subject has a place is answered. The others ask for the places of the subject's
+    partners, then of theirs; a partner's answer becomes the subject's.
+    """
+    placed = facts.filter(F.col("p").isin(location)).select(F.col("s").alias("node"), F.col("o").alias("place"))
+    together = facts.filter(F.col("p").isin(colocation))
+    partners = together.select(F.col("s").alias("node"), F.col("o").alias("next")).unionByName(together.select(F.col("o").alias("node"), F.col("s").alias("next"))).distinct()
+    open_ = seen = cut(goals.select("goal_id", F.col("subject").alias("node")))
+    answers = None
+    for hops in range(rounds + 1):
+        hits = cut(open_.join(placed, "node").select("goal_id", "place", F.lit(hops).alias("hops")).distinct())
+        answers = hits if answers is None else answers.unionByName(hits)
+        left = open_.join(hits.select("goal_id").distinct(), "goal_id", "left_anti")
+        step = left.join(partners, "node").select("goal_id", F.col("next").alias("node")).distinct()
+        open_ = cut(step.join(seen, ["goal_id", "node"], "left_anti"))
+        if open_.isEmpty():
+            break
+        seen = seen.unionByName(open_)
+    return answers
+
+
 def temporal_bridge(facts: DataFrame) -> DataFrame:
     """(a, b, o): two nodes with one object under before, after or during, a < b."""
     own = facts.filter(F.col("p").isin("before", "after", "during")).select("s", "o").distinct()

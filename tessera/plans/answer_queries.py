@@ -256,15 +256,23 @@ def subgoal_expansion(t: Tables):
 
 @query(
     "goal_resolution",
-    with_views("pairs", "places") + " SELECT x.s AS subject, r.o AS region, count(*) AS ways FROM pairs x JOIN places l ON x.o = l.s JOIN places r ON l.o = r.s GROUP BY 1, 2",
+    with_views("pairs", "places") + " SELECT DISTINCT x.s AS goal_id, l.o AS place, 1 AS hops FROM pairs x JOIN places l ON x.o = l.s UNION ALL SELECT s, o, 0 FROM places WHERE s LIKE 'entity:customer%'",
 )
 def goal_resolution(t: Tables):
-    """Where (in which region) is each part? A part has no place: its suppliers are asked, their answers become facts, the root is asked again."""
-    own = facts.places(t)
-    asked = facts.part_with_supplier(t).select(F.col("s").alias("subject"), F.col("o").alias("target"))
-    first = own.select(F.col("s").alias("target"), F.col("o").alias("place"))
-    second = own.select(F.col("s").alias("place"), F.col("o").alias("region"))
-    return asked.join(first, "target").join(second, "place").groupBy("subject", "region").agg(F.count("*").alias("ways"))
+    """Where is each part and customer? Customers have a place; parts have none, so their suppliers are asked."""
+    goals = t.part.select(facts.symbol("part", F.col("p_partkey")).alias("goal_id")).union(t.customer.select(facts.symbol("customer", F.col("c_custkey"))))
+    own = facts.union(facts.places(t), facts.part_with_supplier(t))
+    return ask.resolve(goals.withColumn("subject", F.col("goal_id")), own, ["with"], exprs.LOCATION_FAMILY)
+
+
+@query("direct_rule", with_views("ev") + " SELECT event_id AS goal_id, 'concept:true' AS answer FROM ev WHERE nxt IS NOT NULL OR event_id IN (SELECT nxt FROM ev)")
+def direct_rule(t: Tables):
+    """Does event E fail? Asked of the rules' two sides."""
+    from ..operators import diagnose
+    from .rule_queries import ground_rules
+
+    goals = goal(t.events, F.col("event_id"), facts.event_symbol(F.col("event_id")), "fail", None)
+    return ask.direct_rule(goals, diagnose.rule_sides(ground_rules(t)))
 
 
 @query("direct_relation", with_views("requires") + " SELECT CAST(substr(s, 14) AS BIGINT) AS goal_id, o AS answer FROM requires")

@@ -8,7 +8,7 @@ from ..functions import exprs
 from ..operators import diagnose as dia
 from ..operators import ontology, paths
 from ..sources import facts
-from ..sources.facts import SQL, Tables, with_views
+from ..sources.facts import Tables, with_views
 from .register import Register
 
 query = Register()

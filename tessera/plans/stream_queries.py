@@ -62,12 +62,4 @@ def user_head(t: Tables):
     return scoring.rank(every).groupBy("producer").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query("direct_rule", with_views("ev") + " SELECT id AS subject, 'entity:event_' || nxt AS answer FROM ev WHERE nxt IS NOT NULL")
-def direct_rule(t: Tables):
-    """Rules looked up from their antecedent: what fails next?"""
-    from .rule_queries import ground_rules
-
-    return ground_rules(t).select(F.col("ant.s").alias("subject"), F.col("con.s").alias("answer"))
-
-
 QUERIES, ORACLES = query.queries, query.oracles

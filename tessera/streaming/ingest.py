@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.store import KEY, insert_if_new
+from ..operators.store import insert_if_new
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
