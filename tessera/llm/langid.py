@@ -120,8 +120,11 @@ class ByteCnn:
 def sample_windows(docs: DataFrame, per_language: int = SAMPLE_DOCS, per_text: int = SAMPLE_WINDOWS) -> list[tuple[str, bytes]]:
     """(lang, window) of the bounded training sample."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    # Hashes are even, so the smallest are found among a few times as many: no task sees all of a language.
+    sizes = common.cut(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("size")))
+    few = known.select("lang", "h").join(common.broadcast_if_small(sizes), "lang").filter((F.col("h") / 2.0**64 + 0.5) * F.col("size") <= 4 * per_language)
     first = Window.partitionBy("lang").orderBy("h")
-    limits = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
+    limits = few.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
     sampled = known.join(common.broadcast_if_small(common.cut(limits)), "lang").filter("h <= most").dropDuplicates(["lang", "h"])
 
     def run(batches):
