@@ -6,8 +6,8 @@ taken between ASCII non-alphanumerics after A-Z were lower-cased.
 1. Corpus frequency of every word that occurs in a window, over all documents.
 2. Each window is looked up by its two rarest words. Their postings - text class, position, and the
    words around it - are the stored index; all other words never leave the scan.
-3. The two posting lists of a window, each shifted by the word's offset in the window, are
-   intersected on (text class, start); the window is then compared in full with the stored words.
+3. The two posting lists of a window, each shifted by the word's offset in the window and cut to the
+   postings around which the window's words stand, are intersected on (text class, start).
 4. Per text, the covered words are counted from sorted intervals with a running maximum.
 
 Benchmark tables are broadcast only after they were counted and found small; otherwise the lookups
@@ -80,17 +80,19 @@ def index(docs: DataFrame, terms: DataFrame, around: int = WINDOW_WORDS) -> Data
 
 def phrase_matches(postings: DataFrame, lookup: DataFrame, terms: int = LOOKUP_WORDS) -> DataFrame:
     """(k1, k2, start, words): the places where a window's words stand consecutively."""
+    there = F.slice("near", F.col("start") - F.col("near_start") + 1, F.size("words")) == F.col("words")
+    # A posting enters its list only if the words stored around it are the window's: the lists stay short.
     shifted = (
         postings.filter(F.col("term").isNotNull())
         .join(common.broadcast_if_small(lookup), "term")
         .withColumn("start", F.col("pos") - F.col("offset"))
         .filter((F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.col("n_words")))
+        .filter(there)
     )
-    there = F.slice("near", F.col("start") - F.col("near_start") + 1, F.size("words")) == F.col("words")
     lists = shifted.groupBy("k1", "k2", "start", "w").agg(
         *[F.max(F.col("rank") == i).alias(f"has{i}") for i in range(terms)],
         F.max("terms").alias("terms"),
-        F.max(F.when((F.col("rank") == 0) & there, F.col("words"))).alias("words"),
+        F.max(F.when(F.col("rank") == 0, F.col("words"))).alias("words"),
     )
     met = sum((F.coalesce(F.col(f"has{i}"), F.lit(False)).cast("int") for i in range(terms)), F.lit(0))
     return lists.filter((met == F.col("terms")) & F.col("words").isNotNull()).select("k1", "k2", "start", "words")
@@ -111,10 +113,11 @@ def proximity_matches(postings: DataFrame, lookup: DataFrame, slop: int) -> Data
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per text class: k1, k2, n_words, n_hit, items (sorted array)."""
-    windows = common.cut(test_windows(benchmark))
-    lookup = lookups(docs, windows)
-    postings = common.cut(index(docs, lookup.select("term").distinct()))
-    hits = common.cut(phrase_matches(postings, lookup))
+    with common.shuffle_files_dropped(docs.sparkSession):
+        windows = common.cut(test_windows(benchmark))
+        lookup = lookups(docs, windows)
+        postings = common.cut(index(docs, lookup.select("term").distinct()))
+        hits = common.cut(phrase_matches(postings, lookup))
     by_text = Window.partitionBy("k1", "k2").orderBy("start")
     spans = hits.groupBy("k1", "k2", "start").agg(F.max(F.col("start") + F.size("words")).alias("end"))
     reached = F.coalesce(F.max("end").over(by_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
