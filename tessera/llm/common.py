@@ -102,5 +102,5 @@ def shuffle_files_dropped(spark: SparkSession):
 def written(df: DataFrame) -> DataFrame:
     """Write an intermediate table as Parquet to the shared checkpoint folder and read it from there."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
