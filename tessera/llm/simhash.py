@@ -34,6 +34,8 @@ RADIUS = 4
 ROUNDS = 8
 #: Fingerprints per block that one task expands at a time (x 2081 variants / ROUNDS x 16 bytes).
 BLOCK = 4096
+#: Blocks of variants per shuffle partition: with several, hashing deals them out evenly.
+PIECES = 8
 BITS = 64
 
 
@@ -98,7 +100,7 @@ def round_links(distinct: DataFrame, this: int, rounds: int, parts: int, radius:
                     found.append(z[here])
                     owners.append(own[here])
                 z, own = np.concatenate(found), np.concatenate(owners)
-                part = ((mixed(z) // np.uint64(rounds)) % np.uint64(parts)).astype(np.int32)
+                part = ((mixed(z) // np.uint64(rounds)) % np.uint64(parts * PIECES)).astype(np.int32)
                 order = np.lexsort((z, part)) if len(z) < 1000 else np.argsort(part, kind="stable")
                 z, own, part = z[order], own[order], part[order]
                 cuts = np.flatnonzero(np.diff(part)) + 1
@@ -142,8 +144,8 @@ def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFra
     spark = fps.sparkSession
     distinct = common.cut(fps.select("fp").distinct())
     n = distinct.count()
-    # A partition of a round resolves about a million variants, whatever the input's size.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks(radius // 2)) // rounds // 1_000_000 + 1)
+    # A partition of a round resolves about half a million variants, whatever the input's size.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks(radius // 2)) // rounds // 500_000 + 1)
     spread = distinct.repartition(max(1, min(parts, n // BLOCK + 1)))
     found = None
     with common.shuffle_files_dropped(spark):
