@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from . import common
 
 #: Words whose pieces one worker remembers, twice: the newest and those before.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 
 
 def vocabulary_path() -> str:
