@@ -1,11 +1,12 @@
 """License scan by a positional rare-token index (operator 10, DataFrame functions only).
 
-1. Document frequency, over all texts, of every word of the licence templates.
-2. Template words that at most a quarter of the texts have are rare. Their postings (text class,
-   position, the words around) are the index; of each text the words with the highest IDF are looked up.
-3. Template postings of those words are met by relative position: a template stands where enough of
-   its rare words agree on one shift, and a mandatory key phrase must stand in the words around.
-4. Base phrases are matched exactly in the words around their first word.
+1. Document frequency, over all texts, of every word of the mandatory key phrases.
+2. Each template is looked up in every text by its key phrase's word with the highest IDF. Postings
+   (text class, template, position) at which the whole key phrase stands are the index.
+3. At each posting all words of the template vote on relative position: it stands where enough of
+   them agree on one shift near the phrase's own. So neither other notices in the text nor the
+   other texts switch a template's result.
+4. Base phrases are templates of which every word is mandatory.
 
 The templates are a fixed small table, so they and their word statistics are broadcast.
 Every text's result is worked out once per text class (see `common`).
@@ -18,9 +19,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -49,13 +49,11 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved", "All rights reserved."),
 ]
 
-#: A template word that more than this share of the texts have is not rare.
+#: A key phrase whose every word more than this share of the texts have is not looked up.
 MOST_SHARE = 0.25
-#: Of each text, the lookup takes so many distinct rare words, those with the highest IDF first.
-LOOKUP_WORDS = 12
-#: A template stands where at least this share of its rare words agree on the shift.
+#: A template stands where at least this share of its words agree on the shift.
 LEAST_SHARE = 0.6
-#: Words kept on each side of a posting: enough for the longest phrase from any of its words.
+#: The shift may differ by so many words from that of the key phrase.
 AROUND = 4
 
 
@@ -63,70 +61,80 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
 
-def template_postings(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    rows = [(i, label, " ".join(words_of(key)), w, at) for i, (label, key, text) in enumerate(templates) for at, w in enumerate(words_of(text))]
-    return spark.createDataFrame(rows, "template int, label string, key string, term string, at int")
+def lookups(spark: SparkSession, shares: dict[str, float], templates=TEMPLATES) -> DataFrame:
+    """(term, template, base, label, key, key_at, body, offset): templates and base phrases by the key's rarest word.
 
+    `key_at` is the key's place in the body, `offset` the term's in the key.
+    """
+    rows = []
+    for i, (base, label, key, text) in enumerate([(True, label, p, p) for p, label in BASE.items()] + [(False, *t) for t in templates]):
+        key, body = words_of(key), words_of(text)
+        key_at = next(at for at in range(len(body)) if body[at : at + len(key)] == key)
+        term = min(key, key=lambda w: (shares[w], w))
+        if base or shares[term] <= MOST_SHARE:
+            rows.append((term, i, base, label, key, key_at, body, key.index(term)))
+    return spark.createDataFrame(rows, "term string, template int, base boolean, label string, key array<string>, key_at int, body array<string>, offset int")
 
-def document_frequency(docs: DataFrame, vocabulary: list[str]) -> list[tuple[str, float]]:
-    """(word, share of the texts that have it) for a fixed, short vocabulary."""
+
+def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
+    """Share of the texts that have each word of a fixed, short vocabulary."""
     own = F.transform(F.array_distinct(common.contract_words(F.col("text"))), common.lower_ascii)
     seen = docs.select(F.explode(F.array_append(F.array_intersect(own, F.array(*map(F.lit, vocabulary))), F.lit(""))).alias("term"))
     counts = {r["term"]: r["n"] for r in seen.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per word of the vocabulary
-    return [(w, counts.get(w, 0) / max(1, counts.get("", 0))) for w in vocabulary]
+    return {w: counts.get(w, 0) / max(1, counts.get("", 0)) for w in vocabulary}
+
 
+def index(docs: DataFrame, looked_up: DataFrame, key_words: int) -> DataFrame:
+    """Postings (k1, k2, n_words, template, base, label, pos, share): key phrases (of up to `key_words` words) at pos, share of the template's words that agree.
 
-def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (k1, k2, n_words, term, idf, pos, near, near_start); a text's last word has a row even if term is null."""
+    A text's last word has a row even if template is null. Only the words around a posting leave the scan.
+    """
     words = docs.select(*common.text_key(F.col("text")), common.contract_words(F.col("text")).alias("words"))
-    each = words.select("k1", "k2", "words", F.posexplode("words").alias("pos", "word")).withColumn("term", common.lower_ascii(F.col("word")))
-    found = each.join(F.broadcast(terms), "term", "left").filter(F.col("idf").isNotNull() | (F.col("pos") == F.size("words") - 1))
-    first = F.greatest(F.col("pos") - AROUND, F.lit(0))
-    near = F.when(F.col("idf").isNotNull(), F.transform(F.slice("words", first + 1, F.lit(2 * AROUND + 1)), common.lower_ascii))
-    return found.select("k1", "k2", F.size("words").cast("long").alias("n_words"), F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), "idf", "pos", near.alias("near"), first.alias("near_start")).distinct()
+    each = words.select("k1", "k2", "words", F.posexplode("words").alias("at", "word")).withColumn("term", common.lower_ascii(F.col("word")))
+    pos = F.col("at") - F.col("offset")
+    # Without a lambda, which would cut the compiled scan and copy the whole text with every word.
+    key_there = F.size("key") > 0
+    for j in range(key_words):
+        key_there &= (F.size("key") <= j) | F.coalesce(common.lower_ascii(F.get("words", pos + j)) == F.get("key", j), F.lit(False))
+    stands = F.coalesce(key_there, F.lit(False))
+    found = each.join(F.broadcast(looked_up), "term", "left").filter(stands | (F.col("at") == F.size("words") - 1))
+    begin = pos - F.col("key_at")
+    first = F.greatest(begin - AROUND, F.lit(0))
+    near = F.slice("words", first + 1, F.size("body") + 2 * AROUND)
+    own = {"template": F.col("template"), "base": F.col("base"), "label": F.col("label"), "pos": pos, "body": F.col("body"), "near": near, "own_start": begin - first}
+    postings = found.select("k1", "k2", F.size("words").cast("long").alias("n_words"), *[F.when(stands, c).alias(n) for n, c in own.items()])
+
+    def agreeing(shift: Column) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(0), F.size("body") - 1), lambda i: common.lower_ascii(F.get("near", F.col("own_start") + shift + i)) == F.get("body", i)))
+
+    votes = F.array_max(F.transform(F.sequence(F.lit(-AROUND), F.lit(AROUND)), agreeing))
+    share = F.when(F.col("base"), 1.0).when(~F.col("base"), votes / F.size("body"))
+    return postings.select("k1", "k2", "n_words", "template", "base", "label", "pos", share.alias("share")).distinct()
 
 
 def base_places(postings: DataFrame) -> DataFrame:
     """(k1, k2, n_base, first_word, last_word, base_labels) of the texts with base phrases."""
-    label = F.lit(None).cast("string")
-    for phrase, name in BASE.items():
-        ws = phrase.split()
-        there = F.slice("near", F.col("pos") - F.col("near_start") + 1, len(ws)) == F.array(*map(F.lit, ws))
-        label = F.when((F.col("term") == ws[0]) & there, F.lit(name)).otherwise(label)
-    found = postings.filter(F.col("term").isin(*{p.split()[0] for p in BASE})).withColumn("label", label).filter(F.col("label").isNotNull())
-    return found.groupBy("k1", "k2").agg(
+    return postings.filter("base").groupBy("k1", "k2").agg(
         F.count("*").alias("n_base"), F.min("pos").cast("long").alias("first_word"), F.max("pos").cast("long").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base_labels")
     )
 
 
-def template_matches(postings: DataFrame, templates: DataFrame) -> DataFrame:
-    """(k1, k2, labels, share): labels whose template stands in the text, by votes of rare words on a shift."""
-    order = Window.partitionBy("k1", "k2").orderBy(F.desc("idf"), "term")
-    rare = postings.filter(F.col("term").isNotNull()).withColumn("place", F.dense_rank().over(order)).filter(F.col("place") <= LOOKUP_WORDS)
-    met = rare.join(F.broadcast(templates), "term")
-    key_near = F.concat(F.lit(" "), F.array_join("near", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("key"), F.lit(" ")))
-    votes = met.groupBy("k1", "k2", "template", "label", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("n"), F.max(key_near).alias("verified"))
-    stands = votes.withColumn("share", F.col("n") / F.col("size")).filter(F.col("verified") & (F.col("share") >= LEAST_SHARE))
+def template_matches(postings: DataFrame) -> DataFrame:
+    """(k1, k2, labels, share): labels whose template stands in the text."""
+    stands = postings.filter(~F.col("base") & (F.col("share") >= LEAST_SHARE))
     return stands.groupBy("k1", "k2").agg(F.collect_set("label").alias("labels"), F.max("share").alias("share"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Each row of (doc_id, text) with n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
-    placed = template_postings(spark, templates)
-    first_words = {p.split()[0] for p in BASE}
-    vocabulary = sorted({w for _, _, t in templates for w in words_of(t)} | first_words)
-    shares = document_frequency(docs, vocabulary)
-    rare = {w for w, share in shares if share <= MOST_SHARE}
-    terms = spark.createDataFrame([(w, float(1 - share)) for w, share in shares if w in rare | first_words], "term string, idf double")
-    looked_up = placed.filter(F.col("term").isin(*rare)) if rare else placed.limit(0)
-    sizes = Window.partitionBy("template")
-    looked_up = looked_up.withColumn("size", F.least(F.count("*").over(sizes), F.lit(LOOKUP_WORDS)))
-    postings = common.cut(index(docs, terms))
+    keys = [key for _, key, _ in templates] + list(BASE)
+    shares = document_frequency(docs, sorted({w for key in keys for w in words_of(key)}))
+    postings = common.cut(index(docs, lookups(spark, shares, templates), max(len(words_of(key)) for key in keys)))
     found = (
         postings.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"))
         .join(base_places(postings), ["k1", "k2"], "left")
-        .join(template_matches(postings.filter(F.col("term").isin(*rare)) if rare else postings.limit(0), looked_up), ["k1", "k2"], "left")
+        .join(template_matches(postings), ["k1", "k2"], "left")
     )
     rows = docs.select("doc_id", *common.text_key(F.col("text"))).join(found, ["k1", "k2"], "left")
     none = F.array().cast("array<string>")

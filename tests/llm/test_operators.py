@@ -233,3 +233,12 @@ def test_licenses(docs, empty):
     found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert found[24]["labels"] == "apache,cc-by,cc-by-nc,gpl,mit" and found[24]["score"] == 1.0 and found[3]["labels"] == "" and found[3]["score"] == 0.0
     assert licenses.scan(empty).count() == 0
+
+
+def test_licenses_many_notices(spark):
+    """Every template of a text that holds all of them is found, as each is alone."""
+    notices = [text for _, _, text in licenses.TEMPLATES]
+    table = [(k, t) for k, t in enumerate(notices)] + [(100, "\n".join(notices))] + [(1000 + k, f"plain text {k}") for k in range(400)]
+    found = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert all(label in found[k] for k, (label, _, _) in enumerate(licenses.TEMPLATES))
+    assert {label for label, _, _ in licenses.TEMPLATES} <= found[100] and found[1000] == {""}
