@@ -1,8 +1,9 @@
 """License scan by a positional rare-token index (operator 10, DataFrame functions only).
 
 1. Document frequency, over all texts, of every word of the mandatory key phrases.
-2. Each template is looked up in every text by its key phrase's word with the highest IDF. Postings
-   (text class, template, position) at which the whole key phrase stands are the index.
+2. Each template is looked up in every text by its key phrase's word with the highest IDF, however
+   frequent that is. Postings (text class, template, position) at which the whole key phrase stands
+   are the index.
 3. At each posting all words of the template vote on relative position: it stands where enough of
    them agree on one shift near the phrase's own. So neither other notices in the text nor the
    other texts switch a template's result.
@@ -49,8 +50,6 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved", "All rights reserved."),
 ]
 
-#: A key phrase whose every word more than this share of the texts have is not looked up.
-MOST_SHARE = 0.25
 #: A template stands where at least this share of its words agree on the shift.
 LEAST_SHARE = 0.6
 #: The shift may differ by so many words from that of the key phrase.
@@ -71,8 +70,7 @@ def lookups(spark: SparkSession, shares: dict[str, float], templates=TEMPLATES)
         key, body = words_of(key), words_of(text)
         key_at = next(at for at in range(len(body)) if body[at : at + len(key)] == key)
         term = min(key, key=lambda w: (shares[w], w))
-        if base or shares[term] <= MOST_SHARE:
-            rows.append((term, i, base, label, key, key_at, body, key.index(term)))
+        rows.append((term, i, base, label, key, key_at, body, key.index(term)))
     return spark.createDataFrame(rows, "term string, template int, base boolean, label string, key array<string>, key_at int, body array<string>, offset int")
 
 

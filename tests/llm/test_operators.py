@@ -242,3 +242,10 @@ def test_licenses_many_notices(spark):
     found = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()}
     assert all(label in found[k] for k, (label, _, _) in enumerate(licenses.TEMPLATES))
     assert {label for label, _, _ in licenses.TEMPLATES} <= found[100] and found[1000] == {""}
+
+
+def test_licenses_frequent_notice(spark):
+    """A notice that most texts carry keeps its label in all of them."""
+    table = [(k, "some text\nAll rights reserved.") for k in range(60)] + [(100 + k, f"text {k}\nLicensed under CC BY-NC 4.0.") for k in range(40)]
+    found = licenses.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert all(r["labels"] == ("all-rights-reserved" if r["doc_id"] < 100 else "cc-by,cc-by-nc") for r in found)
