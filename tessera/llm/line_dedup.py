@@ -9,6 +9,10 @@ Lines are compared without blanks at their ends; lines without a word are never
 are 2 x 64 bits. Which lines of a text go depends only on its text, so that is worked out per text
 class and only flags, never line texts, are shuffled before the flags meet the documents.
 
+With `copies_once` a line is spread only through different texts: a document copied on many sites would
+else have every line on all of them and become empty. Each text is dealt to one of its sites then, so
+several copied texts may be dealt to the same one and the spread is a lower bound.
+
 Defined results: null text stays null (no lines); a null site is the site ''; a text of which every
 line goes becomes empty; ids may be null or repeated, rows and other columns stay as they are.
 """
@@ -35,15 +39,22 @@ def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
     return lines.select("k1", "k2", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), "site")
 
 
-def boilerplate(docs: DataFrame, site: str = "source", least_sites: int = LEAST_SITES) -> DataFrame:
-    """(h1, h2) of the lines on at least `least_sites` sites."""
+def dealt_lines(lines: DataFrame) -> DataFrame:
+    """(h1, h2, site: hash) with all copies of a text dealt to one of its sites, in no preferred order."""
+    mixed = F.xxhash64("site").bitwiseXOR(F.col("k1"))
+    return lines.groupBy("k1", "k2", "h1", "h2").agg(F.min(mixed).bitwiseXOR(F.col("k1")).alias("site")).select("h1", "h2", "site")
+
+
+def boilerplate(docs: DataFrame, site: str = "source", least_sites: int = LEAST_SITES, copies_once: bool = False) -> DataFrame:
+    """(h1, h2) of the lines on at least `least_sites` sites; with `copies_once` a text counts for one of its sites only."""
     lines = site_lines(docs, site)
+    counted = dealt_lines if copies_once else lambda some: some.select("h1", "h2", "site")
     spread = common.cut(
-        lines.groupBy("h1", "h2").agg(F.approx_count_distinct("site", RSD).alias("sites")).filter(F.col("sites") >= least_sites * (1 - NEAR * RSD))
+        counted(lines).groupBy("h1", "h2").agg(F.approx_count_distinct("site", RSD).alias("sites")).filter(F.col("sites") >= least_sites * (1 - NEAR * RSD))
     )
     near = F.col("sites") <= least_sites * (1 + NEAR * RSD)
     doubtful = common.broadcast_if_small(spread.filter(near).select("h1", "h2"))
-    pairs = lines.select("h1", "h2", "site").join(doubtful, ["h1", "h2"], "left_semi").distinct()
+    pairs = counted(lines.join(doubtful, ["h1", "h2"], "left_semi")).distinct()
     exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= least_sites)
     return common.cut(spread.filter(~near).select("h1", "h2").unionByName(exact.select("h1", "h2")))
 
@@ -59,9 +70,9 @@ def removed_flags(docs: DataFrame, lines: DataFrame, site: str = "source") -> Da
     return flags.filter("any").select("k1", "k2", F.transform("flags", lambda x: x["goes"]).alias("goes"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", least_sites: int = LEAST_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", least_sites: int = LEAST_SITES, copies_once: bool = False) -> DataFrame:
     """The same rows and columns with boilerplate lines taken out of `text`, plus n_lines and n_removed."""
-    lines = boilerplate(docs, site, least_sites)
+    lines = boilerplate(docs, site, least_sites, copies_once)
     rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "k1", "k2")], *common.text_key(F.col("text")))
     flags = removed_flags(docs, lines, site).withColumnRenamed("goes", "__goes")
     flagged = rows.join(flags, ["k1", "k2"], "left")

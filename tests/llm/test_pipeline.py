@@ -40,3 +40,11 @@ def test_stages_keep_columns(spark):
         kept = stage(spark, docs, SF)
         assert kept.columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_boilerplate_spares_copies(spark):
+    """A document copied on many sites keeps its lines; a line of as many different documents goes."""
+    table = [(k, "copied one\ncopied two", None, f"s{k}", 1) for k in range(12)] + [(100 + k, f"own {k}\neverywhere", None, f"s{k}", 1) for k in range(12)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_boilerplate(spark, docs, SF).collect()}
+    assert got == {k: "copied one\ncopied two" for k in range(12)} | {100 + k: f"own {k}" for k in range(12)}
