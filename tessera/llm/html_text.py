@@ -6,7 +6,8 @@
 3. Pages are read again with their host's winning path: the text of every container on that path is
    the page's text. A page without such a container falls back to its own best one.
 
-The scanner is a small one: tags, comments, raw-text elements and the end tags HTML lets one omit.
+The scanner is a small one: tags, comments, raw-text elements (up to their own end tag, whatever they
+hold) and the end tags HTML lets one omit.
 Winning paths are broadcast only after they were counted and found few; else pages are joined by
 host with the votes' table split by salt, so that a host with many pages doesn't fill one task.
 
@@ -33,12 +34,14 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp".split())
+#: Raw elements that hold plain text: no tag or comment in them counts but their own end tag.
+PLAIN = frozenset("script style textarea title iframe noscript xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: Elements whose text is never part of an article.
-APART = frozenset("nav footer aside form button select option menu dialog input head figcaption fieldset".split()) | RAW
+APART = frozenset("nav footer aside form button select option menu dialog input head fieldset".split()) | RAW
 #: An open element is closed by the start of one of these, up to the element named after the colon.
 CLOSED_BY = {
-    "p": frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split()),
+    "p": frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split()),
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
     "dd": frozenset(["dt", "dd"]),
@@ -67,6 +70,21 @@ class Element:
         self.score = 0.0
 
 
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in PLAIN}
+
+
+def tokens(source: str) -> Iterator[tuple[re.Match, int]]:
+    """(tag or comment, where what follows it begins): the content of a plain-text element is stepped over with its start tag."""
+    at = 0
+    while token := TOKEN.search(source, at):
+        at = token.end()
+        tag = (token[2] or "").lower()
+        if tag in PLAIN and not token[1] and not token[3].rstrip().endswith("/"):
+            end = END[tag].search(source, at)
+            at = end.end() if end else len(source)
+        yield token, at
+
+
 def generalised(tag: str, attributes: str) -> tuple[str, bool]:
     """(path step, apart): tag and classes with digits replaced; whether class, id or role mark boilerplate."""
     classes, names, hidden = "", [], False
@@ -105,13 +123,13 @@ def blocks(source: str) -> Iterator[tuple[Element, str, int]]:
                 yield own, text, n
         del stack[down_to:]
 
-    for token in TOKEN.finditer(source):
+    for token, after in tokens(source):
         if raw:
             if token[1] and token[2].lower() == raw:
-                raw, at = None, token.end()
+                raw, at = None, after
             continue
         piece = source[at : token.start()]
-        at = token.end()
+        at = after
         if piece:
             parts.append(piece)
             if any(e.tag == "a" for e in stack):
@@ -141,6 +159,8 @@ def blocks(source: str) -> Iterator[tuple[Element, str, int]]:
         links = 0
         if text:
             yield own, text, n
+        if tag in PLAIN:
+            continue
         if tag in RAW:
             # Raw text ends at its own end tag only; an element written as <tag/> has none.
             raw = None if token[3].rstrip().endswith("/") else tag

@@ -249,3 +249,13 @@ def test_licenses_frequent_notice(spark):
     table = [(k, "some text\nAll rights reserved.") for k in range(60)] + [(100 + k, f"text {k}\nLicensed under CC BY-NC 4.0.") for k in range(40)]
     found = licenses.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()
     assert all(r["labels"] == ("all-rights-reserved" if r["doc_id"] < 100 else "cc-by,cc-by-nc") for r in found)
+
+
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){f()}</script>", "<SCRIPT>a='<!--'</SCRIPT >", "<style>/* <b */</style>", "<svg><style>a<b</style></svg>"])
+def test_html_raw_text(raw):
+    """No '<' in a script or style takes the article after it away."""
+    assert html_text.extract(f"{raw}<article><p>Text<p>more</article>{raw}") == "Text\n\nmore"
+
+
+def test_html_caption():
+    assert html_text.extract("<article><p>Text<figure><img src=x><figcaption>Caption</figcaption></figure></article>") == "Text\n\nCaption"
