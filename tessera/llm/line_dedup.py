@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_SITES = 10
-#: Relative standard deviation of the sketch, and how many of them count as near the threshold.
+#: Relative standard deviation of the sketch, and how many of them above the threshold count as near it.
+#: Below, half the threshold does: sites that share a register make the sketch of few sites fall short.
 RSD = 0.05
 NEAR = 5
 
@@ -50,7 +51,7 @@ def boilerplate(docs: DataFrame, site: str = "source", least_sites: int = LEAST_
     lines = site_lines(docs, site)
     counted = dealt_lines if copies_once else lambda some: some.select("h1", "h2", "site")
     spread = common.cut(
-        counted(lines).groupBy("h1", "h2").agg(F.approx_count_distinct("site", RSD).alias("sites")).filter(F.col("sites") >= least_sites * (1 - NEAR * RSD))
+        counted(lines).groupBy("h1", "h2").agg(F.approx_count_distinct("site", RSD).alias("sites")).filter(F.col("sites") >= least_sites / 2)
     )
     near = F.col("sites") <= least_sites * (1 + NEAR * RSD)
     doubtful = common.broadcast_if_small(spread.filter(near).select("h1", "h2"))

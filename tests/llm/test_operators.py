@@ -259,3 +259,13 @@ def test_html_raw_text(raw):
 
 def test_html_caption():
     assert html_text.extract("<article><p>Text<figure><img src=x><figcaption>Caption</figcaption></figure></article>") == "Text\n\nCaption"
+
+
+def test_line_dedup_short_sketch(spark):
+    """A line on exactly 10 sites goes though they share registers and its sketch says 7."""
+    groups = spark.range(2_000_000).select(F.floor(F.col("id") / 10).alias("g"), F.concat(F.lit("s"), "id").alias("site"))
+    g, n = groups.groupBy("g").agg(F.approx_count_distinct("site", line_dedup.RSD).alias("n")).orderBy("n", "g").first()
+    assert n < 7.5
+    table = [(k, f"line\nown {k}", f"s{10 * g + k}") for k in range(10)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id long, text string, source string"))
+    assert got.filter("n_removed = 1").count() == 10
