@@ -22,6 +22,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Tables up to this many rows (of bounded width) are hinted for broadcast after they were counted.
 BROADCAST_ROWS = 100_000
+#: Bytes and rows of an Arrow batch; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,13 +77,15 @@ def white_words(text: Column) -> Column:
 
 
 def by_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """`mapInArrow` in batches of few rows, so that very long texts don't fill a worker's memory.
+    """`mapInArrow` in batches of few bytes, so that very long texts don't fill a worker's memory.
 
-    Arrow keeps 64-bit ids and nulls as they are (pandas would turn nullable ids to doubles).
+    Arrow keeps 64-bit ids and nulls as they are (pandas would turn nullable ids to doubles). The bound
+    is the session's, which keeps it: Spark reads it when the job runs.
     """
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 1001):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        if not (now := conf.get(key)).isdigit() or int(now) not in range(1, most + 1):
+            conf.set(key, str(most))
     return df.mapInArrow(function, schema)
 
 

@@ -2,17 +2,24 @@
 
 Fingerprints are made in Arrow batches. Every *distinct* fingerprint emits all variants within half
 the radius (1 + 64 + 2016 for radius 4); two fingerprints at 4 bits or fewer share a variant, and
-fingerprints that share one are 4 bits apart at most, so a shared variant is the verification. From
-each variant only links to its smallest fingerprint are kept, never all pairs, and connected
-components of the links are found by large-star/small-star rounds in Spark.
+fingerprints that share one are 4 bits apart at most, so a shared variant is the verification.
 
-All variants would take far more disk than the input, so the variant space is dealt into a fixed
-number of rounds by bits of the variant's hash. One round's variants are shuffled as sorted blocks of
-64-bit numbers, resolved, and its shuffle files dropped before the next round.
+A variant is its upper 32 bits and its lower 32. Rows are shuffled by the upper part, 529 a fingerprint,
+each for all variants that share it; the lower parts are made where upper parts meet, so a fingerprint
+alone on an upper part costs nothing more. Upper parts on which very many fingerprints meet are counted
+first (by a fixed number of hash slots) and dealt by their whole variants instead: one variant has
+2,081 owners at most, so no group, however large, is one task's. The rows are proportional to the input
+either way. To keep disk bounded they are shuffled in a fixed number of rounds by hash, and a round's
+shuffle files are dropped before the next.
+
+A task returns a spanning forest of what met in it, fewer links than fingerprints, never pairs of a
+group; connected components of the links are found by large-star/small-star rounds in Spark.
 
 Defined results: null or blank text has fingerprint zero, linked like any other; ids may be null
 (their rows stand alone only by id: component_id is the smallest id of the component, null if it has
-none) or repeated, each row gives one row; an empty table gives none; other columns are ignored.
+none) or repeated, each row gives one row; very long texts are hashed piecewise; an empty table gives
+none; other columns are ignored. `keep_first` keeps the row with the smallest id of a component (a null
+id comes last); among repeated rows of that id the one with the smallest hash of text, then of row.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,12 +38,16 @@ from . import common
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-ROUNDS = 8
-#: Fingerprints per block that one task expands at a time (x 2081 variants / ROUNDS x 16 bytes).
-BLOCK = 4096
-#: Blocks of variants per shuffle partition: with several, hashing deals them out evenly.
-PIECES = 8
 BITS = 64
+#: Lower bits of a variant, made at the receiver.
+LOW = 32
+ROUNDS = 4
+#: Rows that a task resolves at a time, whatever the input's size, and variants that it makes at a time.
+PARTITION_ROWS = 1_000_000
+EXPANDED = 500_000
+#: Hash slots that are counted, and rows of a slot from which its variants are dealt whole.
+SLOTS = 1 << 16
+HOT_ROWS = 100_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -72,85 +83,135 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return common.by_batches(out, run, schema)
 
 
-def masks(radius: int) -> np.ndarray:
-    """All 64-bit numbers with at most `radius` bits set."""
-    return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(BITS), r)], np.uint64)
+def masks(radius: int, bits: range = range(BITS)) -> list[int]:
+    """All signed 64-bit numbers with at most `radius` of these bits set."""
+    made = (sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(bits, r))
+    return [x - (1 << BITS) if x >> (BITS - 1) else x for x in made]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """An even hash of 64-bit numbers: multiply, fold."""
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(32))
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of all nodes of the links a - b but the roots: each component's least (unsigned) node."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            child = np.flatnonzero(root != np.arange(len(root)))
+            return nodes[child], nodes[root[child]]
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(rx[apart], ry[apart]), np.minimum(rx[apart], ry[apart]))
+        while (root[root] != root).any():
+            root = root[root]
 
 
-def round_links(distinct: DataFrame, this: int, rounds: int, parts: int, radius: int) -> DataFrame:
-    """(a, b): links a < b (unsigned) found by the variants of one round."""
-    half = masks(radius // 2)
+def met(z: np.ndarray, own: np.ndarray, spare: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the owners that share a variant; each row is for all variants of z with up to `spare` of its lowest `bits` changed.
 
-    def expand(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(fps), BLOCK):
-                block = fps[i : i + BLOCK]
-                found, owners = [], []
-                for j in range(0, len(half), 64):
-                    z = (block[:, None] ^ half[None, j : j + 64]).ravel()
-                    own = np.repeat(block, len(half[j : j + 64]))
-                    here = mixed(z) % np.uint64(rounds) == np.uint64(this)
-                    found.append(z[here])
-                    owners.append(own[here])
-                z, own = np.concatenate(found), np.concatenate(owners)
-                part = ((mixed(z) // np.uint64(rounds)) % np.uint64(parts * PIECES)).astype(np.int32)
-                order = np.lexsort((z, part)) if len(z) < 1000 else np.argsort(part, kind="stable")
-                z, own, part = z[order], own[order], part[order]
-                cuts = np.flatnonzero(np.diff(part)) + 1
-                begins, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(part)]))
-                if len(part):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(part[begins]),
-                            pa.array([z[a:b].tobytes() for a, b in zip(begins, stops)], pa.binary()),
-                            pa.array([own[a:b].tobytes() for a, b in zip(begins, stops)], pa.binary()),
-                        ],
-                        ["part", "z", "own"],
-                    )
+    A group of rows too large to be expanded at once is dealt by the next eight bits, and so on.
+    """
+    links = [(own[:0], own[:0])]
+    order = np.argsort(z >> np.uint64(bits), kind="stable")
+    key = z[order] >> np.uint64(bits)
+    first = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    alone = np.repeat(size == 1, size)
+    order, size = order[~alone], size[size > 1]
+    if not len(order):
+        return links[0]
+    z, own, spare = z[order], own[order], spare[order]
+    low = [np.array(masks(r, range(bits)), np.int64).view(np.uint64) for r in range(int(spare.max()) + 1)]
+    cost = np.add.reduceat(np.array([len(x) for x in low])[spare], np.cumsum(size) - size)
+    large = cost > EXPANDED
+    block = np.cumsum(np.where(large, EXPANDED, cost)) // EXPANDED + np.cumsum(large) + np.cumsum(np.concatenate(([0], large[:-1])))
+    edges = np.flatnonzero(np.diff(block)) + 1
+    ends = np.cumsum(size)
+    for g, h in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(size)]))):
+        i, j = (ends[g - 1] if g else 0), ends[h - 1]
+        zs, owns, spares = z[i:j], own[i:j], spare[i:j]
+        if large[g] and bits > 8:
+            top, rest = np.uint64(bits - 8), (zs >> np.uint64(bits - 8)) & np.uint64(255)
+            for value in range(256):
+                flips = np.bitwise_count(rest ^ np.uint64(value)).astype(np.int64)
+                can = flips <= spares
+                if can.sum() > 1:
+                    moved = zs[can] ^ ((rest[can] ^ np.uint64(value)) << top)
+                    links.append(met(moved, owns[can], spares[can] - flips[can], bits - 8))
+            continue
+        made = [(zs[spares == r][:, None] ^ low[r][None, :], owns[spares == r]) for r in range(len(low))]
+        variant = np.concatenate([m.ravel() for m, _ in made])
+        owner = np.concatenate([np.repeat(o, m.shape[1]) for m, o in made])
+        order = np.argsort(variant, kind="stable")
+        variant, owner = variant[order], owner[order]
+        same = (variant[1:] == variant[:-1]) & (owner[1:] != owner[:-1])
+        if same.any():
+            links.append(forest(owner[1:][same], owner[:-1][same]))
+    return forest(*(np.concatenate([x[k] for x in links]) for k in (0, 1)))
+
+
+def long_array(values: list[int]) -> Column:
+    return F.lit(values).cast("array<long>")
+
+
+def variants(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, m, slot): an upper mask for every upper part of the variants of a fingerprint, and the hash slot of that part."""
+    upper = distinct.select("fp", F.explode(long_array(masks(radius // 2, range(LOW, BITS)))).alias("m"))
+    h = F.xxhash64(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), LOW))
+    return upper.withColumn("slot", F.shiftrightunsigned(h, 8).bitwiseAND(SLOTS - 1))
+
+
+def hot_slots(every: DataFrame, hot_rows: int) -> list[int]:
+    """Slots with more than hot_rows rows and than four times the mean of all slots: a quarter of the slots at most."""
+    counted = common.cut(every.groupBy("slot").agg(F.count("*").alias("n")))
+    mean = counted.agg(F.sum("n")).first()[0] or 0
+    return [r["slot"] for r in counted.filter(F.col("n") > max(hot_rows, 4 * mean // SLOTS)).select("slot").collect()]
+
+
+def round_links(every: DataFrame, hot: list[int], this: int, rounds: int, parts: int, radius: int) -> DataFrame:
+    """(a, b): a forest of links found by one round's variants; b is the smaller, unsigned."""
+    half = radius // 2
+    here = every.filter(F.pmod("slot", F.lit(rounds)) == this)
+    rows = here.filter(~F.col("slot").isin(hot) if hot else F.lit(True)).select("fp", "m", F.lit(False).alias("whole"))
+    if hot:
+        spare = half - F.bit_count("m")
+        lower = F.when(spare == 0, long_array(masks(0)))
+        for r in range(1, half + 1):
+            lower = lower.when(spare == r, long_array(masks(r, range(LOW))))
+        dealt = here.filter(F.col("slot").isin(hot)).select("fp", "m", F.explode(lower).alias("low"))
+        rows = rows.unionByName(dealt.select("fp", F.col("m").bitwiseXOR(F.col("low")).alias("m"), F.lit(True).alias("whole")))
+    variant = F.col("fp").bitwiseXOR(F.col("m"))
+    key = F.when(F.col("whole"), variant).otherwise(F.shiftrightunsigned(variant, LOW))
 
     def resolve(batches):
-        z, own = [], []
+        columns = [[], [], []]
         for batch in batches:
-            z += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            own += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-        if not z:
-            return
-        z, own = np.concatenate(z), np.concatenate(own)
-        order = np.argsort(z)
-        z, own = z[order], own[order]
-        same = z[1:] == z[:-1]
-        if not same.any():
+            for k, held in enumerate(columns):
+                held.append(batch.column(k).to_numpy(zero_copy_only=False))
+        if not columns[0]:
             return
-        group = np.concatenate(([0], np.cumsum(~same)))
-        least = np.minimum.reduceat(own, np.concatenate(([0], np.flatnonzero(~same) + 1)))[group]
-        linked = own != least
-        pairs = np.unique(np.stack((least[linked], own[linked]), 1), axis=0)
-        for i in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[i : i + 50_000, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+        fp, m, whole = map(np.concatenate, columns)
+        fp, m = fp.view(np.uint64), m.view(np.uint64)
+        z, spare = fp ^ m, half - np.bitwise_count(m).astype(np.int64)
+        found = [met(z[~whole], fp[~whole], spare[~whole], LOW), met(z[whole], fp[whole], 0 * spare[whole], 0)]
+        a, b = forest(*(np.concatenate([x[k] for x in found]) for k in (0, 1)))
+        for i in range(0, len(a), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    blocks = distinct.mapInArrow(expand, "part int, z binary, own binary")
-    return blocks.repartition(parts, "part").mapInArrow(resolve, "a long, b long").distinct()
+    return rows.repartition(parts, key).mapInArrow(resolve, "a long, b long").distinct()
 
 
-def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
-    """Distinct (a, b) that connect all fingerprints within the radius; a is the smaller, unsigned."""
+def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distinct (a, b) that connect all fingerprints within the radius, fewer than a task's fingerprints from each task."""
     spark = fps.sparkSession
-    distinct = common.cut(fps.select("fp").distinct())
-    n = distinct.count()
-    # A partition of a round resolves about half a million variants, whatever the input's size.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks(radius // 2)) // rounds // 500_000 + 1)
-    spread = distinct.repartition(max(1, min(parts, n // BLOCK + 1)))
+    distinct = common.cut(fps.select("fp").filter(F.col("fp").isNotNull()).distinct())
+    rows = distinct.count() * len(masks(radius // 2, range(LOW, BITS)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // rounds // PARTITION_ROWS + 1)
+    every = variants(common.cut(distinct.repartition(rows // PARTITION_ROWS + 1)), radius)
     found = None
     with common.shuffle_files_dropped(spark):
+        hot = hot_slots(every, hot_rows)
         for this in range(rounds):
-            made = common.cut(round_links(spread, this, rounds, parts, radius))
+            made = common.cut(round_links(every, hot, this, rounds, parts, radius))
             found = made if found is None else found.unionByName(made)
         return common.cut(found.distinct())
 
@@ -182,8 +243,10 @@ def groups(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFr
     root names the component; component_id is its smallest doc_id.
     """
     roots = components(links(fps, radius, rounds)).withColumnRenamed("node", "fp")
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return common.cut(own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"))
+    own = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = common.cut(own.groupBy("root").agg(F.min("least").alias("component_id")))
+    # Both sides are stored, so Spark can split the rows of the largest component between tasks.
+    return common.cut(own.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
@@ -193,12 +256,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS)
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
-    """One row of each component, with the columns of docs: the one with the smallest doc_id."""
+    """One row of each component, with the columns of docs: the one with the smallest doc_id (ties: see above)."""
     whole = F.struct(*docs.columns).alias("row")  # so that no column of docs can clash with ours
-    marked = common.written(fingerprints(docs.select(whole, "doc_id", "text")).select("row", "doc_id", "fp"))
+    marked = common.written(fingerprints(docs.select(whole, "doc_id", "text")).select("row", "doc_id", F.struct(*common.text_key(F.col("text"))).alias("key"), "fp"))
     found = groups(marked.select("doc_id", "fp"), radius, rounds)
-    first = marked.join(found, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    return first.select("row.*")
+    # Candidates are aggregated before they meet their component: a row for each fingerprint, whatever its copies.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key", F.xxhash64("row").alias("h"))
+    best = marked.groupBy("fp").agg(F.min(order).alias("first")).join(found.select("fp", "root"), "fp")
+    winners = common.cut(best.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("w")).select("w.fp", "w.first.*"))
+    hashed, won = marked.withColumn("h", F.xxhash64("row")), winners.select("id", *[F.col(c).alias(f"won_{c}") for c in ("fp", "key", "h")])
+    same = [F.col(c) == F.col(f"won_{c}") for c in ("fp", "key", "h")]
+    picked = hashed.join(won, [F.col("doc_id").eqNullSafe(F.col("id")), *same])
+    return picked.groupBy("fp", "key").agg(F.any_value("row").alias("row")).select("row.*")  # one of rows that are equal
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

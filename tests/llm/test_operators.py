@@ -180,6 +180,63 @@ def test_simhash_links(spark):
     assert {signed[k][0] for k in range(5)} <= linked and not {signed[5][0], signed[6][0]} & linked
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def roots_of(df):
+    return {r["node"]: r["root"] for r in simhash.components(df).collect()}
+
+
+@pytest.mark.parametrize("hot_rows", [simhash.HOT_ROWS, 0, 50])
+def test_simhash_large_group(spark, hot_rows):
+    """2,000 near copies and some chains: the components are those of all pairs, the links fewer than rows."""
+    base = random.getrandbits(64)
+    flip = lambda x, n: x ^ sum(1 << b for b in random.sample(range(64), n))
+    prints = {flip(base, random.randint(0, 4)) for _ in range(2000)} | {random.getrandbits(64) for _ in range(200)}
+    for _ in range(30):
+        x = random.getrandbits(64)
+        for _ in range(6):
+            prints.add(x)
+            x = flip(x, random.randint(3, 5))
+    prints = sorted(prints)
+    table = [(signed(p),) for p in prints]
+    found = simhash.links(spark.createDataFrame(table, "fp long"), hot_rows=hot_rows)
+    assert found.count() < 60 * len(prints)
+    root, group = roots_of(found), brute.components(prints)
+    mine = {}
+    for p, g in zip(prints, group):
+        mine.setdefault(g, set()).add(root.get(signed(p), signed(p)))
+    assert all(len(x) == 1 for x in mine.values()) and len(set().union(*mine.values())) == len(mine)
+
+
+def test_simhash_dealt_further():
+    """Groups too large to be expanded at once are dealt by further bits, with the same links."""
+    import numpy as np
+
+    base = random.getrandbits(64)
+    prints = sorted({base ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 5))) for _ in range(300)})
+    half = np.array(simhash.masks(2, range(32, 64)), np.int64).view(np.uint64)
+    own = np.repeat(np.array(prints, np.uint64), len(half))
+    m = np.tile(half, len(prints))
+    spare = 2 - np.bitwise_count(m).astype(np.int64)
+    group = brute.components(prints)
+    expected = {prints[k]: prints[g] for k, g in enumerate(group) if g != k}
+    before = simhash.EXPANDED
+    try:
+        for simhash.EXPANDED in (before, 3000):
+            assert dict(zip(*(x.tolist() for x in simhash.met(own ^ m, own, spare, 32)))) == expected
+    finally:
+        simhash.EXPANDED = before
+
+
+def test_keep_first_ties(spark):
+    """Repeated ids, null ids and equal rows: one row of each component, always the same."""
+    table = [(1, "one two three four five", "b"), (1, "one two three four five", "a"), (1, "One two three four five", "c"), (None, "one two three four five", "d"), (None, "alone and other words", "e"), (None, "alone and other words", "e")]
+    picks = [rows(simhash.keep_first(spark.createDataFrame(table[::step], "doc_id long, text string, source string"))) for step in (1, -1)]
+    assert picks[0] == picks[1] and len(picks[0]) == 2
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 102), (101, 102)], "a long, b long")
     got = dict(rows(simhash.components(edges)))
