@@ -13,7 +13,8 @@ All suffixes, cut to that length, would be sorted; only those in contested suffi
    difference-cover sample (v = 31, 6 residues): of any two suffixes, one offset below v brings both
    to sampled positions, where 248-byte ranks made by prefix doubling decide. Ties are split by a
    three-way quicksort, all groups at once.
-4. A bucket too large for a block's memory is resolved in Spark by 128-bit hashes of its suffixes.
+4. A bucket too large for a block is dealt into several by a salt, each sorted the same way. Of every
+   set of equal suffixes one leaves its block, as a 128-bit digest; Spark counts these over the blocks.
 5. Runs of repeated suffixes go back to their texts and are cut out.
 
 Only contested segments and, at the end, the documents themselves are shuffled with their bytes.
@@ -37,9 +38,11 @@ from . import common
 
 LENGTH = 400
 GRAM = 32
-#: Bytes of contested segments that are sorted at a time, and those of a bucket from which step 4 takes over.
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 24 << 20
+#: Bytes of contested segments that are sorted at a time (they stay in a core's cache), and those of a bucket from which step 4 takes over.
+BLOCK_BYTES = 512 << 10
+BUCKET_BYTES = 4 << 20
+#: Bytes of texts that are hashed at a time.
+CHUNK_BYTES = 128 << 10
 
 # A perfect difference set; every residue modulo 31 is a difference of two members.
 COVER_PERIOD = 31
@@ -137,8 +140,8 @@ def sample_ranks(data: np.ndarray, words: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def repeated_starts(pieces: list[bytes], counts: list[int], length: int = LENGTH) -> np.ndarray:
-    """Of all starts (counts[i] in pieces[i], one after the other): does its suffix's prefix occur again in the block?"""
+def equal_starts(pieces: list[bytes], counts: list[int], length: int = LENGTH) -> np.ndarray:
+    """For all starts (counts[i] in pieces[i], one after the other): number of a start with the same `length` bytes, the same for all of these."""
     v, table = COVER_PERIOD, cover_offsets()
     data = np.frombuffer(b"".join(pieces) + bytes(16), np.uint8)
     begins = np.cumsum([0, *map(len, pieces[:-1])])
@@ -151,7 +154,7 @@ def repeated_starts(pieces: list[bytes], counts: list[int], length: int = LENGTH
     assert 0 <= near <= RANKED - v
     tail = length - v
     group = dense(*(words[starts + o] for o in (0, 8, 16, 23)), *(words[starts + tail + o] for o in (0, 8, 16, 23)))
-    found = np.zeros(len(starts), bool)
+    found = np.arange(len(starts))
     order = np.argsort(group, kind="stable")
     group = group[order]
     while len(order):
@@ -169,8 +172,7 @@ def repeated_starts(pieces: list[bytes], counts: list[int], length: int = LENGTH
         side = np.where(side == 0, np.sign(ranks[i + e] - ranks[p + e]), side)
         same = side == 0
         others = same & (order != pivot)
-        found[order[others]] = True
-        found[pivot[others]] = True
+        found[order[others]] = pivot[others]
         order, group = order[~same], (2 * group + (side > 0))[~same]
         again = np.argsort(group, kind="stable")
         order = order[again]
@@ -190,7 +192,13 @@ def find_segments(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-            rows = list(segments([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()], length))
+            rows, held, size, n = [], [], 0, batch.num_rows
+            for j, t in enumerate(batch.column(2).to_pylist()):
+                held.append((t or "").encode("utf-8", "surrogatepass"))
+                size += len(held[-1])
+                if size >= CHUNK_BYTES or j == n - 1:
+                    rows += [(j + 1 - len(held) + i, *r) for i, *r in segments(held, length)]
+                    held, size = [], 0
             digests = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(-1, 2)
             i = np.array([r[0] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -210,50 +218,44 @@ def find_segments(docs: DataFrame, length: int) -> DataFrame:
 
 
 def sort_blocks(contested: DataFrame, length: int, block_bytes: int) -> DataFrame:
-    """(d1, d2, first, len): runs of repeated starts in contested segments (bucket, d1, d2, n, bytes)."""
+    """(d1, d2, first, len, a, b): runs of starts repeated in their block, of contested segments (bucket, salt, d1, d2, n, bytes).
+
+    Blocks are of whole buckets, but where the bucket is dealt by a salt. Then one start of every set of
+    equal ones follows, a and b being the digest of its `length` bytes.
+    """
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches):
         held, size = [], 0
 
         def solved():
-            flags = repeated_starts([h[3] for h in held], [h[2] for h in held], length)
+            same = equal_starts([h[4] for h in held], [h[3] for h in held], length)
+            often = np.bincount(same, minlength=len(same))
             at, rows = 0, []
-            for d1, d2, n, _ in held:
-                rows += [(d1, d2, a, b) for a, b in zip(*(x.tolist() for x in runs_of(flags[at : at + n])))]
+            for salt, d1, d2, n, data in held:
+                own = same[at : at + n]
+                rows += [(d1, d2, a, b, None, None) for a, b in zip(*(x.tolist() for x in runs_of(often[own] > 1)))]
+                if salt is not None:
+                    for i in np.flatnonzero(own == np.arange(at, at + n)).tolist():
+                        rows.append((d1, d2, i, 1, *np.frombuffer(xxhash.xxh3_128_digest(data[i : i + length]), np.int64).tolist()))
                 at += n
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["d1", "d2", "first", "len"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["d1", "d2", "first", "len", "a", "b"])
 
         last = None
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if size >= block_bytes and bucket != last:
+            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                part = bucket, row[0]
+                if size >= block_bytes and part != last:
                     yield solved()
                     held.clear()
                     size = 0
                 held.append(row)
-                size += len(row[3])
-                last = bucket
+                size += len(row[4])
+                last = part
         if held:
             yield solved()
 
-    return common.by_batches(contested.select("bucket", "d1", "d2", "n", "bytes"), run, "d1 long, d2 long, first int, len int")
-
-
-def hash_starts(contested: DataFrame, length: int) -> DataFrame:
-    """The same runs for buckets of any size: 128-bit hashes of all suffixes, counted by Spark."""
-
-    def run(batches):
-        for batch in batches:
-            for d1, d2, n, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                made = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x] * n, pa.int64()) for x in (d1, d2)] + [pa.array(np.arange(n, dtype=np.int32))] + [pa.array(np.ascontiguousarray(made[:, i])) for i in (0, 1)],
-                    ["d1", "d2", "first", "a", "b"],
-                )
-
-    each = common.by_batches(contested.select("bucket", "d1", "d2", "n", "bytes"), run, "d1 long, d2 long, first int, a long, b long")
-    twice = each.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").select("a", "b")
-    return each.join(twice, ["a", "b"]).select("d1", "d2", "first", F.lit(1).alias("len"))
+    return common.by_batches(contested.select("bucket", "salt", "d1", "d2", "n", "bytes"), run, "d1 long, d2 long, first int, len int, a long, b long")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -268,12 +270,15 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOC
         contested = distinct.join(common.cut(sizes.filter("kinds > 1")), "bucket")
         own = contested.select("bucket", "d1", "d2", "size", "copies", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "d1", "d2", "size", "start", "n")).alias("own"))
         texts = docs.select("k1", "k2", F.col("text").cast("binary").alias("data"))
-        # Copies of a text give the same segment again: one of each is kept.
-        cut_out = texts.join(own, ["k1", "k2"]).select("data", F.explode("own").alias("s")).select("s.*", F.expr(f"substring(data, s.start + 1, s.n + {length - 1})").alias("bytes"))
-        pieces = common.written(cut_out.dropDuplicates(["d1", "d2"]))
-        fits = F.col("size") <= bucket_bytes
-        blocks = pieces.filter(fits).repartition("bucket").sortWithinPartitions("bucket")
-        found = sort_blocks(blocks, length, block_bytes).unionByName(hash_starts(pieces.filter(~fits), length))
+        # Of the copies of a text one is cut up.
+        once = texts.groupBy("k1", "k2").agg(F.any_value("data").alias("data")).join(own, ["k1", "k2"])
+        pieces = once.select("data", F.explode("own").alias("s")).select("s.*", F.expr(f"substring(data, s.start + 1, s.n + {length - 1})").alias("bytes"))
+        salts = F.ceil(F.col("size") / bucket_bytes)
+        blocks = pieces.withColumn("salt", F.when(salts > 1, F.pmod("d1", salts))).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+        sorted_ = common.written(sort_blocks(blocks, length, block_bytes))
+        alike = sorted_.filter("a IS NOT NULL")
+        twice = alike.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").select("a", "b")
+        found = sorted_.filter("a IS NULL").unionByName(alike.join(twice, ["a", "b"])).select("d1", "d2", "first", "len")
         # A segment that occurs twice is repeated as a whole, whatever else its bucket has.
         whole = distinct.filter("copies > 1").select("d1", "d2", F.lit(0).alias("first"), F.col("at.n").alias("len"))
         marked = common.written(whole.unionByName(found))

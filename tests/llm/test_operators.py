@@ -47,7 +47,7 @@ def same(got, expected):
 PAIRS = [(i, t) for i, t, _ in TEXTS]
 
 
-@pytest.mark.parametrize("block,bucket", [(4 << 20, 24 << 20), (2000, 24 << 20), (4 << 20, 0)])
+@pytest.mark.parametrize("block,bucket", [(4 << 20, 24 << 20), (2000, 24 << 20), (4 << 20, 1000), (2000, 3000)])
 def test_suffix_dedup(docs, block, bucket):
     got = suffix_dedup.digests(suffix_dedup.with_runs(docs.select("doc_id", "text"), block_bytes=block, bucket_bytes=bucket))
     same(rows(got), brute.suffix_dedup(PAIRS))
@@ -68,8 +68,8 @@ def test_suffix_blocks_random():
         pieces += [bytes(random.choice(b"xy") for _ in range(random.randint(0, 50))) + p for p in pieces[:3]]
         counts = [len(p) - 399 for p in pieces]
         all_ = [p[i : i + 400] for p, n in zip(pieces, counts) for i in range(n)]
-        flags = suffix_dedup.repeated_starts(pieces, counts)
-        assert flags.tolist() == [all_.count(x) > 1 for x in all_]
+        same = suffix_dedup.equal_starts(pieces, counts).tolist()
+        assert all(all_[i] == all_[k] and same[k] == k for i, k in enumerate(same)) and len(set(same)) == len(set(all_))
 
 
 PAGES = {
