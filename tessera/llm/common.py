@@ -7,7 +7,6 @@ worked out once per class and joined back to the rows, so thousands of exact cop
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -32,12 +31,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which a cluster shares too."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        )
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return context.getCheckpointDir()
 
 
@@ -104,8 +101,33 @@ def shuffle_files_dropped(spark: SparkSession):
             spark.conf.set(key, before)
 
 
-def written(df: DataFrame) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Gives a `written` whose tables are deleted at the end; what is still needed then must be written by itself."""
+    paths = []
+
+    def write(df: DataFrame) -> DataFrame:
+        paths.append(new_folder(spark))
+        return written(df, paths[-1])
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            deleted(spark, path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write an intermediate table as Parquet to the shared checkpoint folder and read it from there."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = path or new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -19,6 +19,10 @@ All suffixes, cut to that length, would be sorted; only those in contested suffi
 
 Only contested segments and, at the end, the documents themselves are shuffled with their bytes.
 
+`repeated_words` finds passages of more than 50 words that stand elsewhere too, however few bytes they
+have, the same way: every word is written as a 32-bit code, and 51 codes are the length. Passages that
+differ in a word are taken for equal with a chance of one in 2^32.
+
 Defined results: null text counts as empty; texts below 400 bytes lose nothing; ids may be null or
 repeated, each row gives one row; an empty table gives none; other columns are ignored.
 """
@@ -38,6 +42,9 @@ from . import common
 
 LENGTH = 400
 GRAM = 32
+#: Words of a repeated passage (at least), and bytes of a word's code.
+PASSAGE_WORDS = 51
+CODE = 4
 #: Bytes of contested segments that are sorted at a time (they stay in a core's cache), and those of a bucket from which step 4 takes over.
 BLOCK_BYTES = 512 << 10
 BUCKET_BYTES = 4 << 20
@@ -47,8 +54,6 @@ CHUNK_BYTES = 128 << 10
 # A perfect difference set; every residue modulo 31 is a difference of two members.
 COVER_PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-DOUBLINGS = 3
-RANKED = COVER_PERIOD << DOUBLINGS
 
 
 def cover_offsets() -> np.ndarray:
@@ -129,13 +134,18 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def sample_ranks(data: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """[position]: rank of the RANKED bytes from there, for positions in the cover; by prefix doubling."""
+def doublings(length: int) -> int:
+    """How often ranks can be doubled so that the ranked bytes, from any offset below the period, stay within `length`."""
+    return ((length - COVER_PERIOD + 1) // COVER_PERIOD).bit_length() - 1
+
+
+def sample_ranks(data: np.ndarray, words: np.ndarray, times: int) -> np.ndarray:
+    """[position]: rank of the (period << times) bytes from there, for positions in the cover; by prefix doubling."""
     v = COVER_PERIOD
     sampled = np.flatnonzero(np.isin(np.arange(len(data) - v + 1) % v, COVER))
-    ranks = np.full(len(data) + RANKED, -1, np.int64)
+    ranks = np.full(len(data) + (v << times), -1, np.int64)
     ranks[sampled] = dense(*(words[sampled + o] for o in (0, 8, 16, 23)))
-    for k in range(DOUBLINGS):
+    for k in range(times):
         ranks[sampled] = dense(ranks[sampled], ranks[sampled + (v << k)])
     return ranks
 
@@ -149,9 +159,10 @@ def equal_starts(pieces: list[bytes], counts: list[int], length: int = LENGTH) -
     owner = np.repeat(np.arange(len(pieces)), n)
     starts = begins[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     words = words_at(data)
-    ranks = sample_ranks(data, words)
-    near = length - RANKED - (v - 1)  # from here on, a sampled position's ranked bytes end within the prefix
-    assert 0 <= near <= RANKED - v
+    times = doublings(length)
+    ranks, ranked = sample_ranks(data, words, times), v << times
+    near = length - ranked - (v - 1)  # from here on, a sampled position's ranked bytes end within the prefix
+    assert 0 <= near <= ranked - v
     tail = length - v
     group = dense(*(words[starts + o] for o in (0, 8, 16, 23)), *(words[starts + tail + o] for o in (0, 8, 16, 23)))
     found = np.arange(len(starts))
@@ -187,14 +198,14 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_segments(docs: DataFrame, length: int) -> DataFrame:
-    """(bucket, d1, d2, k1, k2, start, n) of every row."""
+    """(bucket, d1, d2, k1, k2, start, n) of every row (k1, k2, data)."""
 
     def run(batches):
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
             rows, held, size, n = [], [], 0, batch.num_rows
             for j, t in enumerate(batch.column(2).to_pylist()):
-                held.append((t or "").encode("utf-8", "surrogatepass"))
+                held.append(t or b"")
                 size += len(held[-1])
                 if size >= CHUNK_BYTES or j == n - 1:
                     rows += [(j + 1 - len(held) + i, *r) for i, *r in segments(held, length)]
@@ -214,7 +225,7 @@ def find_segments(docs: DataFrame, length: int) -> DataFrame:
                 ["bucket", "d1", "d2", "k1", "k2", "start", "n"],
             )
 
-    return common.by_batches(docs.select("k1", "k2", "text"), run, "bucket long, d1 long, d2 long, k1 long, k2 long, start int, n int")
+    return common.by_batches(docs.select("k1", "k2", "data"), run, "bucket long, d1 long, d2 long, k1 long, k2 long, start int, n int")
 
 
 def sort_blocks(contested: DataFrame, length: int, block_bytes: int) -> DataFrame:
@@ -259,29 +270,29 @@ def sort_blocks(contested: DataFrame, length: int, block_bytes: int) -> DataFram
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(k1, k2, runs: array<struct<start, len>>) of every text with repeated starts; docs has k1, k2, text."""
-    with common.shuffle_files_dropped(docs.sparkSession):
-        every = common.written(find_segments(docs, length))
-        shared = common.written(every.groupBy("bucket").agg(F.count("*").alias("times")).filter("times > 1").select("bucket"))
-        kept = common.written(every.join(shared, "bucket"))
+    """(k1, k2, runs: array<struct<start, len>>) of every row with repeated starts; docs has k1, k2, data (binary)."""
+    spark = docs.sparkSession
+    with common.shuffle_files_dropped(spark), common.scratch(spark) as written:
+        every = written(find_segments(docs, length))
+        shared = written(every.groupBy("bucket").agg(F.count("*").alias("times")).filter("times > 1").select("bucket"))
+        kept = written(every.join(shared, "bucket"))
         place = F.struct("k1", "k2", "start", "n")
-        distinct = common.written(kept.groupBy("bucket", "d1", "d2").agg(F.count("*").alias("copies"), F.min(place).alias("at")))
+        distinct = written(kept.groupBy("bucket", "d1", "d2").agg(F.count("*").alias("copies"), F.min(place).alias("at")))
         sizes = distinct.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.col("at.n") + length - 1).alias("size"))
-        contested = distinct.join(common.cut(sizes.filter("kinds > 1")), "bucket")
+        contested = distinct.join(written(sizes.filter("kinds > 1")), "bucket")
         own = contested.select("bucket", "d1", "d2", "size", "copies", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "d1", "d2", "size", "start", "n")).alias("own"))
-        texts = docs.select("k1", "k2", F.col("text").cast("binary").alias("data"))
         # Of the copies of a text one is cut up.
-        once = texts.groupBy("k1", "k2").agg(F.any_value("data").alias("data")).join(own, ["k1", "k2"])
+        once = docs.select("k1", "k2", "data").groupBy("k1", "k2").agg(F.any_value("data").alias("data")).join(own, ["k1", "k2"])
         pieces = once.select("data", F.explode("own").alias("s")).select("s.*", F.expr(f"substring(data, s.start + 1, s.n + {length - 1})").alias("bytes"))
         salts = F.ceil(F.col("size") / bucket_bytes)
         blocks = pieces.withColumn("salt", F.when(salts > 1, F.pmod("d1", salts))).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
-        sorted_ = common.written(sort_blocks(blocks, length, block_bytes))
+        sorted_ = written(sort_blocks(blocks, length, block_bytes))
         alike = sorted_.filter("a IS NOT NULL")
         twice = alike.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times > 1").select("a", "b")
         found = sorted_.filter("a IS NULL").unionByName(alike.join(twice, ["a", "b"])).select("d1", "d2", "first", "len")
         # A segment that occurs twice is repeated as a whole, whatever else its bucket has.
         whole = distinct.filter("copies > 1").select("d1", "d2", F.lit(0).alias("first"), F.col("at.n").alias("len"))
-        marked = common.written(whole.unionByName(found))
+        marked = written(whole.unionByName(found))
         places = kept.join(marked, ["d1", "d2"]).select("k1", "k2", (F.col("start") + F.col("first")).alias("start"), "len").distinct()
         return common.written(places.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).alias("runs")))
 
@@ -298,10 +309,43 @@ def cut_spans(size: int, runs: list[tuple[int, int]], length: int = LENGTH) -> l
     return spans
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", *common.text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def with_runs(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, text, runs) of every row of (doc_id, text)."""
-    keyed = docs.select("doc_id", *common.text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    return keyed.join(repeated_runs(keyed.select("k1", "k2", "text"), length, block_bytes, bucket_bytes), ["k1", "k2"], "left").select("doc_id", "text", "runs")
+    own = keyed(docs)
+    data = own.select("k1", "k2", F.col("text").cast("binary").alias("data"))
+    return own.join(repeated_runs(data, length, block_bytes, bucket_bytes), ["k1", "k2"], "left").select("doc_id", "text", "runs")
+
+
+def word_codes(docs: DataFrame) -> DataFrame:
+    """(k1, k2, data: the codes of the text's words) of every row of (k1, k2, text)."""
+
+    def run(batches):
+        for batch in batches:
+            split = [t.encode("utf-8", "surrogatepass").split() for t in batch.column(2).to_pylist()]
+            codes = [np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)).tobytes() for words in split]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["k1", "k2", "data"])
+
+    return common.by_batches(docs.select("k1", "k2", "text"), run, "k1 long, k2 long, data binary")
+
+
+def repeated_words(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(k1, k2, n_repeated_words) of the texts (k1, k2, text) with passages of at least `words` words that stand elsewhere too."""
+    with common.scratch(docs.sparkSession) as written:
+        runs = repeated_runs(written(word_codes(docs)), words * CODE)
+
+    def run(batches):
+        for batch in batches:
+            counts = []
+            for found in batch.column(2).to_pylist():
+                whole = [(-(-r["start"] // CODE), (r["start"] + r["len"] - 1) // CODE) for r in found]  # first and last word that starts one
+                counts.append(sum(b - a for a, b in cut_spans(1 << 60, [(a, b - a + 1) for a, b in whole if a <= b], words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["k1", "k2", "n_repeated_words"])
+
+    return common.by_batches(runs, run, "k1 long, k2 long, n_repeated_words long")
 
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -328,16 +372,22 @@ def _cut(batch, length):
 
 
 def digests(joined: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns of (doc_id, text, runs, ...), then the further ones."""
+    more = [f for f in joined.schema if f.name not in ("doc_id", "text", "runs")]
 
     def run(batches):
         for batch in batches:
             rows = [(size, size - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for size, kept, spans in _cut(batch, length)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *[f.name for f in more]])
 
-    return common.by_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    types = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
+    return common.by_batches(joined.select("doc_id", "text", "runs", *[f.name for f in more]), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + types)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return digests(with_runs(docs))
+    own = keyed(common.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
+    runs = repeated_runs(own.select("k1", "k2", F.col("text").cast("binary").alias("data")))
+    found = common.written(runs.join(repeated_words(own), ["k1", "k2"], "full"))
+    joined = own.join(found, ["k1", "k2"], "left").withColumn("n_repeated_words", F.coalesce("n_repeated_words", F.lit(0)).cast("long"))
+    return digests(joined.select("doc_id", "text", "runs", "n_repeated_words"))

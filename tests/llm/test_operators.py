@@ -53,6 +53,19 @@ def test_suffix_dedup(docs, block, bucket):
     same(rows(got), brute.suffix_dedup(PAIRS))
 
 
+def test_repeated_words(spark):
+    """Passages of 51 words and more that stand elsewhere, in few bytes or many; 50 words are none."""
+    table = [(i, t) for i, t in PAIRS if t and "\ud800" not in t] + [(200 + k, f"{words(9)} q{k} " + " ".join(LONG.split()[2000 : 2000 + n]) + f" r{k}") for k, n in enumerate((49, 50, 51, 52, 90))]
+    own = suffix_dedup.keyed(spark.createDataFrame(table, "doc_id long, text string"))
+    got = {(r["k1"], r["k2"]): r["n_repeated_words"] for r in suffix_dedup.repeated_words(own).collect()}
+    found = [(r["text"], got.get((r["k1"], r["k2"]), 0)) for r in own.collect()]
+    split = {t: t.split() for t, _ in found}
+    seen = brute.Counter(tuple(ws[i : i + 51]) for t, _ in found for ws in [split[t]] for i in range(len(ws) - 50))
+    for t, n in found:
+        ws = split[t]
+        assert n == len({j for i in range(len(ws) - 50) if seen[tuple(ws[i : i + 51])] > 1 for j in range(i, i + 51)})
+
+
 def test_suffix_dedup_spans(docs, empty):
     for r in suffix_dedup.dedup_suffixes(docs.select("doc_id", "text")).filter("doc_id = 3").collect():
         assert r["spans"][0]["begin"] == 0 and bytes(r["kept"]) == b"" or r["spans"]
