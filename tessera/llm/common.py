@@ -21,6 +21,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Tables up to this many rows (of bounded width) are hinted for broadcast after they were counted.
 BROADCAST_ROWS = 100_000
+#: Bytes of variable width that such tables may hold.
+BROADCAST_BYTES = 16 << 20
 #: Bytes and rows of an Arrow batch; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 10_000
@@ -44,12 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """Hint a broadcast only if the table was counted and is small; else Spark plans a shuffle join.
 
-    ``df`` should be cheap to count (a checkpoint or a small aggregate).
+    ``df`` should be cheap to count (a checkpoint or a small aggregate). `size` is the bytes of a row's
+    columns of variable width, whose sum is bounded too.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    few = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.lit(0) if size is None else size).alias("bytes")).first()
+    return F.broadcast(df) if few["n"] <= rows and (few["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def text_key(text: Column) -> list[Column]:

@@ -6,39 +6,48 @@
 3. Pages are read again with their host's winning path: the text of every container on that path is
    the page's text. A page without such a container falls back to its own best one.
 
+What an element is for follows from its tag (menus, forms, ...) or, as a first guess only, from words of
+its class, id or role. On such *marked* elements a page votes too: content, if nearly all of its running
+text is there. Of a path on which the pages of a host disagree, or whose text repeats from page to page,
+the host's majority decides, and repeated text is never content; else a page's own vote holds.
+
 The scanner is a small one: tags, comments, raw-text elements (up to their own end tag, whatever they
-hold) and the end tags HTML lets one omit.
-Winning paths are broadcast only after they were counted and found few; else pages are joined by
-host with the votes' table split by salt, so that a host with many pages doesn't fill one task.
+hold) and the end tags HTML lets one omit. Its time and memory are linear in the page, however deep its
+elements are nested and wherever a tag or quote is left open. Paths are 64-bit hashes.
+Verdicts are broadcast only after they were counted and found small; else pages are joined by host with
+the verdicts split by salt, so that a host with many pages doesn't fill one task.
 
 Defined results: null html counts as empty and gives an empty text; a null or broken url has the host
-''; ids may be null or repeated, each row gives one row; an empty table gives none; other columns are
-ignored.
+''; ids may be null or repeated, each row gives one row; a tag left open at the end of a page is
+dropped; ties go to the deeper container, then to the earlier one, and between paths to the greater
+hash; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What may end a tag: its '>', or a quoted value first.
+STOP = re.compile(r">|=\s*([\"'])")
+ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp".split())
-#: Raw elements that hold plain text: no tag or comment in them counts but their own end tag.
+#: Elements that hold plain text: no tag or comment in them counts but their own end tag.
 PLAIN = frozenset("script style textarea title iframe noscript xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mfrac mi mn mo mrow ms msqrt msub msup mtext object".split())
 #: Elements whose text is never part of an article.
-APART = frozenset("nav footer aside form button select option menu dialog input head fieldset".split()) | RAW
+APART = frozenset("nav footer aside form button select option menu dialog input head template svg canvas".split())
+HEADINGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt figcaption".split())
 #: An open element is closed by the start of one of these, up to the element named after the colon.
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split()),
@@ -50,211 +59,307 @@ CLOSED_BY = {
     "th": frozenset(["td", "th", "tr"]),
     "option": frozenset(["option"]),
 }
+CLOSES = {tag: [k for k, v in CLOSED_BY.items() if tag in v] for tag in frozenset().union(*CLOSED_BY.values())}
 SCOPES = frozenset("ul ol dl table select article section div body main".split())
-#: Words of class, id or role that mark what isn't the article.
+#: Words of class, id or role that speak against an article; a page's and its host's votes may overrule them.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer gdpr masthead menu modal navbar navigation nav newsletter notice notices overlay pager pagination popup promo promoted promotion related recommended reply replies respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets alert".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr legal masthead menu modal navbar navigation nav newsletter notice notices overlay pager pagination popup privacy promo promoted promotion related recommended search share sharing sidebar social sponsor sponsored subscribe subscription terms toolbar widget widgets alert".split()
 )
-
+#: Words of readers' comments: overruled only where there is no other text.
+READERS = re.compile(r"^(comment(?!ary|aries)|disqus|respon[ds]|repl(y|ies))")
 
 #: Running text counts this much less for each level that a container is farther up.
 FARTHER = 0.8
+#: Share of the page's running text that a marked element must hold to be content.
+MOST = 0.8
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in PLAIN}
 
 
 class Element:
-    __slots__ = ("tag", "path", "apart", "parent", "depth", "score")
+    __slots__ = ("tag", "path", "apart", "mark", "parent", "block", "depth", "text", "gain", "loss", "inside")
 
-    def __init__(self, tag: str, path: str, apart: bool, parent: Element | None):
-        self.tag, self.path, self.apart, self.parent = tag, path, apart, parent
+    def __init__(self, tag: str, path: int, apart: bool, mark: int, parent: Element | None, inline: bool = False):
+        self.tag, self.path, self.apart, self.mark, self.parent = tag, path, apart, mark, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.score = 0.0
-
-
-END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in PLAIN}
-
-
-def tokens(source: str) -> Iterator[tuple[re.Match, int]]:
-    """(tag or comment, where what follows it begins): the content of a plain-text element is stepped over with its start tag."""
-    at = 0
-    while token := TOKEN.search(source, at):
-        at = token.end()
-        tag = (token[2] or "").lower()
-        if tag in PLAIN and not token[1] and not token[3].rstrip().endswith("/"):
-            end = END[tag].search(source, at)
-            at = end.end() if end else len(source)
-        yield token, at
+        self.block = parent.block if inline and parent else self
+        self.text, self.gain, self.loss, self.inside = 0.0, 0.0, 0.0, False
 
 
-def generalised(tag: str, attributes: str) -> tuple[str, bool]:
-    """(path step, apart): tag and classes with digits replaced; whether class, id or role mark boilerplate."""
-    classes, names, hidden = "", [], False
-    for name, value in ATTRIBUTE.findall(attributes):
+def generalised(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """(path step, hidden, mark: 0 to 2): tag and classes with digits replaced; what class, id and role say."""
+    classes, mark, hidden = "", 0, False
+    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "class":
             classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in value.split()}))
         if name in ("class", "id", "role"):
-            names.append(value)
+            for word in re.split(r"[^a-z]+", value):
+                mark = max(mark, 2 if READERS.match(word) else 1 if word in MARKS else 0)
         hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    marked = hidden or any(w in MARKS for v in names for w in re.split(r"[^a-z]+", v))
-    return f"{tag}.{classes}" if classes else tag, marked
+    return f"{tag}.{classes}" if classes else tag, hidden, mark
+
+
+def tags(source: str):
+    """(text before, closing, name, attributes) of each tag; last the text after all, with the name ''."""
+    at, n, quotes = 0, len(source), True
+    text: list[str] = []
+    while True:
+        i = source.find("<", at)
+        if i < 0 or i == n - 1:
+            text.append(source[at:])
+            break
+        kind = source[i + 1]
+        closing = kind == "/"
+        name = NAME.match(source, i + 1 + closing)
+        if not name and kind not in "!?/":
+            text.append(source[at : i + 1])  # a '<' in running text
+            at = i + 1
+            continue
+        text.append(source[at:i])
+        if not name:
+            end = source.find("-->", i + 4) + 3 if source.startswith("<!--", i) else source.find(">", i) + 1
+            if source.startswith("<!-->", i):
+                end = i + 5
+            if end < 3:
+                break
+            at = end
+            continue
+        j = name.end()
+        while quotes:
+            stop = STOP.search(source, j)
+            if not stop or not stop[1]:
+                break
+            j = source.find(stop[1], stop.end()) + 1
+            if not j:
+                stop = None
+                break
+        if not quotes or not stop:  # a quote is left open: from here on the next '>' ends a tag
+            quotes, j = False, source.find(">", name.end())
+            if j < 0:
+                break
+            stop_at = j
+        else:
+            stop_at = stop.start()
+        at = stop_at + 1
+        tag, attributes = name[0].lower(), source[name.end() : stop_at]
+        yield "".join(text), closing, tag, attributes
+        text.clear()
+        if tag in PLAIN and not closing and not attributes.rstrip().endswith("/"):
+            end = END[tag].search(source, at)
+            if not end:
+                break
+            at = end.end()
+    yield "".join(text), False, "", ""
 
 
-def blocks(source: str) -> Iterator[tuple[Element, str, int]]:
-    """(element, text, characters in links) of each block of running text, in page order."""
-    top = Element("", "", False, None)
-    stack = [top]
+def parsed(source: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
+    """(elements in page order, blocks of running text in page order: element, text, characters in links)."""
+    top = Element("", 0, False, 0, None)
+    stack, elements, blocks = [top], [top], []
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    links, at, raw = 0, 0, None
-
-    def text_of() -> str:
-        text = " ".join(entities.unescape("".join(parts)).split())
-        parts.clear()
-        return text
+    links = articles = 0
 
-    def holder() -> Element:
-        return next(e for e in reversed(stack) if e.tag not in INLINE)
-
-    def closed(down_to: int):
+    def flush():
         nonlocal links
-        if any(e.tag not in INLINE for e in stack[down_to:]):
-            own, text, n = holder(), text_of(), links
-            links = 0
-            if text:
-                yield own, text, n
+        if parts:
+            if text := " ".join(entities.unescape("".join(parts)).split()):
+                blocks.append((stack[-1].block, text, links))
+            parts.clear()
+        links = 0
+
+    def close(down_to: int):
+        nonlocal articles
+        if any(e.block is e for e in stack[down_to:]):
+            flush()
+        for e in stack[down_to:]:
+            open_[e.tag] -= 1
+            articles -= e.tag in ("article", "main")
         del stack[down_to:]
 
-    for token, after in tokens(source):
-        if raw:
-            if token[1] and token[2].lower() == raw:
-                raw, at = None, after
-            continue
-        piece = source[at : token.start()]
-        at = after
-        if piece:
-            parts.append(piece)
-            if any(e.tag == "a" for e in stack):
-                links += len(piece)
-        if not token[2]:
-            continue
-        tag = token[2].lower()
-        if token[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                yield from closed(k)
+    for before, closing, tag, attributes in tags(source):
+        if before:
+            parts.append(before)
+            if open_.get("a"):
+                links += len(before)
+        if not tag:
+            break
+        if closing:
+            if open_.get(tag):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
-        if tag in INLINE and tag not in VOID:
-            stack.append(Element(tag, stack[-1].path, stack[-1].apart, stack[-1]))
-            continue
-        if tag in ("br", "hr", "img", "wbr"):
+        if tag in VOID and tag != "hr":
             if tag != "wbr":
                 parts.append(" ")
-            if tag != "hr":
-                continue
-        for k in range(len(stack) - 1, 0, -1):
-            if tag in CLOSED_BY.get(stack[k].tag, ()):
-                yield from closed(k)
-            elif stack[k].tag in SCOPES and stack[k].tag != tag:
-                break
-        own, text, n = holder(), text_of(), links
-        links = 0
-        if text:
-            yield own, text, n
-        if tag in PLAIN:
             continue
-        if tag in RAW:
-            # Raw text ends at its own end tag only; an element written as <tag/> has none.
-            raw = None if token[3].rstrip().endswith("/") else tag
-        elif tag not in VOID:
-            step, marked = generalised(tag, token[3])
-            parent = stack[-1]
+        if tag not in INLINE:
+            for shut in CLOSES.get(tag, ()):
+                if open_.get(shut):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k].tag == shut:
+                            close(k)
+                            break
+                        if stack[k].tag in SCOPES and stack[k].tag != tag:
+                            break
+            flush()
+        if tag in PLAIN or tag == "hr":
+            continue
+        parent = stack[-1]
+        step, hidden, mark = generalised(tag, attributes)
+        if tag in INLINE:
+            stack.append(Element(tag, parent.path, hidden, 0, parent, inline=True))
+        else:
             # A header is the page's unless it stands in an article.
-            header = tag == "header" and not any(e.tag in ("article", "main") for e in stack)
-            stack.append(Element(tag, f"{parent.path}/{step}", parent.apart or marked and tag not in ("html", "body", "article", "main") or header or tag in APART, parent))
-    if not raw and source[at:]:
-        parts.append(source[at:])
-    yield from closed(0) if len(stack) > 1 or parts else ()
-
-
-def scored(source: str) -> tuple[list[tuple[Element, str]], Element | None]:
-    """(blocks outside boilerplate, best container). Deeper containers win ties."""
-    kept, seen = [], {}
-    for element, text, in_links in blocks(source):
-        gain = -float(len(text)) if element.apart else len(text) - 2.0 * in_links
-        if not element.apart:
-            kept.append((element, text))
-        # Blocks count for the elements around them, not for the block's own element.
-        above = element.parent if element.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt") and element.parent else element
-        share = 1.0
+            apart = hidden or tag in APART or tag == "header" and not articles
+            mark = 0 if tag in ("html", "body") or mark == 1 and tag in ("article", "main") else mark
+            stack.append(Element(tag, xxhash.xxh64_intdigest(step, parent.path), apart, mark, parent))
+            articles += tag in ("article", "main")
+        elements.append(stack[-1])
+        open_[tag] = open_.get(tag, 0) + 1
+    flush()
+    return elements, blocks
+
+
+class Page:
+    """A parsed page; `content` holds the host's verdicts on marked paths, where it has any."""
+
+    def __init__(self, source: str, content: dict[int, bool] | None = None):
+        self.elements, self.blocks = parsed(source)
+        self.marked: list[tuple[Element, bool, list[str]]] = []
+        self.decide(content or {})
+
+    def decide(self, content: dict[int, bool]) -> None:
+        """Settle which marked elements are content; `apart` and `mark` then hold for all that is below them."""
+        outer: dict[int, Element | None] = {}
+        for e in self.elements:
+            above = outer.get(id(e.parent)) if e.parent else None
+            e.apart |= bool(e.parent and e.parent.apart)
+            outer[id(e)] = above or (e if e.mark and not e.apart else None)
+        texts: dict[int, list[str]] = {}
+        free = 0.0
+        for e, text, in_links in self.blocks:
+            if e.apart:
+                continue
+            if own := outer[id(e)]:
+                own.text += max(0, len(text) - in_links)
+                texts.setdefault(id(own), []).append(text)
+            else:
+                free += max(0, len(text) - in_links)
+        for e in self.elements:
+            if e.mark and outer[id(e)] is e:
+                vote = e.text > 0 and (e.text >= MOST * (e.text + free) if e.mark == 1 else free == 0)
+                self.marked.append((e, vote, texts.get(id(e), [])))
+                # What is marked within content is apart: the votes of its own are not asked for.
+                e.mark, e.apart = 0, not content.get(signed(e.path), vote)
+        for e in self.elements:
+            e.apart |= bool(e.mark or e.parent and e.parent.apart)
+
+    def best(self) -> tuple[Element, float] | None:
+        """The container with the highest score."""
+        for e, text, in_links in self.blocks:
+            # Blocks count for the elements around them, not for the block's own element.
+            above = e.parent if e.tag in HEADINGS and e.parent else e
+            gain = -float(len(text)) if e.apart else len(text) - 2.0 * in_links
+            if gain > 0:
+                above.gain += gain
+            else:
+                above.loss += gain
+        best = None
+        for e in reversed(self.elements):
+            if e.block is e and not e.apart and (e.gain or e.loss):
+                key = (e.gain + e.loss, e.depth)
+                if best is None or key >= best[0]:
+                    best = key, e
+            if e.parent:
+                e.parent.gain += FARTHER * e.gain
+                e.parent.loss += e.loss
+        if best is None:
+            return None
+        (score, _), found = best
+        # A part of an article or main element stands for the whole of it.
+        above = found
         while above is not None:
-            above.score += gain * share if gain > 0 else gain
-            seen[id(above)] = above
-            above, share = above.parent, share * FARTHER
-    inside = [e for e in seen.values() if not e.apart]
-    best = max(inside, key=lambda e: (e.score, e.depth), default=None)
-    # A part of an article or main element stands for the whole of it.
-    above = best
-    while above is not None:
-        if above.tag in ("article", "main") and not above.apart:
-            best = above
-        above = above.parent
-    return kept, best
-
-
-def extract(source: str, path: str | None = None) -> str:
-    """Text of the containers on `path`, or of the page's best container if it has none there."""
-    kept, best = scored(source)
-
-    def below(element: Element | None, test) -> bool:
-        while element is not None:
-            if test(element):
-                return True
-            element = element.parent
-        return False
-
-    found = [t for e, t in kept if path is not None and below(e, lambda x: x.path == path and x.tag not in INLINE)]
-    if not found and best is not None:
-        found = [t for e, t in kept if below(e, lambda x: x is best)]
-    return "\n\n".join(found)
+            if above.tag in ("article", "main") and not above.apart:
+                found = above
+            above = above.parent
+        return found, score
+
+    def text(self, path: int | None = None) -> str:
+        """Text of the containers on `path`, or of the page's best container if it has none there."""
+        for chosen in (path, None):
+            best = self.best() if chosen is None else None
+            for e in self.elements:
+                e.inside = bool(e.parent and e.parent.inside) or (e.block is e and e.path == chosen if chosen is not None else best is not None and e is best[0])
+            found = [text for e, text, _ in self.blocks if e.inside and not e.apart]
+            if found:
+                return "\n\n".join(found)
+        return ""
+
+
+def extract(source: str, path: int | None = None, content: dict[int, bool] | None = None) -> str:
+    return Page(source, content).text(path)
 
 
 def host_of(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): per host the path with the most votes; a page votes with its container's score."""
+def signed(path: int) -> int:
+    return path - (1 << 64) if path >> 63 else path
+
+
+def page_votes(pages: DataFrame) -> DataFrame:
+    """(host, path, score, content, digest): a page's vote for its container (content null) and on its marked elements."""
 
     def run(batches):
         for batch in batches:
-            found = [scored(h or "")[1] for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([e.path if e and e.score > 0 else None for e in found], pa.string()), pa.array([e.score if e else 0.0 for e in found], pa.float64())],
-                ["host", "path", "score"],
-            )
-
-    votes = common.by_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path string, score double")
-    summed = votes.filter(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    return summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"))
+            rows = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                page = Page(html or "")
+                rows += [(host, signed(e.path), 0.0, vote, xxhash.xxh3_64_intdigest("\n".join(texts)) >> 1) for e, vote, texts in page.marked if texts]
+                best = page.best()
+                if best and best[1] > 0:
+                    rows.append((host, signed(best[0].path), best[1], None, None))
+            types = (pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "path", "score", "content", "digest"])
+
+    return common.by_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path long, score double, content boolean, digest long")
+
+
+def verdicts(pages: DataFrame) -> DataFrame:
+    """(host, path, content, apart): per host the winning container path, and the marked paths that its pages' own votes don't settle."""
+    votes = common.written(page_votes(pages))
+    summed = votes.filter("content IS NULL").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
+    winners = summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"))
+    each = votes.filter("content IS NOT NULL").groupBy("host", "path", "digest").agg(F.count("*").alias("n"), F.sum(F.col("content").cast("int")).alias("for"))
+    marked = each.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("for").alias("for"), F.count("*").alias("texts"))
+    content = (2 * F.col("for") > F.col("n")) & (2 * F.col("texts") > F.col("n"))
+    open_ = marked.withColumn("content", content).filter(F.col("for") != F.when(F.col("content"), F.col("n")).otherwise(0))
+    settled = open_.groupBy("host").agg(F.collect_set(F.when(F.col("content"), F.col("path"))).alias("content"), F.collect_set(F.when(~F.col("content"), F.col("path"))).alias("apart"))
+    return winners.join(settled, "host", "full")
 
 
 def extract_pages(pages: DataFrame, salts: int = 32) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
-    winners = common.cut(winning_paths(pages))
-    few = common.broadcast_if_small(winners)
+    found = common.cut(verdicts(pages))
+    few = common.broadcast_if_small(found, size=F.length("host") + 8 * (F.coalesce(F.size("content"), F.lit(0)) + F.coalesce(F.size("apart"), F.lit(0))))
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    if few is winners:
+    if few is found:
         own = own.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(salts)).cast("int"))
-        few = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        few = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = own.join(few, ["host", "salt"], "left")
     else:
         joined = own.join(few, "host", "left")
 
     def run(batches):
         for batch in batches:
-            texts = [extract(h or "", p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for html, path, content, apart in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                known = dict.fromkeys(content or (), True) | dict.fromkeys(apart or (), False)
+                texts.append(extract(html or "", None if path is None else path % (1 << 64), known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return common.by_batches(joined.select("page_id", "url", "html", "path"), run, "page_id long, url string, text string, n_chars long")
+    return common.by_batches(joined.select("page_id", "url", "html", "path", "content", "apart"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

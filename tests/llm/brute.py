@@ -105,3 +105,13 @@ def licenses(text):
     ws = contract_words(text)
     places = sorted((k, label) for p, label in PHRASES.items() for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split())
     return len(ws), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places}))
+
+
+def article_text(source):
+    """Text of a page's article elements, where every block has its own tags; by patterns only."""
+    import html
+
+    inner = re.findall(r"(?s)<article[^>]*>(.*?)</article>", re.sub(r"(?s)<!--.*?-->|<(script|style)[^>]*>.*?</\1>", "", source))
+    parts = re.split(r"</?(?:p|h\d|div|ul|ol|li|figure|figcaption|blockquote|table|tr|td|pre|section)(?:\s[^>]*)?>", "\0<p>".join(inner))
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x)).replace("\0", "")).split()) for x in parts)
+    return "\n\n".join(t for t in texts if t)

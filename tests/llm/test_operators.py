@@ -1,6 +1,7 @@
 """Each operator against a plain version, on small tables with nulls, empties, repeats and clashing columns."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -327,6 +328,50 @@ def test_html_raw_text(raw):
     assert html_text.extract(f"{raw}<article><p>Text<p>more</article>{raw}") == "Text\n\nmore"
 
 
+HARD = {
+    '<article><p>Main text.</p><ol class="commentlist"><li>A reader says so.</li></ol></article>': "Main text.",
+    '<article><p>Main text.</p><div class="reader-responses"><p>I say</p></div></article>': "Main text.",
+    '<body><p>Main text without an article, some more words.</p><div class="legal">Small print.</div></body>': "Main text without an article, some more words.",
+    '<article><div class="share-count-free notice-board"><p>The whole article.</p><p>And more.</p></div></article>': "The whole article.\n\nAnd more.",
+    "<article><p>Area <math><mi>x</mi></math> and <object>fallback</object>.</p><fieldset>In a set</fieldset></article>": "Area x and fallback.\n\nIn a set",
+    "<article><p>A &lt; B and 3 < 4 &amp; so on</p></article>": "A < B and 3 < 4 & so on",
+    "<article><p title='a > b'>ok</p><p>two": "ok\n\ntwo",
+    "<main><section><p>one</p></section><section><p>two</p></section></main><aside><p>not this one</p></aside>": "one\n\ntwo",
+}
+
+
+@pytest.mark.parametrize("source", list(HARD))
+def test_html_hard(source):
+    assert html_text.extract(source) == HARD[source]
+
+
+def test_html_hosts_decide(spark):
+    """A marked path on which a host's pages disagree follows the majority; text repeated on its pages is no content."""
+    banner = "<div class=promo><p>Buy this now, it is cheap and good and new.</p></div>"
+    story = "<article><div class=promo-story><p>{}</p></div><p>{}</p></article>"
+    table = [(k, "https://a.example/", f"{banner}<article><p>{'story ' * (2 if k == 0 else 40)}{k}</p></article>") for k in range(6)]
+    table += [(10 + k, "https://b.example/", story.format(f"tale {k} " * 30, "end" if k else "a long end " * 40)) for k in range(5)]
+    got = dict(rows(html_text.extract_pages(spark.createDataFrame(table, "page_id long, url string, html string")).select("page_id", "text")))
+    assert all("Buy" not in got[k] and "story" in got[k] for k in range(6))
+    assert all(f"tale {k}" in got[10 + k] and "end" in got[10 + k] for k in range(5))
+
+
+def test_html_whole_pages(spark):
+    """All pages of the table against a plain reading of their article elements."""
+    pages = common.read(spark, "/root/testdata/sf0.01", "pages")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(pages.select("page_id", "url", "html")).collect()}
+    whole = {r["page_id"]: r["html"] for r in pages.collect()}
+    assert got == {k: brute.article_text(h) for k, h in whole.items()}
+
+
+@pytest.mark.parametrize("source", ["<article>" + "<div>" * 20_000 + "text", "<div>t " * 20_000, "<a " * 350_000, '<a x="' * 50_000, "<p>t</p><a x='" * 20_000, "<b>" * 10_000 + "<p>x" * 10_000, "<ul><li>" * 10_000, "<" * 100_000, "<i>" * 5_000 + "</b>" * 20_000])
+def test_html_linear(source):
+    """Deep nesting and tags left open take time in proportion."""
+    began = time.perf_counter()
+    html_text.extract(source)
+    assert time.perf_counter() - began < 4
+
+
 def test_html_caption():
     assert html_text.extract("<article><p>Text<figure><img src=x><figcaption>Caption</figcaption></figure></article>") == "Text\n\nCaption"
 
