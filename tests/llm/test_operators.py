@@ -162,13 +162,19 @@ def test_decontaminate(spark, docs, empty):
 
 
 def test_proximity(spark):
+    """The lists meet by start: the same start is a phrase to verify, up to two words off a proximity match."""
     item = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
-    near = spark.createDataFrame([(1, "alpha x beta gamma delta epsilon zeta eta theta iota kappa"), (2, "kappa " + "x " * 60 + "alpha")], "doc_id long, text string")
-    lookup = decontaminate.lookups(near, decontaminate.test_windows(item))
-    postings = decontaminate.index(near, lookup.select("term").distinct())
-    assert decontaminate.phrase_matches(postings, lookup).count() == 0
-    found = decontaminate.proximity_matches(postings, lookup, slop=3)
-    assert found.select("k1").distinct().count() == 1
+    table = [(1, "alpha x beta gamma delta epsilon zeta eta theta iota kappa"), (2, "kappa " + "x " * 60 + "alpha"), (3, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (4, "alpha x x x beta"), (5, "alpha beta x gamma")]
+    near = spark.createDataFrame(table, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.mark(near, item).collect()}
+    windows = decontaminate.test_windows(item)
+    terms = [r["term"] for r in decontaminate.lookups(near, windows).orderBy("rank").collect()]
+    at = {w: i for i, w in enumerate(item.first()["text"].split())}
+    for i, text in table:
+        places = {t: [k - at[t] for k, w in enumerate(text.split()) if w == t] for t in terms}
+        n = sum(any(abs(a - b) <= 2 for a in places[terms[0]]) for b in places[terms[1]])
+        assert got[i] == (10 if i == 3 else 0, n)
+    assert got[3][1] == got[1][1] == 1 and got[2][1] == 0
 
 
 def test_simhash(docs, empty):
