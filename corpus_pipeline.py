@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, common, decontaminate, langid, line_dedup, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language is less likely than this is rejected.
+#: A text whose best language is less likely than this is rejected. Of four languages the best has 0.25 at
+#: least, so this keeps every text that leans to one at all, and rejects what fits all of them alike.
 LEAST_SCORE = 0.3
 
 
@@ -61,8 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result is written to the shared checkpoint folder and read by the next."""
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages; each result is written to the shared checkpoint folder, read by the next stage and deleted after it."""
+    docs, before = common.read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir))
+        folder = common.new_folder(spark)
+        docs = common.written(stage(spark, docs, sf_dir), folder)
+        if before:
+            common.deleted(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
