@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 
+# Verbs whose denial is a failure, and predicates of time and dependency.
 NEGATED = ["operate", "function", "work", "respond", "stop", "stop_responding"]
 TEMPORAL = ["before", "after", "during"]
 DEPENDENCY = ["poweredBy", "require", "requires"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,10 @@ def by_tokens(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(key, symbol): of the symbols that share a token with a text and whose display form stands in it as whole words, the most specific."""
     each = texts.select("key", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9]+"))).alias("token"))
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " "), F.lit(" "))
-    hits = each.join(postings(known), "token").filter(padded.contains(F.concat(F.lit(" "), exprs.display(F.col("symbol")), F.lit(" "))))
+    # A text that holds the whole form holds its rarest token too, so a common token pairs nothing.
+    own = postings(known)
+    rare = own.join(own.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("symbol").agg(F.min(F.struct("n", "token")).alias("x")).select("symbol", "x.token")
+    hits = each.join(rare, "token").filter(padded.contains(F.concat(F.lit(" "), exprs.display(F.col("symbol")), F.lit(" "))))
     return hits.groupBy("key").agg(F.max_by("symbol", F.struct(F.round(exprs.specificity(F.col("symbol")), 6), "symbol")).alias("symbol"))
 
 
@@ -75,9 +80,12 @@ def hashed_vectors(labels: DataFrame) -> DataFrame:
     return each.filter("w <> 0").withColumn("size", size).select("label", "slot", (F.col("w") / F.col("size")).alias("w"))
 
 
-def nearest_label(queries: DataFrame, vectors: DataFrame, least: float = 0.6) -> DataFrame:
-    """(query, label, score): the known label with the largest cosine; sparse vectors meet on their slots."""
-    mine = hashed_vectors(queries.select(F.col("query").alias("label"))).select(F.col("label").alias("query"), "slot", F.col("w").alias("v"))
+def nearest_label(queries: DataFrame, vectors: DataFrame, least: float = 0.6, vectorizer: Callable[[DataFrame], DataFrame] = hashed_vectors) -> DataFrame:
+    """(query, label, score): the known label with the largest cosine; sparse vectors meet on their slots.
+
+    `vectorizer` makes (label, slot, w) of (label), as it made the vectors.
+    """
+    mine = vectorizer(queries.select(F.col("query").alias("label"))).select(F.col("label").alias("query"), "slot", F.col("w").alias("v"))
     dots = mine.join(vectors, "slot").groupBy("query", "label").agg(F.round(F.sum(F.col("v") * F.col("w")), 9).alias("score"))
     return dots.filter(F.col("score") >= least).groupBy("query").agg(F.max(F.struct("score", "label")).alias("x")).select("query", "x.label", "x.score")
 

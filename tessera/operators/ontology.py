@@ -6,8 +6,6 @@ anti join, and checkpoints the round's delta to the shared folder so that lineag
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +13,10 @@ from ..functions import exprs
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to `spark.checkpoint.dir`; a temporary folder only where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
+    """Checkpoint to `spark.checkpoint.dir`; where that is unset to the warehouse, which a cluster shares too."""
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint(eager=True)
 
 

@@ -37,24 +37,24 @@ def rewrites(predicates: DataFrame, flags: DataFrame, inverse: DataFrame, subpro
     return found.groupBy("p", "p2", "swap").agg(F.max("qmatch").alias("qmatch"))
 
 
-def matched(goals: DataFrame, facts: DataFrame, rewrite: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Goals with their rewritten predicates, and facts read both ways (a: near end, b: far end)."""
-    ways = goals.join(rewrite.withColumnRenamed("p", "predicate"), "predicate")
-    turned = facts.select(F.col("p").alias("p2"), F.explode(F.array(F.struct(F.lit(False).alias("swap"), F.col("s").alias("a"), F.col("o").alias("b")), F.struct(F.lit(True).alias("swap"), F.col("o").alias("a"), F.col("s").alias("b")))).alias("e"), "s", "p", "o", "conf", "seq").select("p2", "e.*", "s", "p", "o", "conf", "seq")
-    return ways, turned
+def matched(goals: DataFrame, facts: DataFrame, rewrite: DataFrame) -> DataFrame:
+    """(predicate, qmatch, a: near end, b: far end, s, p, o, conf, seq): facts under every predicate asked for that they answer.
+
+    The few rewrites of the goals' predicates meet the facts first, so that only facts of these predicates,
+    and only in the directions asked for, are shuffled to the goals.
+    """
+    asked = rewrite.join(goals.select(F.col("predicate").alias("p")).distinct(), "p", "left_semi").select(F.col("p").alias("predicate"), F.col("p2").alias("p"), "swap", "qmatch")
+    end = lambda swapped, straight: F.when(F.col("swap"), F.col(swapped)).otherwise(F.col(straight))
+    return facts.join(asked, "p").select("predicate", "qmatch", end("o", "s").alias("a"), end("s", "o").alias("b"), "s", "p", "o", "conf", "seq")
 
 
 def relation_query(goals: DataFrame, facts: DataFrame, rewrite: DataFrame) -> DataFrame:
     """Subject-bound goals give objects, object-bound goals give subjects; goals with both sides only check."""
-    ways, turned = matched(goals, facts, rewrite)
-    left = ways.filter("subject IS NOT NULL AND object IS NULL").alias("g").join(
-        turned.alias("f"), (F.col("g.p2") == F.col("f.p2")) & (F.col("g.swap") == F.col("f.swap")) & (F.col("g.subject") == F.col("f.a"))
-    )
-    right = ways.filter("object IS NOT NULL AND subject IS NULL").alias("g").join(
-        turned.alias("f"), (F.col("g.p2") == F.col("f.p2")) & (F.col("g.swap") == F.col("f.swap")) & (F.col("g.object") == F.col("f.b"))
-    )
-    cols = ["g.goal_id", "g.qmatch", *[f"g.{c}" for c in ("expected_type",) if c in goals.columns], "f.s", "f.p", "f.o", "f.conf", "f.seq"]
-    return left.select(*cols, F.col("f.b").alias("answer")).unionByName(right.select(*cols, F.col("f.a").alias("answer")))
+    found = matched(goals, facts, rewrite)
+    cols = ["goal_id", "qmatch", *[c for c in ("expected_type",) if c in goals.columns], "s", "p", "o", "conf", "seq"]
+    left = goals.filter("subject IS NOT NULL AND object IS NULL").withColumnRenamed("subject", "a").join(found, ["predicate", "a"])
+    right = goals.filter("object IS NOT NULL AND subject IS NULL").withColumnRenamed("object", "b").join(found, ["predicate", "b"])
+    return left.select(*cols, F.col("b").alias("answer")).unionByName(right.select(*cols, F.col("a").alias("answer")))
 
 
 def symmetric_fallback(goals: DataFrame, candidates: DataFrame, facts: DataFrame, symmetric: DataFrame) -> DataFrame:
@@ -73,9 +73,9 @@ def open_query(goals: DataFrame, facts: DataFrame) -> DataFrame:
 
 def yes_no(goals: DataFrame, facts: DataFrame, rewrite: DataFrame) -> DataFrame:
     """(goal_id, answer, score): "Yes, ..." with the first matching fact, else "Unknown."."""
-    ways, turned = matched(goals, facts, rewrite)
-    hits = ways.alias("g").join(turned.alias("f"), (F.col("g.p2") == F.col("f.p2")) & (F.col("g.swap") == F.col("f.swap")) & (F.col("g.subject") == F.col("f.a")) & (F.col("g.object") == F.col("f.b")))
-    first = hits.groupBy("g.goal_id").agg(F.min_by("f.conf", "f.seq").alias("conf"))
+    asked = goals.select("goal_id", "predicate", F.col("subject").alias("a"), F.col("object").alias("b"))
+    hits = asked.join(matched(goals, facts, rewrite), ["predicate", "a", "b"])
+    first = hits.groupBy("goal_id").agg(F.min_by("conf", "seq").alias("conf"))
     return goals.join(first, "goal_id", "left").select(
         "goal_id",
         F.when(F.col("conf").isNull(), "Unknown.").otherwise(F.concat_ws(" ", F.lit("Yes,"), "subject", "predicate", "object")).alias("answer"),
@@ -205,23 +205,20 @@ def resolve(goals: DataFrame, facts: DataFrame, colocation: list[str], location:
     """(goal_id, place, hops): WHERE goals (goal_id, subject), all in one job per round.
 
     A goal whose subject has a place is answered. The others ask for the places of the subject's
-    partners, then of theirs; a partner's answer becomes the subject's.
+    partners, then of theirs; a partner's answer becomes the subject's. Places spread over the nodes,
+    once for all goals: a node takes those of its nearest placed partners, and the goals join at the end.
     """
     placed = facts.filter(F.col("p").isin(location)).select(F.col("s").alias("node"), F.col("o").alias("place"))
     together = facts.filter(F.col("p").isin(colocation))
     partners = together.select(F.col("s").alias("node"), F.col("o").alias("next")).unionByName(together.select(F.col("o").alias("node"), F.col("s").alias("next"))).distinct()
-    open_ = seen = cut(goals.select("goal_id", F.col("subject").alias("node")))
-    answers = None
-    for hops in range(rounds + 1):
-        hits = cut(open_.join(placed, "node").select("goal_id", "place", F.lit(hops).alias("hops")).distinct())
-        answers = hits if answers is None else answers.unionByName(hits)
-        left = open_.join(hits.select("goal_id").distinct(), "goal_id", "left_anti")
-        step = left.join(partners, "node").select("goal_id", F.col("next").alias("node")).distinct()
-        open_ = cut(step.join(seen, ["goal_id", "node"], "left_anti"))
-        if open_.isEmpty():
+    last = known = cut(placed.distinct().withColumn("hops", F.lit(0)))
+    for hops in range(1, rounds + 1):
+        step = partners.join(last.select(F.col("node").alias("next"), "place"), "next").select("node", "place").distinct()
+        last = cut(step.join(known.select("node").distinct(), "node", "left_anti").withColumn("hops", F.lit(hops)))
+        if last.isEmpty():
             break
-        seen = seen.unionByName(open_)
-    return answers
+        known = known.unionByName(last)
+    return goals.select("goal_id", F.col("subject").alias("node")).join(known, "node").select("goal_id", "place", "hops")
 
 
 def temporal_bridge(facts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ontology import cut
@@ -25,7 +25,7 @@ COLOCATION = ["with", "wear", "carry", "hold", "possess", "have", "opposite", "p
 
 
 def catalogue() -> list[Rule]:
-    """The pattern rules by shape; terms beginning with ? are variables."""
+    """The pattern rules by shape; terms beginning with ? are variables. The weights are fixed values."""
     chain = lambda name, p, q, r, w: Rule(name, (("?a", p, "?b"), ("?b", q, "?c")), ("?a", r, "?c"), w)
     found = [chain(f"transitive-{p}", p, p, p, 0.72) for p in ("in", "inside", "locatedIn")]
     for x in COLOCATION:
@@ -55,9 +55,22 @@ def usable(rules: list[Rule]) -> list[Rule]:
     return list(seen.values())
 
 
+def connected(patterns: tuple[Pattern, ...]) -> list[Pattern]:
+    """The patterns in an order in which each shares a variable with those before it; a rule without one would pair all facts."""
+    waiting, order, bound = list(patterns), [], set()
+    while waiting:
+        names = [{x for x in p if x.startswith("?")} for p in waiting]
+        at = next((i for i, own in enumerate(names) if not order or own & bound), None)
+        if at is None:
+            raise ValueError(f"patterns {waiting} share no variable with the others")
+        bound |= names[at]
+        order.append(waiting.pop(at))
+    return order
+
+
 def match(facts: DataFrame, patterns: tuple[Pattern, ...]) -> DataFrame:
     """Bindings of the patterns' variables (columns named without ?), with conf (mean) and evidence (array)."""
-    joined = None
+    patterns, joined = connected(patterns), None
     for i, pattern in enumerate(patterns):
         rows, names = facts, {}
         for column, term in zip("spo", pattern):
@@ -69,7 +82,7 @@ def match(facts: DataFrame, patterns: tuple[Pattern, ...]) -> DataFrame:
                 names[term[1:]] = column
         own = rows.select(*[F.col(c).alias(v) for v, c in names.items()], F.col("conf").alias(f"conf{i}"), F.concat_ws(" ", "s", "p", "o").alias(f"evidence{i}"))
         shared = [v for v in names if joined is not None and v in joined.columns]
-        joined = own if joined is None else joined.join(own, shared) if shared else joined.crossJoin(own)
+        joined = own if joined is None else joined.join(own, shared)
     n = len(patterns)
     kept = [c for c in joined.columns if not c.startswith(("conf", "evidence"))]
     conf = sum((F.col(f"conf{i}") for i in range(1, n)), F.col("conf0")) / n
@@ -88,8 +101,9 @@ def apply(facts: DataFrame, rule: Rule) -> DataFrame:
 
 def best_per_fact(candidates: DataFrame) -> DataFrame:
     """One derivation per (s, p, o): the highest score, then the rule's name."""
-    order = Window.partitionBy("s", "p", "o").orderBy(F.desc("score"), "rule")
-    return candidates.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    more = [c for c in candidates.columns if c not in ("s", "p", "o", "score", "rule")]
+    best = candidates.groupBy("s", "p", "o").agg(F.min(F.struct((-F.col("score")).alias("less"), "rule", *more)).alias("x"))
+    return best.select("s", "p", "o", (-F.col("x.less")).alias("score"), *[f"x.{c}" for c in ("rule", *more)]).select(*candidates.columns)
 
 
 def forward_chain(facts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -18,12 +18,12 @@ NULL = lambda name: F.lit(None).cast("string").alias(name)
 
 def axioms(t: Tables):
     """Predicate axioms of the tables' graph: `with` is symmetric, `in`/`contains` are inverse, `locatedIn` is below `in`."""
-    one = t.region.limit(1)
-    predicates = one.select(F.explode(F.array(*map(F.lit, ["with", "in", "contains", "requires", "poweredBy", "seenAs"]))).alias("p"))
-    flags = one.select(F.lit("with").alias("p"), F.lit(True).alias("symmetric"), F.lit(False).alias("transitive"))
-    inverse = one.select(F.lit("in").alias("p"), F.lit("contains").alias("inv"))
-    subprop = one.select(F.lit("locatedIn").alias("child"), F.lit("in").alias("parent"))
-    aliases = one.select(F.lit("seenAs").alias("p"), F.lit("with").alias("alias"))
+    table = t.spark.createDataFrame
+    predicates = table([(p,) for p in ("with", "in", "contains", "requires", "poweredBy", "seenAs")], "p string")
+    flags = table([("with", True, False)], "p string, symmetric boolean, transitive boolean")
+    inverse = table([("in", "contains")], "p string, inv string")
+    subprop = table([("locatedIn", "in")], "child string, parent string")
+    aliases = table([("seenAs", "with")], "p string, alias string")
     return ask.rewrites(predicates, flags, inverse, subprop, aliases)
 
 
@@ -94,7 +94,7 @@ def symmetric_fallback(t: Tables):
     """? poweredBy part P: no fact has the part as object; were the predicate symmetric, the part's own facts answer."""
     own = facts.part_powered_by(t)
     goals = goal(t.part, F.col("p_partkey"), None, "poweredBy", facts.symbol("part", F.col("p_partkey")))
-    symmetric = t.region.limit(1).select(F.lit("poweredBy").alias("p"))
+    symmetric = t.spark.createDataFrame([("poweredBy",)], "p string")
     return ask.symmetric_fallback(goals, ask.relation_query(goals, own, axioms(t)), own, symmetric).select("goal_id", "answer", "qmatch")
 
 
@@ -110,7 +110,7 @@ def rel_inverse(t: Tables):
 
 @query("rel_predicate_only", with_views("places") + " SELECT s AS answer, o, round(least(1, (1 + 0.5 + conf + 0.6) / 4), 6) AS head_score FROM places WHERE p = 'in'")
 def rel_predicate_only(t: Tables):
-    goals = goal(t.region.limit(1), F.lit(0), None, "in", None)
+    goals = goal(t.spark.range(1), F.col("id"), None, "in", None)
     got = ask.open_query(goals, facts.places(t))
     return got.select("answer", "o", F.round(exprs.mean_score(F.col("qmatch"), F.lit(0.5), F.col("conf"), F.lit(0.6)), 6).alias("head_score"))
 
@@ -130,7 +130,7 @@ def predicate_alias(t: Tables):
 def yes_no(t: Tables):
     """Is customer C in nation C mod 25?"""
     goals = t.customer.select(F.col("c_custkey").alias("goal_id"), facts.symbol("customer", F.col("c_custkey")).alias("subject"), F.lit("locatedIn").alias("predicate"), facts.symbol("nation", F.col("c_custkey") % 25).alias("object"))
-    direct = t.region.limit(1).select(F.lit("locatedIn").alias("p"), F.lit("locatedIn").alias("p2"), F.lit(False).alias("swap"), F.lit(1.0).alias("qmatch"))
+    direct = t.spark.createDataFrame([("locatedIn", "locatedIn", False, 1.0)], "p string, p2 string, swap boolean, qmatch double")
     return ask.yes_no(goals, facts.places(t), direct).withColumn("score", F.round("score", 6))
 
 
@@ -211,7 +211,7 @@ def goal_gate(t: Tables):
 @query("range_alignment", with_views("places") + " SELECT s AS subject, o AS answer, round((0.9 + 1 + 1.0 + conf) / 4, 6) AS head_score FROM places WHERE s LIKE 'entity:customer%'")
 def range_alignment(t: Tables):
     """Where are people? Facts whose predicate's range is a place or below, whose subject fits the type."""
-    ranges = t.region.limit(1).select(F.explode(F.array(F.struct(F.lit("locatedIn").alias("p"), F.lit("concept:nation").alias("range")), F.struct(F.lit("in").alias("p"), F.lit("concept:region").alias("range")))).alias("r")).select("r.*")
+    ranges = t.spark.createDataFrame([("locatedIn", "concept:nation"), ("in", "concept:region")], "p string, range string")
     wide = compatible(t)
     placed = ranges.join(wide, F.col("range") == F.col("type")).filter("wider = 'concept:place'").select("p").distinct()
     who = facts.entity_types(t).join(wide, "type").filter("wider = 'concept:person'").select(F.col("id").alias("s")).distinct()

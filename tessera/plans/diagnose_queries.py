@@ -22,7 +22,7 @@ def roles(t: Tables):
 
 def weights(t: Tables):
     """Evidence weights of predicates."""
-    return t.region.limit(1).select(F.explode(F.array(F.struct(F.lit("before").alias("p"), F.lit(0.25).alias("weight")), F.struct(F.lit("cause").alias("p"), F.lit(0.5).alias("weight")))).alias("x")).select("x.*")
+    return t.spark.createDataFrame([("before", 0.25), ("cause", 0.5)], "p string, weight double")
 
 
 def timeline(t: Tables):
@@ -100,7 +100,7 @@ CAUSES = f"{EV}, {TELEMETRY}, causes AS (SELECT id AS cause, 'entity:event_' ||
 
 
 def scores(t: Tables):
-    dynamic = t.region.limit(1).select(F.lit("cause").alias("p"), F.lit(0.1).alias("weight"))
+    dynamic = t.spark.createDataFrame([("cause", 0.1)], "p string, weight double")
     return dia.cause_scores(facts.event_causes(t), timeline(t), weights(t), dynamic)
 
 
@@ -115,7 +115,7 @@ def annotation_weights(t: Tables):
     """Weights come from annotation rows, given as text and cast."""
     notes = weights(t).select("p", F.col("weight").cast("string").alias("value"))
     read = notes.select("p", F.expr("try_cast(value AS double)").alias("weight"))
-    dynamic = t.region.limit(1).select(F.lit("cause").alias("p"), F.lit(0.1).alias("weight"))
+    dynamic = t.spark.createDataFrame([("cause", 0.1)], "p string, weight double")
     got = dia.cause_scores(facts.event_causes(t), timeline(t), read, dynamic)
     return got.agg(F.round(F.avg("score"), 4).alias("mean"), F.count("*").alias("n"))
 
@@ -180,10 +180,12 @@ def survivors(t: Tables):
 @query("dependency_contrast", with_views("requires", "pairs") + " SELECT r.s AS dependent, count(DISTINCT x.o) AS suppliers, count(DISTINCT r.o) AS parts FROM requires r JOIN pairs x ON r.o = x.s GROUP BY 1")
 def dependency_contrast(t: Tables):
     """What an order depends on, directly and one step further."""
-    own = dia.dependents(facts.union(facts.order_requires(t), facts.part_powered_by(t)))
     direct = dia.dependents(facts.order_requires(t)).select("dependent", F.col("resource").alias("part"))
-    further = own.select(F.col("dependent").alias("part"), F.col("resource").alias("supplier")).filter(F.col("supplier").startswith("entity:supplier"))
-    return direct.join(further, "part").groupBy("dependent").agg(F.count_distinct("supplier").alias("suppliers"), F.count_distinct("part").alias("parts"))
+    further = dia.dependents(facts.part_powered_by(t)).select(F.col("dependent").alias("part"), F.col("resource").alias("supplier"))
+    powered = further.select("part").distinct()
+    parts = direct.join(powered, "part", "left_semi").groupBy("dependent").agg(F.count("*").alias("parts"))
+    suppliers = direct.join(further, "part").select("dependent", "supplier").distinct().groupBy("dependent").agg(F.count("*").alias("suppliers"))
+    return suppliers.join(parts, "dependent").select("dependent", "suppliers", "parts")
 
 
 @query("condition_contrast", with_views("requires") + " SELECT o AS resource, arg_min(s, seq) AS first, arg_max(s, seq) AS last FROM requires GROUP BY 1")

@@ -41,9 +41,8 @@ def subproperty_closure(t: Tables):
     f"WITH RECURSIVE {MADE_SQL}, {CLOSURE_SQL.format('made')} SELECT 'making' AS family, 'madeBy' AS p UNION SELECT 'making', child FROM cl WHERE parent = 'madeBy' UNION SELECT 'making', 'makes'",
 )
 def family_expansion(t: Tables):
-    one = t.region.limit(1)
-    members = one.select(F.lit("making").alias("family"), F.lit("madeBy").alias("p"))
-    inverse = one.select(F.lit("madeBy").alias("p"), F.lit("makes").alias("inv"))
+    members = t.spark.createDataFrame([("making", "madeBy")], "family string, p string")
+    inverse = t.spark.createDataFrame([("madeBy", "makes")], "p string, inv string")
     return ontology.family(members, ontology.closure(made(t), "child", "parent"), inverse)
 
 

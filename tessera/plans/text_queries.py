@@ -243,7 +243,7 @@ def nearest_marker(t: Tables):
     """"the ring is unavailable but other widgets remain": the marker goes to the nearer resource."""
     noun = F.split("p_name", " ")[1]
     said = t.part.select(F.col("p_partkey").alias("key"), F.concat(F.lit("the "), noun, F.lit(" is unavailable but every other part of our many "), noun, F.lit(" remains")).alias("text"))
-    markers = t.region.limit(1).select(F.explode(F.array(F.lit("available"), F.lit("unavailable"))).alias("term"))
+    markers = t.spark.createDataFrame([("available",), ("unavailable",)], "term string")
     return linking.nearest_marker(said, t.part.select(noun.alias("term")), markers).select("key", "marker", "resource", "distance")
 
 
