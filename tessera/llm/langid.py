@@ -7,12 +7,14 @@ the whole text is read, in batches.
 
 The network is trained in numpy on a sample whose bound is a parameter: of the labelled training
 rows, `SAMPLE_DOCS` texts a language (those with the smallest hash) and `SAMPLE_WINDOWS` windows of
-each, spread over the text. Only these windows reach the driver.
+each, spread over the text. Only these windows reach the driver: 3,200 a language, so `lang` is taken
+to hold language codes, not free text.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never learned from (a null id counts as
 the empty text, so it is held out). `und`, score 0: the text is null or has no letter, or there was
-nothing to learn from. Ids may be repeated, each row gives one row; an empty table gives none; other
-columns are ignored.
+nothing to learn from. Very long texts are read window by window; of equally likely languages the
+first by name is taken. Ids may be repeated, each row gives one row; an empty table gives none; other
+columns stay as they are, those named like the new ones are replaced.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@
 The templates are a fixed small table, so they and their word statistics are broadcast.
 Every text's result is worked out once per text class (see `common`).
 
-Defined results: null or empty text has no words, no labels, score 0; ids may be null or repeated,
-each row gives one row; an empty table gives none; other columns are ignored.
+Defined results: null or empty text has no words, no labels, score 0; very long texts only have more
+postings; of a template's equally rare words the lesser is looked up; ids may be null or repeated, each
+row gives one row; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,14 +7,16 @@ distinct count; the others are decided by the sketch.
 
 Lines are compared without blanks at their ends; lines without a word are never removed. Line hashes
 are 2 x 64 bits. Which lines of a text go depends only on its text, so that is worked out per text
-class and only flags, never line texts, are shuffled before the flags meet the documents.
+class. Blank lines never leave the scan, and of the others only the numbers of those that go are
+shuffled to the documents.
 
 With `copies_once` a line is spread only through different texts: a document copied on many sites would
 else have every line on all of them and become empty. Each text is dealt to one of its sites then, so
 several copied texts may be dealt to the same one and the spread is a lower bound.
 
 Defined results: null text stays null (no lines); a null site is the site ''; a text of which every
-line goes becomes empty; ids may be null or repeated, rows and other columns stay as they are.
+line goes becomes empty; very long texts only have more lines; ids may be null or repeated, rows and
+other columns stay as they are; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -60,29 +62,24 @@ def boilerplate(docs: DataFrame, site: str = "source", least_sites: int = LEAST_
     return common.cut(spread.filter(~near).select("h1", "h2").unionByName(exact.select("h1", "h2")))
 
 
-def removed_flags(docs: DataFrame, lines: DataFrame, site: str = "source") -> DataFrame:
-    """(k1, k2, goes: array<boolean> by line) of the texts that lose lines; the flags follow the lines' order."""
-    own = docs.select(*common.text_key(F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = F.trim("line")
-    hashed = own.select("k1", "k2", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"))
-    found = hashed.join(common.broadcast_if_small(lines).withColumn("goes", F.lit(True)), ["h1", "h2"], "left")
-    each = found.groupBy("k1", "k2", "pos").agg(F.coalesce(F.max("goes"), F.lit(False)).alias("goes"))
-    flags = each.groupBy("k1", "k2").agg(F.max("goes").alias("any"), F.sort_array(F.collect_list(F.struct("pos", "goes"))).alias("flags"))
-    return flags.filter("any").select("k1", "k2", F.transform("flags", lambda x: x["goes"]).alias("goes"))
+def removed_lines(docs: DataFrame, lines: DataFrame, site: str = "source") -> DataFrame:
+    """(k1, k2, goes: array of the numbers of the lines that go) of the texts that lose lines."""
+    found = site_lines(docs, site).join(common.broadcast_if_small(lines), ["h1", "h2"], "left_semi")
+    return found.groupBy("k1", "k2").agg(F.collect_set("pos").alias("goes"))  # as many as the text has lines
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", least_sites: int = LEAST_SITES, copies_once: bool = False) -> DataFrame:
     """The same rows and columns with boilerplate lines taken out of `text`, plus n_lines and n_removed."""
     lines = boilerplate(docs, site, least_sites, copies_once)
     rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "k1", "k2")], *common.text_key(F.col("text")))
-    flags = removed_flags(docs, lines, site).withColumnRenamed("goes", "__goes")
-    flagged = rows.join(flags, ["k1", "k2"], "left")
+    flagged = rows.join(removed_lines(docs, lines, site).withColumnRenamed("goes", "__goes"), ["k1", "k2"], "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.get("__goes", i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__goes"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     return flagged.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"),
-            "n_removed": F.coalesce(F.size(F.filter("__goes", lambda x: x)), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.size("__goes"), F.lit(0)).cast("long"),
             "text": F.when(F.col("__goes").isNull(), F.col("text")).otherwise(kept),
         }
     ).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "k1", "k2")], "n_lines", "n_removed")

@@ -9,7 +9,8 @@ Windows are grouped by sorting a text's own windows, so no window leaves its row
 needs more than its own memory.
 
 Defined results: null text has no words and fails; a null host is the host ''; ids may be null or
-repeated, each row gives one row; an empty table gives none; other columns are ignored.
+repeated, each row gives one row; a host at the limit itself stays; an empty table gives none; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

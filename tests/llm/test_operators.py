@@ -321,6 +321,33 @@ def test_licenses_many_notices(spark):
     assert {label for label, _, _ in licenses.TEMPLATES} <= found[100] and found[1000] == {""}
 
 
+def test_licenses_random_mixes(spark):
+    """Labels and scores of texts of whole, cut and altered notices against a plain scan."""
+    templates = [(label, licenses.words_of(key), licenses.words_of(text)) for label, key, text in licenses.TEMPLATES]
+    table = []
+    for k in range(150):
+        parts = []
+        for _ in range(random.randint(0, 4)):
+            ws = random.choice(licenses.TEMPLATES)[2].split()
+            cut = random.choice([len(ws), random.randint(1, len(ws))])
+            parts.append(" ".join(w if random.random() > 0.15 else "other" for w in ws[:cut]).upper())
+            parts.append(words(random.randint(0, 6)))
+        table.append((k, " ".join(parts)))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    for k, text in table:
+        ws, base, best = brute.contract_words(text), set(brute.licenses(text)[4].split(",")) - {""}, 0.0
+        labels = set(base)
+        for label, key, body in templates:
+            at = next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+            for p in (p for p in range(len(ws)) if ws[p : p + len(key)] == key):
+                share = max(sum(0 <= p - at + s + i < len(ws) and ws[p - at + s + i] == w for i, w in enumerate(body)) for s in range(-licenses.AROUND, licenses.AROUND + 1)) / len(body)
+                if share >= licenses.LEAST_SHARE:
+                    labels.add(label)
+                    best = max(best, share)
+        assert got[k]["labels"] == ",".join(sorted(labels)) and got[k]["base_labels"] == ",".join(sorted(base))
+        assert abs(got[k]["score"] - (1.0 if base else best)) < 1e-9
+
+
 def test_licenses_frequent_notice(spark):
     """A notice that most texts carry keeps its label in all of them."""
     table = [(k, "some text\nAll rights reserved.") for k in range(60)] + [(100 + k, f"text {k}\nLicensed under CC BY-NC 4.0.") for k in range(40)]
