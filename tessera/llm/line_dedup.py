@@ -73,7 +73,9 @@ def dedup_lines(docs: DataFrame, site: str = "source", least_sites: int = LEAST_
     lines = boilerplate(docs, site, least_sites, copies_once)
     rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "k1", "k2")], *common.text_key(F.col("text")))
     flagged = rows.join(removed_lines(docs, lines, site).withColumnRenamed("goes", "__goes"), ["k1", "k2"], "left")
-    parts = F.split("text", "\n")
+    # A column of its own, so that a text is split once and not once for every line.
+    flagged = flagged.withColumn("__parts", F.split("text", "\n"))
+    parts = F.col("__parts")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__goes"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     return flagged.withColumns(
