@@ -210,14 +210,17 @@ def resolve(goals: DataFrame, facts: DataFrame, colocation: list[str], location:
     """
     placed = facts.filter(F.col("p").isin(location)).select(F.col("s").alias("node"), F.col("o").alias("place"))
     together = facts.filter(F.col("p").isin(colocation))
-    partners = together.select(F.col("s").alias("node"), F.col("o").alias("next")).unionByName(together.select(F.col("o").alias("node"), F.col("s").alias("next"))).distinct()
+    partners = together.select(F.col("s").alias("node"), F.col("o").alias("next")).unionByName(together.select(F.col("o").alias("node"), F.col("s").alias("next")))
     last = known = cut(placed.distinct().withColumn("hops", F.lit(0)))
+    # Only nodes still without a place look at their partners.
+    open_ = cut(partners.join(known.select("node").distinct(), "node", "left_anti"))
     for hops in range(1, rounds + 1):
-        step = partners.join(last.select(F.col("node").alias("next"), "place"), "next").select("node", "place").distinct()
-        last = cut(step.join(known.select("node").distinct(), "node", "left_anti").withColumn("hops", F.lit(hops)))
+        step = open_.join(last.select(F.col("node").alias("next"), "place"), "next").select("node", "place").distinct()
+        last = cut(step.withColumn("hops", F.lit(hops)))
         if last.isEmpty():
             break
         known = known.unionByName(last)
+        open_ = open_.join(last.select("node").distinct(), "node", "left_anti")
     return goals.select("goal_id", F.col("subject").alias("node")).join(known, "node").select("goal_id", "place", "hops")
 
 
