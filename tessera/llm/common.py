@@ -7,6 +7,7 @@ worked out once per class and joined back to the rows, so thousands of exact cop
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -33,10 +34,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which a cluster shares too."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which a cluster shares too.
+
+    Only where driver and executors are one process (``local[n]``, as in tests) is it a temporary folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        one = context.master == "local" or context.master.startswith("local[")
+        own = tempfile.mkdtemp(prefix="spark-") if one else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return context.getCheckpointDir()
 
 
