@@ -6,6 +6,8 @@ anti join, and checkpoints the round's delta to the shared folder so that lineag
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,15 @@ from ..functions import exprs
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to `spark.checkpoint.dir`; where that is unset to the warehouse, which a cluster shares too."""
+    """Checkpoint to `spark.checkpoint.dir`; where that is unset to the warehouse, which a cluster shares too.
+
+    Only where driver and executors are one process (`local[n]`, as in tests) a temporary folder is made.
+    """
     context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        one = context.master == "local" or context.master.startswith("local[")
+        own = tempfile.mkdtemp(prefix="spark-") if one else f"{conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint(eager=True)
 
 
