@@ -118,6 +118,22 @@ def forward_chain(facts: DataFrame, rules: DataFrame) -> DataFrame:
     return new.join(known, ["s", "p", "o"], "left_anti").groupBy("s", "p", "o").agg(F.max("score").alias("score"))
 
 
+def close_kinds(facts: DataFrame, rules: DataFrame, most_rounds: int = 4) -> DataFrame:
+    """Facts (s, p, o, conf, seq) that recorded rules (p, o, p2, o2, weight) derive from `facts`: who has p o has p2 o2.
+
+    Semi-naive, `most_rounds` rounds at most; a fact keeps its first round's largest weight and the seq of its cause.
+    """
+    known = delta = cut(facts.select("s", "p", "o", "conf", "seq"))
+    found = None
+    for _ in range(most_rounds):
+        new = delta.join(rules, ["p", "o"]).groupBy("s", F.col("p2").alias("p"), F.col("o2").alias("o")).agg(F.max("weight").alias("conf"), F.min("seq").alias("seq"))
+        delta = cut(new.join(known.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select(*known.columns))
+        if delta.isEmpty():
+            break
+        known, found = known.unionByName(delta), delta if found is None else found.unionByName(delta)
+    return delta if found is None else found
+
+
 def grouped(rules: list[Rule]) -> list[tuple[tuple, tuple, dict]]:
     """Rules of one shape that differ in one predicate of the first pattern, to be run as one join.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import query as ask
-from ..operators import scoring
+from ..operators import rules, scoring
 from ..sources import facts
 from ..sources.facts import SQL, Tables, with_views
 from ..streaming import ingest
@@ -31,6 +31,23 @@ def stream_rules(t: Tables):
     return ingest.ingest_rules(own, ["ant", "name", "con"])
 
 
+@query(
+    "stream_rule_closure",
+    """WITH told AS (SELECT 'entity:part_' || p_partkey AS s, 'hasBrand' AS p, p_brand AS o, 0.9::DOUBLE AS conf FROM part),
+  r AS (SELECT DISTINCT 'hasBrand' AS p, p_brand AS o, 'hasType' AS p2, p_type AS o2, 0.7::DOUBLE AS weight FROM part UNION SELECT DISTINCT 'hasType', p_type, 'sizedLike', p_type || ' ' || max(p_size), 0.6::DOUBLE FROM part GROUP BY p_type),
+  d1 AS (SELECT DISTINCT s, p2 AS p, o2 AS o, weight AS conf FROM told JOIN r USING (p, o)), d2 AS (SELECT DISTINCT s, p2 AS p, o2 AS o, weight AS conf FROM d1 JOIN r USING (p, o))
+SELECT s, count(*) AS n, count(*) FILTER (WHERE p = 'sizedLike') AS second, min(o) FILTER (WHERE p = 'hasType') AS first, round(sum(conf), 6) AS total FROM (FROM told UNION ALL FROM d1 UNION ALL FROM d2) GROUP BY 1""",
+)
+def stream_rule_closure(t: Tables):
+    """Rules recorded from one stream are applied to the facts of a later one, as they come."""
+    told = streamed(t, "part").select(F.lit("hasBrand").alias("p"), F.col("p_brand").alias("o"), F.lit("hasType").alias("p2"), F.col("p_type").alias("o2"), F.lit(0.7).alias("weight"))
+    sizes = t.part.groupBy("p_type").agg(F.max("p_size").alias("size")).select(F.lit("hasType").alias("p"), F.col("p_type").alias("o"), F.lit("sizedLike").alias("p2"), F.concat_ws(" ", "p_type", F.col("size").cast("string")).alias("o2"), F.lit(0.6).alias("weight"))
+    recorded = ingest.ingest_rules(told, ["p", "o", "p2", "o2"]).unionByName(sizes)
+    own = facts.fact(streamed(t, "part"), facts.symbol("part", F.col("p_partkey")), "hasBrand", F.col("p_brand"), F.lit(0.9), F.col("p_partkey"))
+    got = ingest.ingest_facts(own, keep=lambda new: rules.close_kinds(new, recorded))
+    return got.groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("p") == "sizedLike").alias("second"), F.min(F.when(F.col("p") == "hasType", F.col("o"))).alias("first"), F.round(F.sum("conf"), 6).alias("total"))
+
+
 @query("stream_indexes", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_indexes(t: Tables):
     return ingest.index_counts(streamed(t, "events"), ["event_type", "user_id"])

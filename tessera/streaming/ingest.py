@@ -1,24 +1,19 @@
 """Incremental ingestion with Structured Streaming: facts, rules, indexes, session memory, answers.
 
-Every batch writes its own folder (batch=N, overwritten when a batch is run again), so a restarted
-query neither loses nor repeats rows. State and outputs live in the shared checkpoint folder.
+What is known is state of the stream, kept by key, so a batch costs what it brings and not what was
+written before. Every batch writes its own folder (batch=N, overwritten when a batch is run again), so
+a restarted query neither loses nor repeats rows. State and outputs live in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.store import insert_if_new
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     from ..operators.ontology import cut
 
@@ -27,12 +22,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def stream_table(spark: SparkSession, path: str) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet table, a folder or one file, as a stream of its files.
 
     A single file may only be named by a pattern, so the last letter is given as one.
     """
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -45,83 +43,82 @@ def read_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFr
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
 
+def write_batch(folder: str) -> Callable[[DataFrame, int], None]:
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+
+def newest(stream: DataFrame, keys: list[str], *states) -> DataFrame:
+    """The last state of each key of a streaming aggregation, of which a batch writes the keys it touched."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "state")
+
+    def each(batch: DataFrame, number: int) -> None:
+        write_batch(folder)(batch.withColumn("number", F.lit(number)), number)
+
+    state = stream.groupBy(*keys).agg(*states)
+    run_available(state, folder, each, mode="update")
+    names = [c for c in state.columns if c not in keys]
+    every = read_batches(spark, folder, StructType(state.schema.fields).add("number", "integer"))
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*names), "number").alias("state")).select(*keys, "state.*")
+
+
 def ingest_facts(facts: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The table that a stream of facts (s, p, o, conf, seq) builds: each fact once, the first confidence.
 
-    `keep` derives more facts from a batch's new ones (for example rules), before they are written.
+    A fact is new in the batch in which its key enters the state: then its first and its last batch time
+    are the same. `keep` derives more facts from a batch's new ones (for example rules); of a fact that is
+    both told and derived the told one stays, of two derived ones the earlier.
     """
     spark, folder, schema = facts.sparkSession, shared_folder(facts.sparkSession, "facts"), facts.schema
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/rows/batch=-1")
+    first = F.min_by(F.struct("conf", "seq"), F.struct("seq", -F.col("conf"))).alias("x")
+    state = facts.withColumn("at", F.current_timestamp()).groupBy("s", "p", "o").agg(first, F.min("at").alias("came"), F.max("at").alias("at"))
 
     def each(batch: DataFrame, number: int) -> None:
-        before = read_batches(spark, folder, schema).filter(~F.input_file_name().contains(f"/batch={number}/"))
-        new = insert_if_new(before, batch)
+        new = batch.filter("came = at").select("s", "p", "o", "x.*").select(*schema.names).withColumn("told", F.lit(True))
         if keep is not None:
-            new = new.unionByName(insert_if_new(before.unionByName(new), keep(new)))
-        new.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+            new = new.persist()
+            derived = keep(new.drop("told")).select(*schema.names).withColumn("told", F.lit(False))
+            write_batch(folder)(new.unionByName(derived), number)
+            new.unpersist()
+        else:
+            write_batch(folder)(new, number)
 
-    run_available(facts, folder, each)
-    return read_batches(spark, folder, schema)
+    run_available(state, folder, each, mode="update")
+    every = read_batches(spark, folder, StructType(schema.fields).add("told", "boolean"))
+    if keep is None:
+        return every.drop("told")
+    order = F.struct(F.when(F.col("told"), 0).otherwise(1), "seq", -F.col("conf"))
+    return every.groupBy("s", "p", "o").agg(F.min_by(F.struct("conf", "seq"), order).alias("x")).select("s", "p", "o", "x.*")
 
 
 def ingest_rules(rules: DataFrame, key: list[str]) -> DataFrame:
-    """Rules of a stream, each recorded once by `key`."""
-    spark, folder, schema = rules.sparkSession, shared_folder(rules.sparkSession, "rules"), rules.schema
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/rows/batch=-1")
-
-    def each(batch: DataFrame, number: int) -> None:
-        before = read_batches(spark, folder, schema).filter(~F.input_file_name().contains(f"/batch={number}/"))
-        batch.dropDuplicates(key).join(before.select(*key), key, "left_anti").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-
-    run_available(rules, folder, each)
-    return read_batches(spark, folder, schema)
+    """Rules of a stream, each recorded once by `key`, which all columns follow from."""
+    folder = shared_folder(rules.sparkSession, "rules")
+    run_available(rules.dropDuplicates(key), folder, write_batch(folder))
+    return read_batches(rules.sparkSession, folder, rules.schema)
 
 
 def index_counts(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Counts per key kept by a streaming aggregation; the state after the last batch."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "index")
-    last = {"path": None}
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        last["path"] = f"{folder}/rows/batch={number}"
-
-    run_available(stream.groupBy(*keys).agg(F.count("*").alias("n")), folder, each, mode="complete")
-    return spark.read.parquet(last["path"])
+    return newest(stream, keys, F.count("*").alias("n"))
 
 
 def session_memory(turns: DataFrame, keep: int = 50) -> DataFrame:
-    """(conv_id, remembered, last_turn): per session the last `keep` distinct texts, as custom state."""
-    spark, folder = turns.sparkSession, shared_folder(turns.sparkSession, "memory")
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = json.loads(state.get[0]) if state.exists else []
-        last = state.get[1] if state.exists else -1
-        rows = pd.concat(list(batches)).sort_values(["turn", "text"], ascending=[True, False])
-        for turn, text in zip(rows["turn"], rows["text"]):
-            recent = [x for x in recent if x != text][-(keep - 1) :] + [text]
-            last = max(last, int(turn))
-        state.update((json.dumps(recent), last))
-        yield pd.DataFrame({"conv_id": [key[0]], "remembered": [len(recent)], "last_turn": [last]})
-
-    schema = "conv_id long, remembered long, last_turn long"
-    updated = turns.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(update, schema, "recent string, last long", "update", GroupStateTimeout.NoTimeout)
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+    """(conv_id, remembered, last_turn): per session how many of the last `keep` distinct texts are held.
 
-    run_available(updated, folder, each, mode="update")
-    every = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
-    return every.groupBy("conv_id").agg(F.max_by(F.struct("remembered", "last_turn"), "number").alias("x")).select("conv_id", "x.*")
+    The state is the last turn of each text of a session, so a long session is many keys. A null text is
+    no memory, but its turn counts.
+    """
+    texts = newest(turns, ["conv_id", "text"], F.max("turn").cast("long").alias("turn"))
+    last = texts.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    order = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "text")
+    held = texts.filter("text IS NOT NULL").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
+    counted = held.groupBy("conv_id").agg(F.count("*").alias("remembered"))
+    return last.join(counted, "conv_id", "left").select("conv_id", F.coalesce("remembered", F.lit(0)).alias("remembered"), "last_turn")
 
 
 def answer_stream(goals: DataFrame, facts: DataFrame) -> DataFrame:
     """(goal_id, answer): a stream of goals (goal_id, subject, predicate) joined with the fact table."""
     spark, folder = goals.sparkSession, shared_folder(goals.sparkSession, "answers")
     joined = goals.join(facts.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("answer")), ["subject", "predicate"]).select("goal_id", "answer")
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-
-    run_available(joined, folder, each)
+    run_available(joined, folder, write_batch(folder))
     return read_batches(spark, folder, joined.schema)
