@@ -153,3 +153,25 @@ def first_of_tiers(branches: list[DataFrame], by: list[str], value: str) -> Data
         own = branch.select(*by, F.col(value), F.lit(tier).alias("tier"))
         every = own if every is None else every.unionByName(own)
     return every.groupBy(*by).agg(F.min(F.struct("tier", value)).alias("x")).select(*by, f"x.{value}", "x.tier")
+
+
+def dispatch(goals: DataFrame, branches: list[tuple[str | None, DataFrame]]) -> DataFrame:
+    """(goal, answer, tier): each goal's answer by the first branch that has one.
+
+    goals (goal, cue); a branch (goal, answer) with a cue speaks only to goals of that cue.
+    """
+    own = [branch.join(goals if cue is None else goals.filter(F.col("cue") == cue), "goal", "left_semi") for cue, branch in branches]
+    return first_of_tiers(own, ["goal"], "answer")
+
+
+def richer_chain(structured: DataFrame, explained: DataFrame, ruled: DataFrame) -> DataFrame:
+    """(target, chosen, chain): the chain with more distinct lines, the structured one of two equal ones, then the outcome.
+
+    structured and explained: (target, lines array). The outcome line stays out for targets that are ruled out.
+    """
+    both = explained.select("target", F.array_distinct("lines").alias("e")).join(structured.select("target", F.array_distinct("lines").alias("s")), "target", "full")
+    wins = F.coalesce(F.size("s"), F.lit(0)) >= F.coalesce(F.size("e"), F.lit(0))
+    out = both.join(ruled.select("target").distinct().withColumn("out", F.lit(True)), "target", "left")
+    lines = F.when(wins, F.col("s")).otherwise(F.col("e"))
+    whole = F.when(F.col("out"), lines).otherwise(F.array_append(lines, F.concat(F.lit("outcome "), "target")))
+    return out.select("target", F.when(wins, "structured").otherwise("explanation").alias("chosen"), F.array_join(whole, " | ").alias("chain"))

@@ -9,6 +9,7 @@ from ..operators import diagnose as dia
 from ..operators import ontology, paths
 from ..sources import facts
 from ..sources.facts import Tables, with_views
+from . import answer_queries
 from .register import Register
 
 query = Register()
@@ -258,14 +259,25 @@ def failure_path(t: Tables):
     return chains.join(users, "start").groupBy("goal").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-@query("alias_best_path", f"{CHAIN_SQL} SELECT start, max(hops) AS hops, round(max(round(score, 9)), 6) AS score FROM ch GROUP BY 1")
+@query("alias_best_path", f"{CHAIN_SQL} SELECT replace(start, 'entity:', 'concept:') AS subject, replace(node, 'entity:', 'concept:') AS target, hops, round(score, 6) + 0.0 AS score FROM ch WHERE hops > 1")
 def alias_best_path(t: Tables):
-    """Starts given by their concept names: an alias hop of 0 leads to the entity."""
-    named = errors(t, "entity").select(F.regexp_replace("entity", "^entity:", "concept:").alias("concept"))
-    known = t.events.select(facts.event_symbol(F.col("event_id")).alias("start"))
-    starts = named.select(F.explode(ontology.alias_keys(F.col("concept"))).alias("start")).join(known, "start", "left_semi")
-    got = paths.best_chains(weighted(t), starts.distinct(), depth=3)
-    return got.groupBy("start").agg(F.max("hops").alias("hops"), F.round(F.max("score"), 6).alias("score"))
+    """Both ends given by their concept names: of all pairs of their aliases the best chain."""
+    after = facts.event_order(t).select("s", "o")
+    second = after.join(after.select(F.col("s").alias("o"), F.col("o").alias("two")), "o")
+    third = second.join(after.select(F.col("s").alias("two"), F.col("o").alias("three")), "two", "left")
+    ends = errors(t, "s").join(third, "s").select("s", F.explode(F.array_compact(F.array("two", "three"))).alias("o"))
+    concept = lambda c: F.regexp_replace(c, "^entity:", "concept:")
+    pairs = ends.select(concept("s").alias("subject"), concept("o").alias("target"))
+    known = t.events.select(facts.event_symbol(F.col("event_id")).alias("alias"))
+
+    def known_as(name):
+        return pairs.select(name).distinct().select(name, F.explode(ontology.alias_keys(F.col(name))).alias("alias")).join(known, "alias", "left_semi").distinct()
+
+    starts = known_as("subject").withColumnRenamed("alias", "start")
+    got = paths.best_chains(weighted(t), starts.select("start").distinct(), depth=3)
+    every = pairs.join(starts, "subject").join(known_as("target").withColumnRenamed("alias", "node"), "target").join(got, ["start", "node"])
+    best = every.groupBy("subject", "target").agg(F.max(F.struct("score", (-F.col("hops")).alias("less"))).alias("x"))
+    return best.select("subject", "target", (-F.col("x.less")).alias("hops"), (F.round("x.score", 6) + 0.0).alias("score"))
 
 
 BACK_SQL = EV + """, c AS (SELECT id AS cause, 'entity:event_' || nxt AS effect FROM ev WHERE nxt IS NOT NULL), t AS (SELECT id AS target FROM ev WHERE event_type = 'purchase'),
@@ -307,36 +319,6 @@ def structured_chain(t: Tables):
     return each.select("goal", F.array_join(F.transform("all", lambda x: x["line"]), " | ").alias("chain"), F.size("all").cast("long").alias("n"))
 
 
-TIERS = """SELECT user_id AS goal, CASE WHEN e IS NOT NULL THEN e WHEN p IS NOT NULL THEN p ELSE c END AS answer, CASE WHEN e IS NOT NULL THEN 0 WHEN p IS NOT NULL THEN 1 ELSE 2 END AS tier FROM (
-  SELECT user_id, min('entity:event_' || event_id) FILTER (WHERE event_type = 'error' AND value > 50) AS e, min('entity:event_' || event_id) FILTER (WHERE event_type = 'purchase') AS p, min('entity:event_' || event_id) AS c FROM events GROUP BY 1)"""
-
-
-def tiers(t: Tables):
-    own = t.events.select(F.col("user_id").alias("goal"), facts.event_symbol(F.col("event_id")).alias("answer"), "event_type", "value")
-    return dia.first_of_tiers([own.filter("event_type = 'error' AND value > 50"), own.filter("event_type = 'purchase'"), own], ["goal"], "answer")
-
-
-@query("cause_dispatch", TIERS)
-def cause_dispatch(t: Tables):
-    """Branches by priority: a strong failure, else an outcome, else any event."""
-    return tiers(t)
-
-
-@query("relation_dispatch", with_views("pairs", "places") + " SELECT 'entity:' || k AS subject, coalesce(x.a, y.a) AS answer, CASE WHEN x.a IS NOT NULL THEN 0 WHEN y.a IS NOT NULL THEN 1 ELSE 2 END AS tier FROM (SELECT 'part_' || p_partkey AS k FROM part UNION ALL SELECT 'customer_' || c_custkey FROM customer) LEFT JOIN (SELECT s, min(o) AS a FROM pairs GROUP BY 1) x ON x.s = 'entity:' || k LEFT JOIN (SELECT s, min(o) AS a FROM places GROUP BY 1) y ON y.s = 'entity:' || k WHERE coalesce(x.a, y.a) IS NOT NULL")
-def relation_dispatch(t: Tables):
-    """Relation answers first, else places."""
-    subjects = t.part.select(facts.symbol("part", F.col("p_partkey")).alias("subject")).union(t.customer.select(facts.symbol("customer", F.col("c_custkey"))))
-    of = lambda df: df.select(F.col("s").alias("subject"), F.col("o").alias("answer")).join(subjects, "subject", "left_semi")
-    return dia.first_of_tiers([of(facts.part_with_supplier(t)), of(facts.places(t))], ["subject"], "answer")
-
-
-@query("chain_choice", f"WITH s AS ({ROLE_LIST}), e AS (SELECT user_id AS goal, count(*) AS m FROM events WHERE event_type = 'view' GROUP BY 1) SELECT s.goal, CASE WHEN n >= coalesce(m, 0) THEN 'structured' ELSE 'explanation' END AS chosen FROM s LEFT JOIN e USING (goal)")
-def chain_choice(t: Tables):
-    """The richer of two chains."""
-    other = t.events.filter("event_type = 'view'").groupBy(F.col("user_id").alias("goal")).agg(F.count("*").alias("m"))
-    return structured_chain(t).join(other, "goal", "left").select("goal", F.when(F.col("n") >= F.coalesce("m", F.lit(0)), "structured").otherwise("explanation").alias("chosen"))
-
-
 @query("predicate_explanation", with_views("requires", "pairs") + " SELECT subject, string_agg(line, '; ' ORDER BY n) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY tier, line) AS n FROM (SELECT o AS subject, 0 AS tier, s || ' requires ' || o AS line FROM requires UNION ALL SELECT s, 1, s || ' with ' || o FROM pairs)) WHERE n <= 3 GROUP BY 1")
 def predicate_explanation(t: Tables):
     """Three lines per part: who requires it, then who it is with."""
@@ -373,4 +355,121 @@ def vocabulary(t: Tables):
     return predicates.union(symbols).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def branches_sql(goals: str, branches: list[tuple[str | None, str]]) -> str:
+    """Goals (goal, cue) answered by the first branch (goal, answer) that speaks to their cue."""
+    every = " UNION ALL ".join(f"SELECT goal, answer, {tier} AS tier FROM ({sql}) JOIN goals USING (goal)" + (f" WHERE cue = '{cue}'" if cue else "") for tier, (cue, sql) in enumerate(branches))
+    return f"WITH goals AS ({goals}) SELECT goal, arg_min(answer, (tier, answer)) AS answer, min(tier) AS tier FROM ({every}) GROUP BY 1"
+
+
+def goals(t: Tables):
+    """(goal, cue): parts, events, orders, nations and users, each asked in one way."""
+    cue = lambda key, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (key % len(names) + 1).cast("int")).alias("cue")
+    return facts.union(
+        t.part.select(facts.symbol("part", F.col("p_partkey")).alias("goal"), cue(F.col("p_partkey"), "backup", "dependents", "condition", "why")),
+        t.events.select(facts.event_symbol(F.col("event_id")).alias("goal"), cue(F.col("event_id"), "signal", "why")),
+        t.orders.select(facts.symbol("order", F.col("o_orderkey")).alias("goal"), cue(F.col("o_orderkey"), "contrast", "survivors", "why")),
+        t.nation.select(facts.named(F.col("n_name")).alias("goal"), F.lit("relation").alias("cue")),
+        t.events.select(facts.symbol("user", F.col("user_id")).alias("goal"), cue(F.col("user_id"), "ruled_out", "why")).distinct(),
+    )
+
+
+GOALS_SQL = """SELECT 'entity:part_' || p_partkey AS goal, ['backup', 'dependents', 'condition', 'why'][p_partkey % 4 + 1] AS cue FROM part UNION ALL SELECT 'entity:event_' || event_id, ['signal', 'why'][event_id % 2 + 1] FROM events
+UNION ALL SELECT 'entity:order_' || o_orderkey, ['contrast', 'survivors', 'why'][o_orderkey % 3 + 1] FROM orders UNION ALL SELECT 'entity:' || replace(lower(n_name), ' ', '_'), 'relation' FROM nation
+UNION ALL SELECT DISTINCT 'entity:user_' || user_id, ['ruled_out', 'why'][user_id % 2 + 1] FROM events"""
+
+
+def lookups(t: Tables) -> dict:
+    """Answers (goal, answer) that both dispatches choose from."""
+    user = facts.symbol("user", F.col("goal")).alias("goal")
+    short = F.split("lines", "; ")[0].alias("answer")
+    return {
+        "backup": backup_lookup(t).join(resource_availability(t).filter("state = -1"), F.col("part") == F.col("node"), "left_semi").select(F.col("part").alias("goal"), F.col("backup").alias("answer")),
+        "signal": signals(t).filter("weight > 0.4").select(F.col("target").alias("goal"), F.col("signal").alias("answer")),
+        "dependents": dependents(t).select(F.col("resource").alias("goal"), F.col("first").alias("answer")),
+        "relation": relationship_path(t).select(F.col("a").alias("goal"), F.col("path").alias("answer")),
+        "ruled_out": ruled_out(t).select(user, F.col("failure").alias("answer")),
+        "contrast": dependency_contrast(t).select(F.col("dependent").alias("goal"), F.concat_ws(" of ", F.col("suppliers").cast("string"), F.col("parts").cast("string")).alias("answer")),
+        "condition": condition_contrast(t).select(F.col("resource").alias("goal"), F.concat_ws(" to ", "first", "last").alias("answer")),
+        "predicate": predicate_explanation(t).select(F.col("subject").alias("goal"), short),
+        "structured": structured_chain(t).select(user, F.col("chain").alias("answer")),
+        "forward": forward_best_path(t).groupBy(F.col("start").alias("goal")).agg(F.max_by("node", F.struct("score", "node")).alias("answer")),
+        "ancestry": rule_ancestry(t).select(F.col("target").alias("goal"), F.col("cause").alias("answer")),
+        "survivors": survivors(t).select(F.col("dependent").alias("goal"), F.lit("survives").alias("answer")),
+    }
+
+
+def lookup_sql() -> dict[str, str]:
+    own = query.oracles
+    return {
+        "backup": f"SELECT part AS goal, backup AS answer FROM ({own['backup_lookup']}) WHERE part IN (SELECT node FROM ({own['resource_availability']}) WHERE state = -1)",
+        "signal": f"SELECT target AS goal, signal AS answer FROM ({own['signals']}) WHERE weight > 0.4",
+        "dependents": f"SELECT resource AS goal, first AS answer FROM ({own['dependents']})",
+        "relation": f"SELECT a AS goal, path AS answer FROM ({own['relationship_path']})",
+        "ruled_out": f"SELECT 'entity:user_' || goal AS goal, failure AS answer FROM ({own['ruled_out']})",
+        "contrast": f"SELECT dependent AS goal, suppliers || ' of ' || parts AS answer FROM ({own['dependency_contrast']})",
+        "condition": f"SELECT resource AS goal, first || ' to ' || last AS answer FROM ({own['condition_contrast']})",
+        "predicate": f"SELECT subject AS goal, split_part(lines, '; ', 1) AS answer FROM ({own['predicate_explanation']})",
+        "structured": f"SELECT 'entity:user_' || goal AS goal, chain AS answer FROM ({own['structured_chain']})",
+        "forward": f"SELECT start AS goal, arg_max(node, (score, node)) AS answer FROM ({own['forward_best_path']}) GROUP BY 1",
+        "ancestry": f"SELECT target AS goal, cause AS answer FROM ({own['rule_ancestry']})",
+        "survivors": f"SELECT dependent AS goal, 'survives' AS answer FROM ({own['survivors']})",
+    }
+
+
+#: the branches of a question for a cause by priority, each with the cue that it needs
+CAUSE_BRANCHES = [("backup", "backup"), ("signal", "signal"), ("dependents", "dependents"), ("relation", "relation"), ("ruled_out", "ruled_out"), ("contrast", "contrast"), ("condition", "condition"), (None, "predicate"), (None, "structured"), (None, "forward"), (None, "ancestry")]
+
+
+@query("cause_dispatch", branches_sql(GOALS_SQL, [(cue, lookup_sql()[name]) for cue, name in CAUSE_BRANCHES]))
+def cause_dispatch(t: Tables):
+    """Eleven branches by priority: seven speak to their cue only, then predicates, structured chain, forward chain, ancestry."""
+    found = lookups(t)
+    return dia.dispatch(goals(t), [(cue, found[name]) for cue, name in CAUSE_BRANCHES])
+
+
+def relation_branches_sql() -> list[tuple[str | None, str]]:
+    own, asked = lookup_sql(), answer_queries.ORACLES
+    order = "'entity:order_' || goal_id"
+    return [
+        ("signal", own["signal"]), ("survivors", own["survivors"]), ("dependents", own["dependents"]), ("relation", own["relation"]),
+        (None, f"SELECT 'entity:part_' || goal_id AS goal, answer FROM ({asked['best_answer']})"),
+        (None, f"SELECT {order} AS goal, answer FROM ({asked['direct_relation']})"),
+        (None, f"SELECT 'entity:event_' || goal_id AS goal, answer FROM ({asked['direct_rule']})"),
+        (None, with_views("places") + " SELECT s AS goal, o AS answer FROM places"),
+        (None, "SELECT goal, 'Unknown' AS answer FROM goals"),
+    ]
+
+
+PLACED_SQL = GOALS_SQL + " UNION ALL SELECT 'entity:customer_' || c_custkey, 'why' FROM customer"
+
+
+@query("relation_dispatch", branches_sql(PLACED_SQL, relation_branches_sql()))
+def relation_dispatch(t: Tables):
+    """Signals, survivors, dependency list, relationship, ranked answers, direct facts, direct rules, places, Unknown."""
+    found = lookups(t)
+    asked = goals(t).unionByName(t.customer.select(facts.symbol("customer", F.col("c_custkey")).alias("goal"), F.lit("why").alias("cue")))
+    named = lambda kind, df: df.select(facts.symbol(kind, F.col("goal_id")).alias("goal"), "answer")
+    plain = [
+        named("part", answer_queries.best_answer(t)), named("order", answer_queries.direct_relation(t)), named("event", answer_queries.direct_rule(t)),
+        facts.places(t).select(F.col("s").alias("goal"), F.col("o").alias("answer")), asked.select("goal", F.lit("Unknown").alias("answer")),
+    ]
+    return dia.dispatch(asked, [(n, found[n]) for n in ("signal", "survivors", "dependents", "relation")] + [(None, df) for df in plain])
+
+
+@query(
+    "chain_choice",
+    EV.replace("WITH ", "WITH RECURSIVE ", 1) + f""", walk AS (SELECT id AS target, event_id AS k, id AS chain, 1 AS n FROM ev WHERE event_type = 'purchase' UNION ALL SELECT target, ev.event_id, chain || ' | ' || id, n + 1 FROM walk JOIN ev ON nxt = k WHERE n < 9),
+  e AS (SELECT target, max(n) AS n, arg_max(chain, n) AS chain FROM walk GROUP BY 1), s AS ({ROLE_LIST}), r AS (SELECT DISTINCT goal FROM ({query.oracles['ruled_out']}))
+SELECT target, CASE WHEN s.n >= e.n THEN 'structured' ELSE 'explanation' END AS chosen, CASE WHEN s.n >= e.n THEN s.chain ELSE e.chain END || CASE WHEN r.goal IS NULL THEN ' | outcome ' || target ELSE '' END AS chain
+FROM e JOIN ev ON id = target JOIN s ON s.goal = user_id LEFT JOIN r ON r.goal = user_id AND user_id % 2 = 0""",
+)
+def chain_choice(t: Tables):
+    """Per purchase the richer of its user's structured chain and of what came before it; the outcome, unless the user asks what is ruled out (see `goals`) and something is."""
+    causes = facts.event_order(t).select(F.col("s").alias("cause"), F.col("o").alias("effect"), F.col("conf").alias("score"))
+    targets = t.events.filter("event_type = 'purchase'").select(facts.event_symbol(F.col("event_id")).alias("target"), F.col("user_id").alias("goal"))
+    explained = paths.explanation(causes, targets.select("target"), depth=8).select("target", F.split("chain", " < ").alias("lines"))
+    structured = targets.join(structured_chain(t), "goal").select("target", F.split("chain", r" \| ").alias("lines"))
+    return dia.richer_chain(structured, explained, targets.filter("goal % 2 = 0").join(ruled_out(t), "goal", "left_semi"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles
