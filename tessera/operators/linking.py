@@ -80,6 +80,12 @@ def hashed_vectors(labels: DataFrame) -> DataFrame:
     return each.filter("w <> 0").withColumn("size", size).select("label", "slot", (F.col("w") / F.col("size")).alias("w"))
 
 
+def unit_vectors(vectors: DataFrame, vector: str) -> DataFrame:
+    """(label, slot, w): given vectors (label, array) as L2-normalised sparse rows; zero vectors have none."""
+    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v))
+    return vectors.withColumn("size", size).filter("size > 0").select("label", "size", F.posexplode(vector).alias("slot", "v")).select("label", "slot", (F.col("v").cast("double") / F.col("size")).alias("w"))
+
+
 def nearest_label(queries: DataFrame, vectors: DataFrame, least: float = 0.6, vectorizer: Callable[[DataFrame], DataFrame] = hashed_vectors) -> DataFrame:
     """(query, label, score): the known label with the largest cosine; sparse vectors meet on their slots.
 

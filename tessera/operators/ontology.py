@@ -107,6 +107,29 @@ def dictionary(labels: DataFrame, own_prefix: str) -> DataFrame:
     return keyed.withColumn("n", F.row_number().over(order)).filter("n = 1").select("term", "iri")
 
 
+def canonical_types(types: DataFrame, labels: DataFrame, synsets: str) -> DataFrame:
+    """(type, iri): a type by its bare label: an IRI that starts with `synsets` first, then the least IRI, else itself.
+
+    entity, concept and thing say nothing about what a thing is: null.
+    """
+    bare = types.select("type").distinct().withColumn("key", exprs.normal_search(exprs.strip_namespace(F.col("type"))))
+    best = label_index(labels).groupBy("key").agg(F.min_by("iri", F.struct(~F.col("iri").startswith(synsets), "iri")).alias("iri"))
+    none = F.col("key").isin("entity", "concept", "thing")
+    return bare.join(best, "key", "left").select("type", F.when(~none, F.coalesce("iri", "type")).alias("iri"))
+
+
+def annotation_values(asked: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(iri, annotation, value, number): the least value of each asked (iri, annotation), null if it has none; number if it reads as one."""
+    own = annotations.groupBy("iri", "annotation").agg(F.min("value").alias("value"))
+    return asked.select("iri", "annotation").distinct().join(own, ["iri", "annotation"], "left").withColumn("number", F.expr("try_cast(value AS double)"))
+
+
+def property_ranges(properties: DataFrame, axioms: DataFrame) -> DataFrame:
+    """(p, range): the named classes in range axioms (kind, s, o) of the asked properties; a property without one has no row."""
+    ranges = axioms.filter("kind = 'range'").select(F.col("s").alias("p"), F.col("o").alias("range")).distinct()
+    return ranges.join(properties.select("p").distinct(), "p", "left_semi")
+
+
 def alias_keys(symbol) -> F.Column:
     """Keys under which a symbol may be known: itself, its other namespace, singular and plural in both."""
     bare = exprs.strip_namespace(symbol)

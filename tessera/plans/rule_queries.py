@@ -187,22 +187,43 @@ def user_dictionary(t: Tables):
     return t.part.select(F.col("p_name").alias("text"), exprs.normal_mapper(F.col("p_name")).alias("term")).distinct().join(own, "term", "left").select("text", F.col("iri").isNotNull().alias("exact"))
 
 
-@query("canonical_type", f"WITH {LABELS_SQL} SELECT lower(label) AS type, min(iri) AS iri FROM labels GROUP BY 1")
+@query(
+    "canonical_type",
+    f"""WITH {LABELS_SQL}, k AS (SELECT replace(lower(label), '_', ' ') AS key, arg_min(iri, (NOT starts_with(iri, 'http://b.example/thing'), iri)) AS iri FROM labels GROUP BY 1),
+  t AS (SELECT DISTINCT 'concept:' || replace(p_name, ' ', '_') AS type, p_name AS key FROM part UNION SELECT DISTINCT 'concept:' || lower(p_type), lower(p_type) FROM part UNION SELECT DISTINCT 'concept:' || lower(n_name), lower(n_name) FROM nation UNION SELECT DISTINCT 'concept:thing', 'thing' FROM part)
+SELECT type, CASE WHEN t.key = 'thing' THEN NULL ELSE coalesce(iri, type) END AS iri FROM t LEFT JOIN k ON k.key = replace(t.key, '_', ' ')""",
+)
 def canonical_type(t: Tables):
-    """A type's IRI is the least of its label's IRIs."""
-    return labels(t).groupBy(F.lower("label").alias("type")).agg(F.min("iri").alias("iri"))
+    """Names of parts have two IRIs, nations one, types of parts none, and thing is no type."""
+    types = facts.union(
+        t.part.select(facts.concept(F.col("p_name")).alias("type")), t.part.select(facts.concept(F.col("p_type")).alias("type")),
+        t.nation.select(F.concat(F.lit("concept:"), F.lower("n_name")).alias("type")), t.part.select(F.lit("concept:thing").alias("type")),
+    )
+    return ontology.canonical_types(types, labels(t), "http://b.example/thing")
 
 
-@query("annotation_lookup", "SELECT p_brand AS iri, count(*) AS n, max(try_cast(CAST(p_size AS VARCHAR) AS DOUBLE)) AS most FROM part GROUP BY 1")
+@query(
+    "annotation_lookup",
+    """WITH a AS (SELECT p_name AS iri, 'size' AS annotation, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_name, 'brand', p_brand FROM part),
+  q AS (SELECT DISTINCT p_name AS iri, unnest(['size', 'brand', 'colour']) AS annotation FROM part)
+SELECT iri, annotation, min(value) AS value, try_cast(min(value) AS DOUBLE) AS number FROM q LEFT JOIN a USING (iri, annotation) GROUP BY 1, 2""",
+)
 def annotation_lookup(t: Tables):
-    notes = t.part.select(F.col("p_brand").alias("iri"), F.lit("size").alias("annotation"), F.col("p_size").cast("string").alias("value"))
-    return notes.filter("annotation = 'size'").groupBy("iri").agg(F.count("*").alias("n"), F.max(F.expr("try_cast(value AS double)")).alias("most"))
+    """Three annotations of every name: one reads as a number, one doesn't, one is nowhere."""
+    notes = t.part.select(F.col("p_name").alias("iri"), F.lit("size").alias("annotation"), F.col("p_size").cast("string").alias("value")).union(t.part.select("p_name", F.lit("brand"), "p_brand"))
+    asked = t.part.select(F.col("p_name").alias("iri"), F.explode(F.array(*[F.lit(x) for x in ("size", "brand", "colour")])).alias("annotation"))
+    return ontology.annotation_values(asked, notes)
 
 
-@query("property_ranges", "SELECT 'madeBy_' || p_brand AS p, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS ranges FROM part GROUP BY 1")
+@query("property_ranges", "SELECT DISTINCT 'urn:makes/' || p_brand AS p, 'urn:type/' || p_type AS range FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size > 10)")
 def property_ranges(t: Tables):
-    """The types of what a brand makes."""
-    return t.part.groupBy(F.concat(F.lit("madeBy_"), "p_brand").alias("p")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("ranges"))
+    """What the makers of large parts make, by the range axioms of the line text; other predicates have none."""
+    from ..sources import axioms
+    from .store_queries import axiom_lines
+
+    large = t.part.filter("p_size > 10")
+    asked = large.select(F.concat(F.lit("urn:makes/"), "p_brand").alias("p")).union(large.select(F.concat(F.lit("urn:"), "p_brand")))
+    return ontology.property_ranges(asked, axioms.tables(axioms.triples(axiom_lines(t))))
 
 
 ALIAS_SQL = """sym AS (SELECT DISTINCT 'entity:' || replace(p_name, ' ', '_') AS symbol, split_part(p_name, ' ', 2) AS noun FROM part),

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import store
-from ..sources import facts
+from ..sources import axioms, facts
 from ..sources.facts import SQL, Tables, with_views
+from ..streaming.ingest import shared_folder
 from .register import Register
 
 query = Register()
@@ -66,22 +67,34 @@ def derived_split(t: Tables):
     return store.derived(two, known)
 
 
-@query(
-    "axiom_load",
-    """SELECT p, count(*) AS n, count(DISTINCT o) AS targets FROM (
-  SELECT DISTINCT p_type AS s, 'subClassOf' AS p, 'product' AS o FROM part UNION ALL SELECT DISTINCT p_brand, 'madeAs', p_type FROM part UNION ALL SELECT n_name, 'label', n_name FROM nation) GROUP BY p""",
-)
-def axiom_load(t: Tables):
-    """Axiom rows written as line text and read back by pattern."""
-    rows = facts.union(
-        t.part.select(F.col("p_type").alias("s"), F.lit("subClassOf").alias("p"), F.lit("product").alias("o")).distinct(),
-        t.part.select(F.col("p_brand").alias("s"), F.lit("madeAs").alias("p"), F.col("p_type").alias("o")).distinct(),
-        t.nation.select(F.col("n_name").alias("s"), F.lit("label").alias("p"), F.col("n_name").alias("o")),
+AXIOM_SQL = """SELECT DISTINCT 'subclass' AS kind, 'urn:type/' || p_type AS s, 'urn:type/product' AS o FROM part UNION SELECT 'target', 'urn:' || p_brand, 'urn:type/' || p_type FROM part
+  UNION SELECT 'range', 'urn:makes/' || p_brand, 'urn:type/' || p_type FROM part UNION SELECT 'subproperty', 'urn:makes/' || p_brand, 'urn:makes' FROM part UNION SELECT 'inverse', 'urn:makes/' || p_brand, 'urn:madeBy/' || p_brand FROM part
+  UNION SELECT CASE WHEN p_size % 2 = 0 THEN 'symmetric' ELSE 'transitive' END, 'urn:sized/' || p_size, CASE WHEN p_size % 2 = 0 THEN 'http://www.w3.org/2002/07/owl#SymmetricProperty' ELSE 'http://www.w3.org/2002/07/owl#TransitiveProperty' END FROM part
+  UNION SELECT 'label', 'urn:part/' || p_partkey, p_name || ' "' || p_size || '" \\ ' || p_brand FROM part UNION SELECT 'annotation', 'urn:part/' || p_partkey, CAST(p_size AS VARCHAR) FROM part"""
+
+
+def axiom_lines(t: Tables):
+    """Lines about parts, brands and types, every axiom as often as a part states it, between comments."""
+    made = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    even = F.col("p_size") % 2 == 0
+    rows = lambda s, p, o, is_iri=True: t.part.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(is_iri).alias("is_iri"))
+    makes, kind = made("urn:makes/", "p_brand"), made("urn:type/", "p_type")
+    every = facts.union(
+        rows(kind, f"{axioms.RDFS}subClassOf", F.lit("urn:type/product")), rows(made("urn:", "p_brand"), "urn:madeAs", kind), rows(makes, f"{axioms.RDFS}range", kind),
+        rows(makes, f"{axioms.RDFS}subPropertyOf", F.lit("urn:makes")), rows(makes, f"{axioms.OWL}inverseOf", made("urn:madeBy/", "p_brand")),
+        rows(made("urn:sized/", "p_size"), f"{axioms.RDF}type", F.when(even, f"{axioms.OWL}SymmetricProperty").otherwise(f"{axioms.OWL}TransitiveProperty")),
+        rows(made("urn:part/", "p_partkey"), f"{axioms.RDFS}label", F.concat("p_name", F.lit(' "'), F.col("p_size").cast("string"), F.lit('" \\ '), "p_brand"), False),
+        rows(made("urn:part/", "p_partkey"), "urn:size", F.col("p_size").cast("string"), False),
     )
-    lines = rows.select(F.format_string('<%s> <%s> "%s" .', "s", "p", "o").alias("line"))
-    pattern = r'^<([^>]*)>\s+<([^>]*)>\s+"([^"]*)"\s*\.$'
-    read = lines.select(*[F.regexp_extract("line", pattern, i + 1).alias(c) for i, c in enumerate("spo")])
-    return read.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("o").alias("targets"))
+    return axioms.lines(every).union(t.part.select(F.concat(F.lit("# "), "p_name")))
+
+
+@query("axiom_load", AXIOM_SQL)
+def axiom_load(t: Tables):
+    """Axiom rows written as text files and read back into tables by kind."""
+    folder = shared_folder(t.spark, "axioms")
+    axiom_lines(t).write.text(folder)
+    return axioms.tables(axioms.triples(t.spark.read.text(folder))).select("kind", "s", "o")
 
 
 @query(

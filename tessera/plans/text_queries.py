@@ -265,12 +265,6 @@ def vector_nearest(t: Tables):
     return got.select(F.lower("query").alias("query"), "label")
 
 
-@query("user_vectorizer", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
-def user_vectorizer(t: Tables):
-    """Vectors given as a table take the place of the hashed ones."""
-    return t.embeddings.filter(F.size("embedding") > 0).groupBy("label").agg(F.count("*").alias("n"))
-
-
 CENTRE = """e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS slot, unnest(embedding)::DOUBLE AS v FROM embeddings),
   c AS (SELECT label, slot, sum(v) AS v FROM e GROUP BY 1, 2), n AS (SELECT label, slot, v / sqrt(sum(v * v) OVER (PARTITION BY label)) AS value FROM c)"""
 
@@ -290,6 +284,19 @@ def nearest_centroid(t: Tables):
     return linking.nearest_centroid(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", centres, "label").select("vec_id", "label")
 
 
+@query(
+    "user_vectorizer",
+    f"WITH {CENTRE}, s AS (SELECT vec_id, sqrt(sum(v * v)) AS size FROM e GROUP BY 1), d AS (SELECT vec_id, n.label, round(sum(e.v / size * value), 9) AS score FROM e JOIN s USING (vec_id) JOIN n ON n.slot = e.slot GROUP BY 1, 2) SELECT CAST(vec_id AS VARCHAR) AS query, arg_max(label, (score, label)) AS label, round(max(score), 6) AS score FROM d WHERE score >= 0.2 GROUP BY 1",
+)
+def user_vectorizer(t: Tables):
+    """Vectors given as a table take the place of the hashed ones: the nearest label centre of each id."""
+    given = linking.unit_vectors(t.embeddings.select(F.col("vec_id").cast("string").alias("label"), "embedding"), "embedding")
+    centres = linking.centroids(t.embeddings.withColumn("one", F.lit(1.0)), "label", "embedding", "one").select("label", "slot", F.col("value").alias("w"))
+    ids = t.embeddings.select(F.col("vec_id").cast("string").alias("query"))
+    got = linking.nearest_label(ids, centres, least=0.2, vectorizer=lambda df: given.join(df, "label", "left_semi"))
+    return got.select("query", "label", F.round("score", 6).alias("score"))
+
+
 @query("annotation_conflicts", "SELECT p_brand AS iri, p_name AS annotation, count(DISTINCT p_size) AS n FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_size) > 1")
 def annotation_conflicts(t: Tables):
     return t.part.groupBy(F.col("p_brand").alias("iri"), F.col("p_name").alias("annotation")).agg(F.count_distinct("p_size").alias("n")).filter("n > 1")

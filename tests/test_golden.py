@@ -181,3 +181,21 @@ def test_aliases(spark):
     known = spark.createDataFrame([("entity:power_bus",), ("entity:main_power_bus",), ("concept:motor",), ("concept:motors",), ("entity:bus",)], "symbol string")
     got = {tuple(r) for r in ontology.aliases(known, known).select("symbol", "alias").collect()}
     assert ("entity:power_bus", "entity:main_power_bus") in got and ("concept:motor", "concept:motors") in got and ("entity:bus", "entity:power_bus") not in got
+
+
+def test_axiom_lines(spark):
+    """Malformed lines, comments and blanks are no axioms; escapes, languages and types are read."""
+    from tessera.sources import axioms
+
+    rdfs, owl, rdf = axioms.RDFS, axioms.OWL, axioms.RDF
+    text = [f"<a> <{rdfs}subClassOf> <b> .", f"<a> <{rdfs}subClassOf> <b> .", rf'<a> <{rdfs}label> "say \"x\" \\ y"@en .', f"<p> <{rdf}type> <{owl}TransitiveProperty> .", f"<p> <{rdf}type> <c> .", '<a> <size> "4"^^<int> .', "# comment", "", None, "<a> <b>", '<a> <e> "" .']
+    got = {tuple(r) for r in axioms.tables(axioms.triples(spark.createDataFrame([(x,) for x in text], "value string"))).select("kind", "s", "o").collect()}
+    assert got == {("subclass", "a", "b"), ("label", "a", 'say "x" \\ y'), ("transitive", "p", owl + "TransitiveProperty"), ("target", "p", "c"), ("annotation", "a", "4"), ("annotation", "a", "")}
+
+
+def test_canonical_types(spark):
+    from tessera.operators import ontology
+
+    labels = spark.createDataFrame([("http://a/1", "Old Ring"), ("http://syn/9", "old_ring"), ("http://a/2", "Box"), ("http://a/0", "box")], "iri string, label string")
+    types = spark.createDataFrame([("concept:old_ring",), ("entity:box",), ("concept:thing",), ("concept:lamp",)], "type string")
+    assert dict(map(tuple, ontology.canonical_types(types, labels, "http://syn/").collect())) == {"concept:old_ring": "http://syn/9", "entity:box": "http://a/0", "concept:thing": None, "concept:lamp": "concept:lamp"}
