@@ -59,13 +59,20 @@ def sections(lines: DataFrame) -> DataFrame:
 def cases(lines: DataFrame) -> DataFrame:
     """(file, line_no, line) with `## Qn` blocks to (file, n, question, expected: the lines that follow)."""
     above = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.when(F.col("line").rlike(r"^##\s*Q\d+"), F.regexp_extract("line", r"Q(\d+)", 1).cast("int"))
+    n = F.when(F.col("line").rlike(r"^##\s*Q\d+"), F.regexp_extract("line", r"Q(\d+)", 1).cast("long"))
     marked = lines.withColumn("n", F.last(n, ignorenulls=True).over(above)).filter(F.col("n").isNotNull() & ~F.col("line").startswith("#") & (F.trim("line") != ""))
     each = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     got = marked.groupBy("file", "n").agg(F.transform(each, lambda x: x["line"]).alias("all"))
     return got.select("file", "n", F.get("all", F.lit(0)).alias("question"), F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))).alias("expected"))
 
 
+def evaluated(cases: DataFrame) -> DataFrame:
+    """Cases (expected: array, answer) with `ok`: each keyword of every expected line occurs in the answer. A null answer is wrong."""
+    words = F.split(F.lower(F.array_join("expected", " ")), r"[^\p{L}\p{N}_]+")
+    keywords = F.filter(words, lambda w: (w != "") & ~w.isin("the", "of", "a", "is", "in"))
+    return cases.withColumn("ok", F.coalesce(F.forall(keywords, lambda w: F.lower("answer").contains(w)), F.lit(False)))
+
+
 def recent(rows: DataFrame, session: str, value: str, seq: str, keep: int) -> DataFrame:
     """The last `keep` distinct values of each session, newest first (`place` from 1)."""
     last = rows.groupBy(session, value).agg(F.max(seq).alias("last"))

@@ -123,6 +123,17 @@ def expanded(facts: DataFrame) -> DataFrame:
     return facts.select(F.explode(F.array_compact(F.array(main, extra))).alias("f")).select("f.*")
 
 
+def flattened(batches: DataFrame) -> DataFrame:
+    """The primary facts `main` (struct) and the facts of `extras` (array; null: none) as rows."""
+    return batches.select(F.explode(F.concat(F.array("main"), F.coalesce("extras", F.array()))).alias("f")).select("f.*")
+
+
+def dual(facts: DataFrame, iris: DataFrame) -> DataFrame:
+    """Facts as they were said (kind surface), and once more under their predicate's IRI (p, iri) where it has one (canonical)."""
+    canonical = facts.join(iris, "p").withColumn("p", F.col("iri")).select(*facts.columns, F.lit("canonical").alias("kind"))
+    return canonical.unionByName(facts.withColumn("kind", F.lit("surface")))
+
+
 def conjoined(facts: DataFrame) -> DataFrame:
     """entity:a_and_b is two subjects."""
     names = F.split(F.regexp_replace("s", "^entity:", ""), "_and_")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
@@ -221,13 +222,20 @@ def backup_lookup(t: Tables):
 NATION_SQL = "np AS (SELECT 'entity:' || replace(lower(n_name), ' ', '_') AS n, 'entity:' || replace(lower(r_name), ' ', '_') AS r FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
-@query("relationship_path", f"WITH {NATION_SQL} SELECT x.n AS a, y.n AS b, x.n || ' > ' || x.r || ' > ' || y.n AS path, 2 AS hops FROM np x JOIN np y ON x.r = y.r AND x.n < y.n")
+@query(
+    "relationship_path",
+    f"""{EV}, {NATION_SQL}, far AS (SELECT id, event_type, nxt, lead(event_id, 2) OVER w AS n2, lead(event_id, 3) OVER w AS n3 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT x.n AS a, y.n AS b, x.n || ' > ' || x.r || ' > ' || y.n AS path, 2 AS hops FROM np x JOIN np y ON x.r = y.r AND x.n < y.n
+UNION ALL SELECT id, 'entity:event_' || n3, id || ' > entity:event_' || nxt || ' > entity:event_' || n2 || ' > entity:event_' || n3, 3 FROM far WHERE event_type = 'error' AND n3 IS NOT NULL""",
+)
 def relationship_path(t: Tables):
-    """Nations of one region are joined through it; those of two are not joined at all."""
+    """Nations of one region are joined through it, those of two not at all; an error is joined with the third event after it."""
     own = facts.nation_places(t)
     names = own.select("s")
     pairs = names.select(F.col("s").alias("a")).join(names.select(F.col("s").alias("b")), F.col("a") < F.col("b"))  # 25 nations
-    return paths.shortest_paths(own, pairs)
+    third = F.lead("event_id", 3).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    later = t.events.select("event_type", facts.event_symbol(F.col("event_id")).alias("a"), facts.event_symbol(third).alias("b")).filter("event_type = 'error' AND b IS NOT NULL")
+    return paths.shortest_paths(own.unionByName(facts.event_order(t)), pairs.unionByName(later.select("a", "b")))
 
 
 CHAIN_SQL = EV + """, e AS (SELECT id AS s, 'entity:event_' || nxt AS o, round(value / 1000, 3) - 0.1 AS w FROM ev WHERE nxt IS NOT NULL),

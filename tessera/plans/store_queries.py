@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
@@ -108,42 +109,53 @@ def pack_merge(t: Tables):
 
 
 LINES_SQL = """lines AS (
-  SELECT n_regionkey AS file, 0 AS line_no, '# statements' AS line FROM nation GROUP BY 1
-  UNION ALL SELECT n_regionkey, 1 + n_nationkey, (n_nationkey + 1) || '. ' || n_name || ' is in region' FROM nation
-  UNION ALL SELECT n_regionkey, 1000, '# questions' FROM nation GROUP BY 1
-  UNION ALL SELECT n_regionkey, 1001 + n_nationkey, 'where is ' || n_name FROM nation)"""
+  SELECT o_orderkey AS file, 0 AS line_no, '# statements' AS line FROM orders
+  UNION ALL SELECT l_orderkey, l_linenumber, l_linenumber || '. part ' || l_partkey || ' is with supplier ' || l_suppkey FROM lineitem
+  UNION ALL SELECT o_orderkey, 1000, '# questions' FROM orders
+  UNION ALL SELECT l_orderkey, 1000 + l_linenumber, 'where is part ' || l_partkey FROM lineitem)"""
 
 
-def region_lines(t: Tables):
-    """A sectioned text per region: its nations as statements, then as questions."""
-    own = F.col("n_regionkey").alias("file")
+def order_lines(t: Tables):
+    """A sectioned text per order: its lines as statements, then as questions, a blank line between."""
+    line, own = F.col("l_linenumber").cast("long"), F.col("l_orderkey").alias("file")
+    part, with_ = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    head = lambda at, text: t.orders.select(F.col("o_orderkey").alias("file"), F.lit(at).cast("long").alias("line_no"), F.lit(text).alias("line"))
     return facts.union(
-        t.nation.select(own, F.lit(0).alias("line_no"), F.lit("# statements").alias("line")).distinct(),
-        t.nation.select(own, (F.col("n_nationkey") + 1).alias("line_no"), F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit(". "), "n_name", F.lit(" is in region")).alias("line")),
-        t.nation.select(own, F.lit(1000).alias("line_no"), F.lit("# questions").alias("line")).distinct(),
-        t.nation.select(own, (F.col("n_nationkey") + 1001).alias("line_no"), F.concat(F.lit("where is "), "n_name").alias("line")),
+        head(0, "# statements"),
+        t.lineitem.select(own, line.alias("line_no"), F.concat(line.cast("string"), F.lit(". part "), part, F.lit(" is with supplier "), with_).alias("line")),
+        head(999, " "),
+        head(1000, "# questions"),
+        t.lineitem.select(own, (line + 1000).alias("line_no"), F.concat(F.lit("where is part "), part).alias("line")),
     )
 
 
 @query("dataset_sections", f"WITH {LINES_SQL} SELECT file, line_no, CASE WHEN line_no < 1000 THEN 'statements' ELSE 'questions' END AS section, regexp_replace(line, '^[0-9]+\\. ', '') AS text FROM lines WHERE line NOT LIKE '#%'")
 def dataset_sections(t: Tables):
-    return store.sections(region_lines(t))
+    return store.sections(order_lines(t))
 
 
 @query("load_counts", f"WITH {LINES_SQL} SELECT CASE WHEN line_no < 1000 THEN 'statements' ELSE 'questions' END AS section, count(*) AS n FROM lines WHERE line NOT LIKE '#%' GROUP BY 1")
 def load_counts(t: Tables):
-    return store.sections(region_lines(t)).groupBy("section").agg(F.count("*").alias("n"))
+    return store.sections(order_lines(t)).groupBy("section").agg(F.count("*").alias("n"))
 
 
-@query(
-    "diagnostic_cases",
-    "SELECT n_regionkey AS file, n_nationkey AS n, 'where is ' || n_name AS question, r_name || '|' || n_name AS expected FROM nation JOIN region ON n_regionkey = r_regionkey",
-)
+CASES_SQL = """cases AS (SELECT l_orderkey AS file, l_partkey AS n, 'where is part ' || l_partkey AS question, string_agg('supplier ' || l_suppkey, '|' ORDER BY l_suppkey) AS expected
+  FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) GROUP BY 1, 2)"""
+
+
+def case_lines(t: Tables):
+    """A text of `## Qn` blocks per order: where is a part, and the suppliers that the order has it from, a line each."""
+    own = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("from"))
+    part = F.col("l_partkey").cast("string")
+    head = F.array(F.concat(F.lit("## Q"), part), F.concat(F.lit("where is part "), part))
+    block = F.concat(head, F.transform("from", lambda x: F.concat(F.lit("supplier "), x.cast("string"))), F.array(F.lit(" ")))
+    each = own.select(F.col("l_orderkey").alias("file"), "l_partkey", F.posexplode(block).alias("i", "line"))
+    return each.select("file", F.row_number().over(Window.partitionBy("file").orderBy("l_partkey", "i")).alias("line_no"), "line")
+
+
+@query("diagnostic_cases", f"WITH {CASES_SQL} FROM cases")
 def diagnostic_cases(t: Tables):
-    own = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    parts = F.array(F.concat(F.lit("## Q"), F.col("n_nationkey").cast("string")), F.concat(F.lit("where is "), "n_name"), F.col("r_name"), F.lit(" "), F.col("n_name"))
-    lines = own.select(F.col("n_regionkey").alias("file"), "n_nationkey", F.posexplode(parts).alias("i", "line")).select("file", (F.col("n_nationkey") * 10 + F.col("i")).alias("line_no"), "line")
-    return store.cases(lines).withColumn("expected", F.array_join("expected", "|"))
+    return store.cases(case_lines(t)).withColumn("expected", F.array_join("expected", "|"))
 
 
 @query("lru_entities", "SELECT user_id, event_type, place FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id) DESC, event_type) AS place FROM events GROUP BY 1, 2) WHERE place <= 3")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import linking, text
+from ..operators import linking, store, text
 from ..sources import facts
 from ..sources.facts import Tables
+from . import answer_queries
 from .register import Register
+from .store_queries import CASES_SQL, case_lines
 
 query = Register()
 
@@ -156,13 +158,21 @@ def conjoined_subjects(t: Tables):
     return text.conjoined(own).groupBy("s").agg(F.count("*").alias("n"))
 
 
-@query("statement_batch", "SELECT 'statement' AS kind, 2 * count(*) AS n FROM nation UNION ALL SELECT 'surface', count(*) FROM nation")
+@query(
+    "statement_batch",
+    """WITH f AS (SELECT 'placedBy' AS p, o_orderkey AS s, o_custkey AS o FROM orders UNION ALL SELECT DISTINCT 'requires', l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT p, 'surface' AS kind, count(*) AS n, sum(s + o)::BIGINT AS keys FROM f GROUP BY 1 UNION ALL SELECT 'http://a.example/requires', 'canonical', count(*), sum(s + o)::BIGINT FROM f WHERE p = 'requires'""",
+)
 def statement_batch(t: Tables):
-    """A statement with its extra, flattened; canonical facts also keep their surface form (dual emission)."""
-    main = F.struct(facts.named(F.col("n_name")).alias("s"), F.lit("in").alias("p"))
-    rows = t.nation.select(F.explode(F.array(main, main)).alias("f")).select("f.*", F.lit("statement").alias("kind"))
-    surface = t.nation.select(facts.named(F.col("n_name")).alias("s"), F.lit("inside of").alias("p"), F.lit("surface").alias("kind"))
-    return rows.unionByName(surface).groupBy("kind").agg(F.count("*").alias("n"))
+    """Who placed an order, with the parts that it requires as extras, flattened; predicates with an IRI are emitted twice."""
+    s = facts.symbol("order", F.col("o_orderkey")).alias("s")
+    extra = F.struct(s, F.lit("requires").alias("p"), facts.symbol("part", F.col("l_partkey")).alias("o"))
+    extras = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey").groupBy("o_orderkey").agg(F.collect_set(extra).alias("extras"))
+    main = F.struct(s, F.lit("placedBy").alias("p"), facts.symbol("customer", F.col("o_custkey")).alias("o"))
+    batches = t.orders.join(extras, "o_orderkey", "left").select(main.alias("main"), "extras")
+    iris = t.spark.createDataFrame([("requires", "http://a.example/requires")], "p string, iri string")
+    key = lambda c: F.regexp_extract(c, r"_(\d+)$", 1).cast("long")
+    return text.dual(text.flattened(batches), iris).groupBy("p", "kind").agg(F.count("*").alias("n"), F.sum(key("s") + key("o")).alias("keys"))
 
 
 @query("render_facts", "SELECT l_partkey AS part, count(DISTINCT 'The part ' || l_partkey || ' is with supplier ' || l_suppkey || '.') AS n, min('The part ' || l_partkey || ' is with supplier ' || l_suppkey || '.') AS first FROM lineitem GROUP BY 1")
@@ -208,13 +218,14 @@ def label_linking(t: Tables):
     return t.part.select(F.col("p_partkey").alias("key"), exprs.normal_search(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("form")).join(names, "form").select("key", "iri")
 
 
-@query("mention_extraction", "SELECT n_regionkey AS key, count(*) AS n FROM nation GROUP BY 1")
+@query("mention_extraction", "SELECT l_partkey AS key, count(DISTINCT n_name) AS n, min('entity:' || lower(n_name)) AS first FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def mention_extraction(t: Tables):
-    """"NATION_0, NATION_5 and NATION_7": every nation of a region is found again."""
-    listed = t.nation.groupBy(F.col("n_regionkey").alias("key")).agg(F.array_sort(F.collect_list("n_name")).alias("a"))
+    """"NATION_0, NATION_5 and NATION_7": every nation that a part comes from is found again."""
+    from_ = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
+    listed = facts.pairs(t).join(from_, "l_suppkey").groupBy(F.col("l_partkey").alias("key")).agg(F.array_sort(F.collect_set("n_name")).alias("a"))
     said = listed.select("key", F.concat(F.array_join(F.slice("a", 1, F.size("a") - 1), ", "), F.lit(" and "), F.element_at("a", -1)).alias("text"))
     known = t.nation.select(facts.named(F.col("n_name")).alias("symbol"))
-    return linking.mentions(said, known).groupBy("key").agg(F.count_distinct("symbol").alias("n"))
+    return linking.mentions(said, known).groupBy("key").agg(F.count_distinct("symbol").alias("n"), F.min("symbol").alias("first"))
 
 
 @query("ngram_tagging", "SELECT p_partkey AS key, p_name AS term, 2 AS start FROM part")
@@ -314,13 +325,20 @@ def invalid_annotations(t: Tables):
     return own.groupBy(F.col("event_type").alias("annotation")).agg(F.count("*").alias("n"), F.count(F.when(F.expr("try_cast(value AS double)").isNull(), 1)).alias("bad"))
 
 
-@query("answer_eval", "SELECT r_name AS region, count(*) AS n, 1.0::DOUBLE AS accuracy FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query(
+    "answer_eval",
+    f"""WITH {CASES_SQL}, best AS ({answer_queries.ORACLES["best_answer"]}),
+  e AS (SELECT p_brand AS brand, file, n, bool_and(contains('the part ' || n || ' is with supplier ' || substr(answer, 17) || '.', w)) AS ok
+    FROM cases JOIN part ON n = p_partkey LEFT JOIN best ON goal_id = n, unnest(string_split(replace(expected, '|', ' '), ' ')) AS x(w) GROUP BY 1, 2, 3)
+SELECT brand, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM e GROUP BY 1""",
+)
 def answer_eval(t: Tables):
-    """An answer matches if it holds every keyword of the expected line; accuracy by region."""
-    own = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    answer = F.lower(F.concat_ws(" ", F.lit("the"), "n_name", F.lit("is in"), "r_name"))
-    keywords = F.filter(F.split(F.lower(F.concat_ws(" ", "n_name", F.lit("of the"), "r_name")), " "), lambda w: ~w.isin("the", "of", "a", "is", "in"))
-    return own.select(F.col("r_name").alias("region"), F.forall(keywords, lambda w: answer.contains(w)).alias("ok")).groupBy("region").agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("double")).alias("accuracy"))
+    """The best answers to "which suppliers is part P with?" against the suppliers that each order has the part from, by brand."""
+    cases = store.cases(case_lines(t)).join(t.part.select(F.col("p_partkey").alias("n"), F.col("p_brand").alias("brand")), "n")
+    said = text.clause(facts.symbol("part", F.col("goal_id")), F.lit("with"), F.col("answer"), F.lit("verb:is with"))
+    best = answer_queries.best_answer(t).select(F.col("goal_id").alias("n"), said.alias("answer"))
+    got = store.evaluated(cases.join(best, "n", "left"))
+    return got.groupBy("brand").agg(F.count("*").alias("n"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles
