@@ -16,6 +16,7 @@ QUERIES = {
     "op3_bpe": "bpe",
     "op5_decontaminate": "decontaminate",
     "op4_token_counts": "token_counts",
+    "op11_sentence_pieces": "sentence_pieces",
 }
 
 
