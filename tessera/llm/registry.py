@@ -17,6 +17,8 @@ QUERIES = {
     "op5_decontaminate": "decontaminate",
     "op4_token_counts": "token_counts",
     "op11_sentence_pieces": "sentence_pieces",
+    "op12_whitening": "whitening",
+    "op13_spelling": "spelling",
 }
 
 
