@@ -36,6 +36,10 @@ from . import common
 
 #: Chunks that one worker remembers, twice: the newest and those before.
 REMEMBERED_CHUNKS = 150_000
+#: Chunks up to this many characters are merged without a queue.
+SHORT = 32
+#: Above every rank.
+NONE = 1 << 60
 SPACE = "▁"
 #: Kinds of pieces and the number of the BPE model type in the model file's format. Fixed values.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -155,6 +159,7 @@ class PieceModel(dict):
         self.names = [p[1].decode() for p in pieces]
         self.kinds = kinds
         self.ids = {name: i for i, (name, kind) in enumerate(zip(self.names, kinds)) if kind == NORMAL}
+        self.simple = set(self.ids.values())
         scores = [struct.unpack("<f", p.get(2, bytes(4)))[0] for p in pieces]
         order = {score: rank for rank, score in enumerate(sorted(set(scores), reverse=True))}
         self.ranks = {name: order[scores[i]] for name, i in self.ids.items()}
@@ -207,21 +212,41 @@ class PieceModel(dict):
                 del align[kept:]
         return normal, np.array([*align, at], np.int64)
 
-    def cut(self, normal: str):
+    def cut(self, normal: str) -> list[str]:
         """Chunks across whose borders no piece reaches."""
-        for chunk in self.chunks(normal):
-            if len(chunk) <= 64:
-                yield chunk
-                continue
+        found = self.chunks(normal)
+        if max(map(len, found), default=0) <= SHORT:
+            return found
+        parts: list[str] = []
+        for chunk in found:
             start = 0
-            for i in range(1, len(chunk)):
-                if chunk[i - 1 : i + 1] not in self.neighbours:
-                    yield chunk[start:i]
-                    start = i
-            yield chunk[start:]
+            if len(chunk) > SHORT:
+                for i in range(1, len(chunk)):
+                    if chunk[i - 1 : i + 1] not in self.neighbours:
+                        parts.append(chunk[start:i])
+                        start = i
+            parts.append(chunk[start:])
+        return parts
 
     def merge(self, chunk: str) -> list[str]:
-        """Symbols of a chunk after all merges. A queue entry holds a rank and, in its low bits, a place."""
+        """Symbols of a chunk after all merges."""
+        if len(chunk) > SHORT:
+            return self.merge_long(chunk)
+        symbol, rank_of = list(chunk), self.ranks.get
+        # The rank of each symbol's pair with the next one; looking through a few is quicker than a queue.
+        ranks = [rank_of(a + b, NONE) for a, b in zip(chunk, chunk[1:])]
+        while ranks and (least := min(ranks)) < NONE:
+            i = ranks.index(least)
+            symbol[i] += symbol.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(symbol[i - 1] + symbol[i], NONE)
+            if i < len(ranks):
+                ranks[i] = rank_of(symbol[i] + symbol[i + 1], NONE)
+        return symbol
+
+    def merge_long(self, chunk: str) -> list[str]:
+        """The same by a priority queue over a linked list. An entry holds a rank and, in its low bits, a place."""
         symbol: list[str] = list(chunk)
         n = len(symbol)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -269,7 +294,8 @@ class PieceModel(dict):
         made = self.old.pop(chunk, None)
         if made is None:
             ids, sizes = self.chunk_ids(chunk)
-            made = np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), self.decode(ids, strip=False)
+            packed = struct.Struct(f"<{len(ids)}I").pack
+            made = packed(*ids), packed(*sizes), self.decode(ids, strip=False)
         if len(self) >= REMEMBERED_CHUNKS:
             self.old = dict(self)
             self.clear()
@@ -280,7 +306,7 @@ class PieceModel(dict):
         """(ids with begin and end, end bytes of their spans in the original, decoded text)."""
         normal, align = self.normalise(text)
         if self.bytes:
-            found = [self[chunk] for chunk in self.cut(normal)]
+            found = list(map(self.__getitem__, self.cut(normal)))
             ids = np.frombuffer(b"".join([x[0] for x in found]), "<u4")
             sizes = np.frombuffer(b"".join([x[1] for x in found]), "<u4")
         else:  # unknown characters next to each other are one piece, across chunks too
@@ -301,6 +327,8 @@ class PieceModel(dict):
 
     def decode(self, ids: list[int], strip: bool = True) -> str:
         """Piece texts in order; runs of byte pieces are read as UTF-8; the space put in front is taken away."""
+        if not strip and self.simple.issuperset(ids):
+            return "".join([self.names[i] for i in ids]).replace(SPACE, " ")
         out: list[str] = []
         held = bytearray()
         leading = strip and (self.prefix or self.squeeze)
