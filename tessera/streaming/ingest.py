@@ -33,10 +33,11 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Runs what is there in batches, with offsets in `folder`, and ends."""
+def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> int:
+    """Runs what is there in batches, with offsets in `folder`, and ends; how many rows the sources gave."""
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
+    return sum(p.numInputRows for p in query.recentProgress)
 
 
 def read_batches(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -47,18 +48,61 @@ def write_batch(folder: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
 
-def newest(stream: DataFrame, keys: list[str], *states) -> DataFrame:
-    """The last state of each key of a streaming aggregation, of which a batch writes the keys it touched."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "state")
+#: So many batches are folded into one table of what is newest.
+FOLDED_BATCHES = 16
 
-    def each(batch: DataFrame, number: int) -> None:
-        write_batch(folder)(batch.withColumn("number", F.lit(number)), number)
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in system.listStatus(folder)] if system.exists(folder) else []
+
+
+class Versions:
+    """Rows written batch by batch, of which those of a key's newest batch count.
+
+    After every FOLDED_BATCHES batches what is newest becomes one table and the older ones are deleted, so
+    neither files nor reading grow with the number of batches. Folding again after a failure gives the same rows.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, keys: list[str]):
+        self.spark, self.folder, self.keys = spark, folder, keys
+        self.schema = StructType(schema.fields).add("number", "long")
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        write_batch(self.folder)(batch.withColumn("number", F.lit(number).cast("long")), number)
+        if number % FOLDED_BATCHES == FOLDED_BATCHES - 1:
+            before = children(self.spark, f"{self.folder}/rows") + children(self.spark, f"{self.folder}/folded")
+            self.newest().write.parquet(f"{self.folder}/folded/{uuid.uuid4().hex}")
+            for path in before:
+                delete(self.spark, path)
+
+    def newest(self) -> DataFrame:
+        """The rows of each key's newest batch, with its `number`."""
+        paths = children(self.spark, f"{self.folder}/rows") + children(self.spark, f"{self.folder}/folded")
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        every = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*paths)
+        last = F.max("number").over(Window.partitionBy(*self.keys))
+        return every.withColumn("last", last).filter("number = last").drop("last")
+
+
+def newest(stream: DataFrame, keys: list[str], *states, folder: str | None = None) -> DataFrame:
+    """The last state of each key of a streaming aggregation, of which a batch writes the keys it touched.
+
+    With a `folder` of an earlier call the aggregation goes on where that call ended.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, "state")
     state = stream.groupBy(*keys).agg(*states)
-    run_available(state, folder, each, mode="update")
-    names = [c for c in state.columns if c not in keys]
-    every = read_batches(spark, folder, StructType(state.schema.fields).add("number", "integer"))
-    return every.groupBy(*keys).agg(F.max_by(F.struct(*names), "number").alias("state")).select(*keys, "state.*")
+    versions = Versions(spark, folder, state.schema, keys)
+    run_available(state, folder, versions.write, mode="update")
+    return versions.newest().drop("number")
 
 
 def ingest_facts(facts: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
