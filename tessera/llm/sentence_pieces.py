@@ -20,8 +20,10 @@ unused, raise a ValueError on the driver.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
+import itertools
 import re
 import struct
 from functools import lru_cache
@@ -36,10 +38,11 @@ from . import common
 
 #: Chunks that one worker remembers, twice: the newest and those before.
 REMEMBERED_CHUNKS = 150_000
-#: Chunks up to this many characters are merged without a queue.
+#: Chunks up to this many characters are merged many at once, and so many of them.
 SHORT = 32
-#: Above every rank.
-NONE = 1 << 60
+ROWS_AT_ONCE = 8_000
+#: Above every rank; a character that is in no piece; no symbol.
+NONE, STRANGE, PAD = 1 << 60, -1, -2
 SPACE = "▁"
 #: Kinds of pieces and the number of the BPE model type in the model file's format. Fixed values.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -137,7 +140,7 @@ class CharacterMap:
 class PieceModel(dict):
     """Maps a chunk of normal text to (ids as bytes, normal characters of each piece as bytes, decoded text).
 
-    Holds REMEMBERED_CHUNKS chunks and, in `old`, as many that were in use before.
+    Holds REMEMBERED_CHUNKS chunks and, in `old`, as many that were remembered before.
     """
 
     def __init__(self, data: bytes):
@@ -159,7 +162,6 @@ class PieceModel(dict):
         self.names = [p[1].decode() for p in pieces]
         self.kinds = kinds
         self.ids = {name: i for i, (name, kind) in enumerate(zip(self.names, kinds)) if kind == NORMAL}
-        self.simple = set(self.ids.values())
         scores = [struct.unpack("<f", p.get(2, bytes(4)))[0] for p in pieces]
         order = {score: rank for rank, score in enumerate(sorted(set(scores), reverse=True))}
         self.ranks = {name: order[scores[i]] for name, i in self.ids.items()}
@@ -172,6 +174,7 @@ class PieceModel(dict):
         self.map = CharacterMap(normalizer.get(2, b""))
         self.prefix, self.squeeze, self.escape = (bool(normalizer.get(k, 1)) for k in (3, 4, 5))
         self.neighbours = {name[i : i + 2] for name in self.ids for i in range(len(name) - 1)}
+        self.bulk_tables()
         # Where no piece has a space behind another character, chunks begin at spaces.
         lead = not any(pair[1] == SPACE != pair[0] for pair in self.neighbours)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lead else "(?s).+").findall
@@ -228,25 +231,95 @@ class PieceModel(dict):
             parts.append(chunk[start:])
         return parts
 
+    def bulk_tables(self) -> None:
+        """Symbols as numbers (pieces by id, other characters of pieces above them) and all pairs that merge, sorted."""
+        symbols = dict(self.ids)
+        for c in sorted({c for name in self.ids for c in name}):
+            symbols.setdefault(c, len(self.names) + len(symbols))
+        self.width = max(symbols.values(), default=0) + 1
+        self.symbol_of = np.full(0x110000, STRANGE, np.int32)
+        for name, i in symbols.items():
+            if len(name) == 1:
+                self.symbol_of[ord(name)] = i
+        pairs = sorted(
+            (symbols[name[:k]] * self.width + symbols[name[k:]], self.ranks[name], i)
+            for name, i in self.ids.items() for k in range(1, len(name)) if name[:k] in symbols and name[k:] in symbols
+        )
+        self.pair_keys, self.pair_ranks, self.pair_made = (np.array([p[k] for p in pairs] or [0], np.int64) for k in range(3))
+        self.characters = np.array([len(name) for name in self.names], "<u4")
+
+    def pairs_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, NONE where they don't merge; merged symbol) of neighbours."""
+        keys = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.width + right, -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE), self.pair_made[at]
+
+    def merge_many(self, chunks: list[str]) -> np.ndarray:
+        """Final symbols of chunks of up to SHORT characters, a row each, filled up with PAD.
+
+        Each round merges the leftmost best pair of every row at once; rows without one are done.
+        """
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        columns = np.arange(sizes.max())
+        symbol = np.full((len(chunks), len(columns)), PAD, np.int32)
+        symbol[columns < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")]
+        final = symbol.copy()
+        rows = np.arange(len(chunks))
+        ranks, made = self.pairs_of(symbol[:, :-1], symbol[:, 1:])
+        while ranks.shape[1] and len(rows):
+            at = ranks.argmin(axis=1)
+            every = np.arange(len(rows))
+            live = ranks[every, at] < NONE
+            if not live.all():
+                final[rows[~live], : symbol.shape[1]] = symbol[~live]
+                final[rows[~live], symbol.shape[1] :] = PAD
+                rows, symbol, ranks, made, at = rows[live], symbol[live], ranks[live], made[live], at[live]
+                every = np.arange(len(rows))
+            if not len(rows):
+                break
+            new = made[every, at]
+            columns = np.arange(symbol.shape[1] - 1)
+            symbol = np.take_along_axis(symbol, columns + (columns > at[:, None]), axis=1)
+            symbol[every, at] = new
+            columns = columns[:-1]
+            moved = columns + (columns >= at[:, None])
+            ranks, made = np.take_along_axis(ranks, moved, axis=1), np.take_along_axis(made, moved, axis=1)
+            for own, place in ((at > 0, at - 1), (at < len(columns), at)):
+                r, c = every[own], place[own]
+                ranks[r, c], made[r, c] = self.pairs_of(symbol[r, c], symbol[r, c + 1])
+        final[rows, : symbol.shape[1]] = symbol
+        final[rows, symbol.shape[1] :] = PAD
+        return final
+
+    def encode_new(self, chunks: list[str]):
+        """(chunk, its entry) of chunks that aren't remembered. Those of like length are merged together."""
+        chunks.sort(key=len)
+        short = bisect.bisect_right(chunks, SHORT, key=len)
+        for begin in range(0, short, ROWS_AT_ONCE):
+            part = chunks[begin : min(short, begin + ROWS_AT_ONCE)]
+            final = self.merge_many(part)
+            plain = ((final < len(self.names)) & (final != STRANGE)).all(axis=1)
+            ids = final[plain]
+            ends = np.concatenate([[0], np.cumsum((ids >= 0).sum(axis=1))]).tolist()
+            flat = ids[ids >= 0].astype("<u4")
+            packed, sizes, names = flat.tobytes(), self.characters[flat].tobytes(), [self.names[i] for i in flat.tolist()]
+            for chunk, b, e in zip(itertools.compress(part, plain), ends, ends[1:]):
+                yield chunk, (packed[4 * b : 4 * e], sizes[4 * b : 4 * e], "".join(names[b:e]).replace(SPACE, " "))
+            for chunk in itertools.compress(part, ~plain):
+                yield chunk, self.entry(chunk)
+        for chunk in chunks[short:]:
+            yield chunk, self.entry(chunk)
+
+    def entry(self, chunk: str) -> tuple[bytes, bytes, str]:
+        ids, sizes = self.chunk_ids(chunk)
+        packed = struct.Struct(f"<{len(ids)}I").pack
+        return packed(*ids), packed(*sizes), self.decode(ids, strip=False)
+
     def merge(self, chunk: str) -> list[str]:
-        """Symbols of a chunk after all merges."""
-        if len(chunk) > SHORT:
-            return self.merge_long(chunk)
-        symbol, rank_of = list(chunk), self.ranks.get
-        # The rank of each symbol's pair with the next one; looking through a few is quicker than a queue.
-        ranks = [rank_of(a + b, NONE) for a, b in zip(chunk, chunk[1:])]
-        while ranks and (least := min(ranks)) < NONE:
-            i = ranks.index(least)
-            symbol[i] += symbol.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank_of(symbol[i - 1] + symbol[i], NONE)
-            if i < len(ranks):
-                ranks[i] = rank_of(symbol[i] + symbol[i + 1], NONE)
-        return symbol
-
-    def merge_long(self, chunk: str) -> list[str]:
-        """The same by a priority queue over a linked list. An entry holds a rank and, in its low bits, a place."""
+        """Symbols of a chunk after all merges, by a priority queue over a linked list.
+
+        An entry of the queue holds a rank and, in its low bits, a place.
+        """
         symbol: list[str] = list(chunk)
         n = len(symbol)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -290,45 +363,48 @@ class PieceModel(dict):
                 sizes.append(len(piece))
         return ids, sizes
 
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes, str]:
-        made = self.old.pop(chunk, None)
-        if made is None:
-            ids, sizes = self.chunk_ids(chunk)
-            packed = struct.Struct(f"<{len(ids)}I").pack
-            made = packed(*ids), packed(*sizes), self.decode(ids, strip=False)
-        if len(self) >= REMEMBERED_CHUNKS:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = made
-        return made
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
-        """(ids with begin and end, end bytes of their spans in the original, decoded text)."""
-        normal, align = self.normalise(text)
-        if self.bytes:
-            found = list(map(self.__getitem__, self.cut(normal)))
-            ids = np.frombuffer(b"".join([x[0] for x in found]), "<u4")
-            sizes = np.frombuffer(b"".join([x[1] for x in found]), "<u4")
-        else:  # unknown characters next to each other are one piece, across chunks too
-            parts = [self.chunk_ids(chunk) for chunk in self.cut(normal)]
-            ids = np.array([i for x, _ in parts for i in x], "<u4")
-            sizes = np.array([n for _, x in parts for n in x], "<u4")
-            if len(ids):
+    def entries(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes, str]]:
+        """The entry of each chunk, remembered or made."""
+        found, new = {}, []
+        for chunk in chunks:
+            if (made := self.get(chunk) or self.old.get(chunk)) is None:
+                new.append(chunk)
+            else:
+                found[chunk] = made
+        found.update(self.encode_new(new))
+        for chunk in found if len(self) + len(new) > REMEMBERED_CHUNKS else new:
+            if len(self) >= REMEMBERED_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = found[chunk]
+        return found
+
+    def encode_all(self, texts: list[str]):
+        """(ids with begin and end, end bytes of their spans in the original, decoded text) of each text."""
+        normal = [self.normalise(t) for t in texts]
+        cut = [self.cut(n) for n, _ in normal]
+        found = self.entries(set().union(*cut))
+        for (_, align), chunks in zip(normal, cut):
+            made = list(map(found.__getitem__, chunks))
+            ids = np.frombuffer(b"".join([x[0] for x in made]), "<u4")
+            sizes = np.frombuffer(b"".join([x[1] for x in made]), "<u4")
+            if not self.bytes and len(ids):  # unknown characters next to each other are one piece, across chunks too
                 first = np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)]
                 ids, sizes = ids[first], np.add.reduceat(sizes, np.flatnonzero(first))
-        if self.bytes and not self.squeeze:
-            decoded = "".join([x[2] for x in found])
-            decoded = decoded[1:] if self.prefix and decoded.startswith(" ") else decoded
-        else:
-            decoded = self.decode(ids.tolist())
-        ends = align[np.cumsum(sizes, dtype=np.int64)]
-        ids = np.concatenate([[self.begin], ids, [self.end]]).astype("<u4")
-        return ids, np.concatenate([align[:1] * 0, ends, [align[-1]]]).astype(np.int64), decoded
+            if self.bytes and not self.squeeze:
+                decoded = "".join([x[2] for x in made])
+                decoded = decoded[1:] if self.prefix and decoded.startswith(" ") else decoded
+            else:
+                decoded = self.decode(ids.tolist())
+            ends = align[np.cumsum(sizes, dtype=np.int64)]
+            ids = np.concatenate([[self.begin], ids, [self.end]]).astype("<u4")
+            yield ids, np.concatenate([[0], ends, align[-1:]]).astype(np.int64), decoded
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int], strip: bool = True) -> str:
         """Piece texts in order; runs of byte pieces are read as UTF-8; the space put in front is taken away."""
-        if not strip and self.simple.issuperset(ids):
-            return "".join([self.names[i] for i in ids]).replace(SPACE, " ")
         out: list[str] = []
         held = bytearray()
         leading = strip and (self.prefix or self.squeeze)
@@ -387,7 +463,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text")
     def run(batches):
         model = piece_model(path)
         for batch in batches:
-            made = [model.encode(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            made = list(model.encode_all([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns, pa.array([a.astype(np.int32) for a, _, _ in made], pa.list_(pa.int32())), pa.array([e for _, e, _ in made], pa.list_(pa.int64())),
@@ -409,8 +485,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             rows = []
-            for t in batch.column(1).to_pylist():
-                ids, ends, decoded = model.encode(t or "")
+            for ids, ends, decoded in model.encode_all([t or "" for t in batch.column(1).to_pylist()]):
                 rows.append((len(ids), sha(ids.tobytes()), sha(decoded.encode()), sha(ends.astype("<i8").tobytes())))
             columns = [pa.array([r[k] for r in rows], pa.string() if k else pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"])
