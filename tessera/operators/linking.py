@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from .ontology import cut
 
 
 def postings(known: DataFrame) -> DataFrame:
@@ -86,16 +88,71 @@ def unit_vectors(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.withColumn("size", size).filter("size > 0").select("label", "size", F.posexplode(vector).alias("slot", "v")).select("label", "slot", (F.col("v").cast("double") / F.col("size")).alias("w"))
 
 
-def nearest_label(queries: DataFrame, vectors: DataFrame, least: float = 0.6, vectorizer: Callable[[DataFrame], DataFrame] = hashed_vectors) -> DataFrame:
-    """(query, label, score): the known label with the largest cosine; sparse vectors meet on their slots.
-
-    `vectorizer` makes (label, slot, w) of (label), as it made the vectors.
-    """
+def exact_nearest_label(queries: DataFrame, vectors: DataFrame, least: float = 0.6, vectorizer: Callable[[DataFrame], DataFrame] = hashed_vectors) -> DataFrame:
+    """(query, label, score): the known label with the largest cosine; sparse vectors meet on their slots, so pairs grow with the square."""
     mine = vectorizer(queries.select(F.col("query").alias("label"))).select(F.col("label").alias("query"), "slot", F.col("w").alias("v"))
     dots = mine.join(vectors, "slot").groupBy("query", "label").agg(F.round(F.sum(F.col("v") * F.col("w")), 9).alias("score"))
     return dots.filter(F.col("score") >= least).groupBy("query").agg(F.max(F.struct("score", "label")).alias("x")).select("query", "x.label", "x.score")
 
 
+#: Tables of the index, bits of its signatures that a query also tries turned round, labels meant to share a bucket.
+TABLES, PROBES, BUCKET = 6, 4, 2
+
+
+def signatures(vectors: DataFrame, bits: int, tables: int = TABLES) -> DataFrame:
+    """(label, tab, sums): on which side of `bits` random hyperplanes a table a vector (label, slot, w) lies, and how far from them.
+
+    A plane's component in a slot is 1 or -1 by a bit of a hash of slot and table.
+    """
+    each = vectors.select("label", "slot", "w", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("tab")).withColumn("h", F.xxhash64("slot", "tab"))
+    side = lambda k: F.sum(F.when(F.shiftright("h", k).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w")))
+    return each.groupBy("label", "tab").agg(F.array(*[side(k) for k in range(bits)]).alias("sums"))
+
+
+def bucket(sums: Column) -> Column:
+    return F.aggregate(F.transform(sums, lambda x, k: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def probed(sums: Column, probes: int) -> Column:
+    """A vector's bucket and those with one or two of its `probes` least certain bits turned round."""
+    order = F.slice(F.array_sort(F.transform(sums, lambda x, k: F.struct(F.abs(x).alias("far"), k.cast("int").alias("k")))), 1, probes)
+    bit = F.transform(order, lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["k"]))
+    twice = F.flatten(F.transform(bit, lambda a: F.transform(F.filter(bit, lambda b: b > a), lambda b: a.bitwiseOR(b))))
+    return F.transform(F.concat(F.array(F.lit(0).cast("long")), bit, twice), lambda x: bucket(sums).bitwiseXOR(x))
+
+
+def candidate_labels(mine: DataFrame, vectors: DataFrame, tables: int = TABLES, probes: int = PROBES, in_bucket: int = BUCKET) -> DataFrame:
+    """(query, label) worth comparing: vectors that share a bucket in some table.
+
+    Signatures have as many bits as leave about `in_bucket` labels a bucket, so pairs grow with the queries and not with the labels.
+    """
+    labels = vectors.select("label").distinct().count()
+    bits = max(2, min(40, math.ceil(math.log2(max(2, labels) / in_bucket))) if labels > in_bucket else 2)
+    known = signatures(vectors, bits, tables).select("label", "tab", bucket(F.col("sums")).alias("b"))
+    asked = signatures(mine, bits, tables).select(F.col("label").alias("query"), "tab", F.explode(probed(F.col("sums"), probes)).alias("b"))
+    return asked.join(known, ["tab", "b"]).select("query", "label").distinct()
+
+
+def nearest_label(queries: DataFrame, vectors: DataFrame, least: float = 0.6, vectorizer: Callable[[DataFrame], DataFrame] = hashed_vectors, **index) -> DataFrame:
+    """(query, label, score): the known label with the largest cosine of those that a hyperplane index offers.
+
+    `vectorizer` makes (label, slot, w) of (label), as it made the vectors. Cosines are exact; a query that the
+    index has nothing for is compared with all labels. Labels with one vector are one entry, named by the last of them.
+    Recall against `exact_nearest_label` is measured in the tests.
+    """
+    as_map = lambda df: df.groupBy("label").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "w")))).alias("v"))
+    classes = as_map(vectors).withColumn("same", F.xxhash64(F.map_entries("v"))).groupBy("same", F.map_entries("v").alias("e")).agg(F.max("label").alias("label")).select("label", F.map_from_entries("e").alias("v"))
+    known = cut(classes)
+    mine = cut(vectorizer(queries.select(F.col("query").alias("label")).distinct()).select("label", "slot", "w"))
+    entries = known.select("label", F.explode("v").alias("slot", "w"))
+    met = candidate_labels(mine, entries, **index).join(known.withColumnRenamed("v", "theirs"), "label").join(as_map(mine).select(F.col("label").alias("query"), F.col("v").alias("mine")), "query")
+    dot = F.aggregate(F.map_entries("mine"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("theirs", e["key"]), F.lit(0.0)))
+    scored_ = met.select("query", "label", F.round(dot, 9).alias("score")).filter(F.col("score") >= least)
+    found = cut(scored_.groupBy("query").agg(F.max(F.struct("score", "label")).alias("x")).select("query", "x.label", "x.score"))
+    rest = queries.select("query").distinct().join(found, "query", "left_anti")
+    return found.unionByName(exact_nearest_label(rest, entries, least, vectorizer))
+
+
 def centroids(vectors: DataFrame, cluster: str, vector: str, weight: str) -> DataFrame:
     """(cluster, slot, value): weighted sum of a cluster's vectors, L2-normalised."""
     each = vectors.select(cluster, F.posexplode(vector).alias("slot", "v"), weight).groupBy(cluster, "slot").agg(F.sum(F.col("v").cast("double") * F.col(weight)).alias("v"))

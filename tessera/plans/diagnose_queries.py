@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import diagnose as dia
-from ..operators import ontology, paths
+from ..operators import chains, ontology, paths
 from ..sources import facts
 from ..sources.facts import Tables, with_views
 from . import answer_queries
@@ -235,7 +235,7 @@ def relationship_path(t: Tables):
     pairs = names.select(F.col("s").alias("a")).join(names.select(F.col("s").alias("b")), F.col("a") < F.col("b"))  # 25 nations
     third = F.lead("event_id", 3).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     later = t.events.select("event_type", facts.event_symbol(F.col("event_id")).alias("a"), facts.event_symbol(third).alias("b")).filter("event_type = 'error' AND b IS NOT NULL")
-    return paths.shortest_paths(own.unionByName(facts.event_order(t)), pairs.unionByName(later.select("a", "b")))
+    return chains.meeting_paths(own.unionByName(facts.event_order(t)), pairs.unionByName(later.select("a", "b")))
 
 
 CHAIN_SQL = EV + """, e AS (SELECT id AS s, 'entity:event_' || nxt AS o, round(value / 1000, 3) - 0.1 AS w FROM ev WHERE nxt IS NOT NULL),

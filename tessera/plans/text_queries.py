@@ -304,7 +304,7 @@ def user_vectorizer(t: Tables):
     given = linking.unit_vectors(t.embeddings.select(F.col("vec_id").cast("string").alias("label"), "embedding"), "embedding")
     centres = linking.centroids(t.embeddings.withColumn("one", F.lit(1.0)), "label", "embedding", "one").select("label", "slot", F.col("value").alias("w"))
     ids = t.embeddings.select(F.col("vec_id").cast("string").alias("query"))
-    got = linking.nearest_label(ids, centres, least=0.2, vectorizer=lambda df: given.join(df, "label", "left_semi"))
+    got = linking.exact_nearest_label(ids, centres, least=0.2, vectorizer=lambda df: given.join(df, "label", "left_semi"))
     return got.select("query", "label", F.round("score", 6).alias("score"))
 
 
