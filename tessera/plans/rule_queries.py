@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import ontology, rules
+from ..operators import ontology, rule_tables, rules
 from ..sources import facts
 from ..sources.facts import SQL, Tables, with_views
 from .register import Register
@@ -121,9 +121,9 @@ def forward_chain(t: Tables):
 SELECT s, o FROM cl""",
 )
 def propagation_closure(t: Tables):
-    """All the catalogue's rules to a fixpoint: where everything is."""
+    """All the catalogue's rules, read as a table, to a fixpoint: where everything is."""
     own = facts.union(facts.places(t), facts.part_with_supplier(t))
-    return rules.propagate(own, rules.catalogue()).filter("p = 'in'").select("s", "o")
+    return rule_tables.propagate(own, rule_tables.catalogue(t.spark)).filter("p = 'in'").select("s", "o")
 
 
 @query(
@@ -146,6 +146,28 @@ def rule_table(t: Tables):
     return own.join(F.broadcast(table), "p").select("name", "facts")
 
 
+@query(
+    "rule_definitions",
+    """WITH raw AS (SELECT p_partkey AS seq, CASE WHEN p_size % 7 <> 0 THEN p_brand || '-rule' END AS name, CASE p_size % 4 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS enabled, CASE WHEN p_size % 5 = 0 THEN 'ranker' WHEN p_size % 5 = 1 THEN 'pattern_match' END AS executor,
+    CASE WHEN p_size % 6 > 0 THEN 'has' || p_brand END AS term, CASE WHEN p_size % 11 > 0 THEN 'is' || p_type END AS action, CASE WHEN p_size % 3 > 0 THEN p_size / 100.0 END AS weight FROM part),
+  sound AS (SELECT seq, coalesce(name, 'rule_' || seq) AS name, upper(coalesce(executor, 'PATTERN_MATCH')) AS executor, term, action, coalesce(weight, 0.7) AS weight FROM raw WHERE coalesce(enabled, TRUE))
+SELECT name, executor, term AS predicate, action, round(weight, 6)::DOUBLE AS weight, seq FROM sound WHERE executor <> 'PATTERN_MATCH' OR term IS NOT NULL AND action IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY executor, term, action ORDER BY seq) = 1""",
+)
+def rule_definitions(t: Tables):
+    """A rule per part, many of them alike, disabled, incomplete or without weight: those that count, with defaults filled in."""
+    size = F.col("p_size")
+    triple = lambda s, p, o: F.struct(F.lit(s).alias("s"), p.alias("p"), F.lit(o).alias("o"))
+    raw = t.part.select(
+        F.col("p_partkey").alias("seq"), F.when(size % 7 != 0, F.concat("p_brand", F.lit("-rule"))).alias("name"), F.when(size % 4 == 0, False).when(size % 4 == 1, True).alias("enabled"),
+        F.when(size % 5 == 0, "ranker").when(size % 5 == 1, "pattern_match").alias("executor"), F.lit(None).cast("map<string,string>").alias("params"),
+        F.array(triple("?a", F.when(size % 6 > 0, F.concat(F.lit("has"), "p_brand")), "?b")).alias("patterns"), triple("?a", F.when(size % 11 > 0, F.concat(F.lit("is"), "p_type")), "?b").alias("action"),
+        F.when(size % 3 > 0, size / 100).alias("weight"),
+    )
+    got = rule_tables.definitions(raw)
+    return got.select("name", "executor", F.get("patterns", F.lit(0))["p"].alias("predicate"), F.col("action.p").alias("action"), F.round("weight", 6).alias("weight"), "seq")
+
+
 @query(
     "user_rule",
     with_views("requires", "pairs") + " SELECT r.s, x.o FROM requires r JOIN pairs x ON r.o = x.s GROUP BY ALL",
