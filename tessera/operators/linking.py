@@ -36,14 +36,33 @@ def by_tokens(texts: DataFrame, known: DataFrame) -> DataFrame:
     return hits.groupBy("key").agg(F.max_by("symbol", F.struct(F.round(exprs.specificity(F.col("symbol")), 6), "symbol")).alias("symbol"))
 
 
+def parts_of(bare: Column) -> Column:
+    """All substrings of a name that have a token of the name among their own tokens."""
+    starts = F.sequence(F.lit(1), F.length(bare))
+    every = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i, F.length(bare)), lambda j: F.substring(bare, i, j - i + 1))))
+    own = F.filter(F.split(F.lower(bare), r"[_\s]+"), lambda w: w != "")
+    return F.array_distinct(F.filter(every, lambda x: F.arrays_overlap(F.split(x, "_"), own)))
+
+
 def scored(phrases: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
-    """(phrase, symbol, score): equal 2.0 or singular-equal 1.6, contains +0.8, singular contains +0.6; the best."""
+    """(phrase, symbol, score): equal 2.0 or singular-equal 1.6, contains +0.8, singular contains +0.6; the best, then the last by name.
+
+    Phrase and symbol share a token. No pairs are looked through: what is equal, or equal in the singular, meets on
+    that form; what contains a phrase has the same score whatever it is, so of all names with a part the last one is kept
+    before the phrases come. A symbol costs the square of its own length.
+    """
+    if least <= 0.6:
+        raise ValueError("scores of 0.6 and less are not looked up")
     form = exprs.normal_token(F.col("phrase"))
-    tried = phrases.select("phrase", form.alias("form"), F.explode(F.split(form, "_")).alias("token")).join(postings(known), "token").drop("token").distinct()
-    bare = exprs.strip_namespace(F.col("symbol"))
-    one = exprs.singular(F.col("form"))
-    score = F.when(bare == F.col("form"), 2.0).when(exprs.singular(bare) == one, 1.6).otherwise(0.0) + F.when(bare.contains(F.col("form")), 0.8).otherwise(0.0) + F.when(bare.contains(one), 0.6).otherwise(0.0)
-    best = tried.withColumn("score", F.round(score, 6)).filter(F.col("score") >= least)
+    own = phrases.select("phrase", form.alias("form")).filter("form <> ''").distinct()
+    named = known.select("symbol", exprs.strip_namespace(F.col("symbol")).alias("bare")).distinct()
+    shares = F.arrays_overlap(F.split("form", "_"), exprs.tokens(F.col("symbol")))
+    same = own.withColumn("one", exprs.singular(F.col("form"))).join(named.withColumn("one", exprs.singular(F.col("bare"))), "one").filter(shares)
+    bare, one = F.col("bare"), exprs.singular(F.col("form"))
+    score = F.when(bare == F.col("form"), 2.0).otherwise(1.6) + F.when(bare.contains(F.col("form")), 0.8).otherwise(0.0) + F.when(bare.contains(one), 0.6).otherwise(0.0)
+    holding = named.select("symbol", F.explode(parts_of(bare)).alias("form")).groupBy("form").agg(F.max("symbol").alias("symbol"))
+    every = same.select("phrase", "symbol", score.alias("score")).unionByName(own.join(holding, "form").select("phrase", "symbol", F.lit(1.4).alias("score")))
+    best = every.withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
     return best.groupBy("phrase").agg(F.max(F.struct("score", "symbol")).alias("x")).select("phrase", "x.symbol", "x.score")
 
 

@@ -224,10 +224,20 @@ def resolve(goals: DataFrame, facts: DataFrame, colocation: list[str], location:
     return goals.select("goal_id", F.col("subject").alias("node")).join(known, "node").select("goal_id", "place", "hops")
 
 
-def temporal_bridge(facts: DataFrame) -> DataFrame:
-    """(a, b, o): two nodes with one object under before, after or during, a < b."""
-    own = facts.filter(F.col("p").isin("before", "after", "during")).select("s", "o").distinct()
-    return own.alias("a").join(own.alias("b"), "o").filter("a.s < b.s").select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), "o")
+def bridge_members(facts: DataFrame) -> DataFrame:
+    """(o, node): which nodes are before, after or during what."""
+    return facts.filter(F.col("p").isin("before", "after", "during")).select("o", F.col("s").alias("node")).distinct()
+
+
+def temporal_bridge(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b, o): what two asked nodes (a, b) are both before, after or during.
+
+    The nodes of an object stay its members; only asked pairs are made, by two equi-joins, so an object with very many
+    nodes costs as many rows as it has and not their pairs.
+    """
+    members = bridge_members(facts)
+    ends = asked.select("a", "b").filter("a <> b").distinct()
+    return ends.join(members.withColumnRenamed("node", "a"), "a").join(members.withColumnRenamed("node", "b"), ["b", "o"], "left_semi").select("a", "b", "o")
 
 
 def predicate_between(pairs: DataFrame, facts: DataFrame) -> DataFrame:

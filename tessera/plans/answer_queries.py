@@ -303,7 +303,9 @@ def temporal_match(t: Tables):
 def temporal_bridge(t: Tables):
     """Event types bridged by a user in whose time they fall."""
     during = t.events.select(F.col("event_type").alias("s"), F.lit("during").alias("p"), F.col("user_id").cast("string").alias("o"))
-    return ask.temporal_bridge(during).groupBy("a", "b").agg(F.count("*").alias("n"))
+    kinds = t.events.select("event_type").distinct()  # five
+    asked = kinds.select(F.col("event_type").alias("a")).join(kinds.select(F.col("event_type").alias("b")), F.col("a") < F.col("b"))
+    return ask.temporal_bridge(during, asked).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query(
