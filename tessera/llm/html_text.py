@@ -14,8 +14,9 @@ the host's majority decides, and repeated text is never content; else a page's o
 The scanner is a small one: tags, comments, raw-text elements (up to their own end tag, whatever they
 hold) and the end tags HTML lets one omit. Its time and memory are linear in the page, however deep its
 elements are nested and wherever a tag or quote is left open. Paths are 64-bit hashes.
-Verdicts are broadcast only after they were counted and found small; else pages are joined by host with
-the verdicts split by salt, so that a host with many pages doesn't fill one task.
+A page is given its host's winning path and the verdicts on its own marked paths only. Both tables are
+broadcast only after they were counted and found small; else pages are joined by host, or by host and html, and
+salt, so that a host with many pages doesn't fill one task.
 
 Defined results: null html counts as empty and gives an empty text; a null or broken url has the host
 ''; ids may be null or repeated, each row gives one row; a tag left open at the end of a page is
@@ -309,47 +310,66 @@ def signed(path: int) -> int:
 
 
 def page_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, score, content, digest): a page's vote for its container (content null) and on its marked elements."""
+    """(host, k1, k2, path, score, content, digest): a page's vote for its container (content null) and on its marked elements.
+
+    k1 and k2 name the page by its html.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for host, k1, k2, html in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 page = Page(html or "")
-                rows += [(host, signed(e.path), 0.0, vote, xxhash.xxh3_64_intdigest("\n".join(texts)) >> 1) for e, vote, texts in page.marked if texts]
+                rows += [(host, k1, k2, signed(e.path), 0.0, vote, xxhash.xxh3_64_intdigest("\n".join(texts)) >> 1) for e, vote, texts in page.marked if texts]
                 best = page.best()
                 if best and best[1] > 0:
-                    rows.append((host, signed(best[0].path), best[1], None, None))
-            types = (pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "path", "score", "content", "digest"])
+                    rows.append((host, k1, k2, signed(best[0].path), best[1], None, None))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "k1", "k2", "path", "score", "content", "digest"])
 
-    return common.by_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path long, score double, content boolean, digest long")
+    own = pages.select(host_of(F.col("url")).alias("host"), *common.text_key(F.col("html")), "html")
+    return common.by_batches(own, run, "host string, k1 long, k2 long, path long, score double, content boolean, digest long")
 
 
-def verdicts(pages: DataFrame) -> DataFrame:
-    """(host, path, content, apart): per host the winning container path, and the marked paths that its pages' own votes don't settle."""
-    votes = common.written(page_votes(pages))
+def winning_paths(votes: DataFrame) -> DataFrame:
+    """(host, path): the container path with the most votes."""
     summed = votes.filter("content IS NULL").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    winners = summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"))
-    each = votes.filter("content IS NOT NULL").groupBy("host", "path", "digest").agg(F.count("*").alias("n"), F.sum(F.col("content").cast("int")).alias("for"))
+    return summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"))
+
+
+def page_verdicts(votes: DataFrame) -> DataFrame:
+    """(host, k1, k2, content, apart): the marked paths of a page that its host decides against the page's own vote or another's.
+
+    A page gets its own paths only, so what pages carry grows with the pages, however many paths their host has.
+    """
+    marked_ = votes.filter("content IS NOT NULL")
+    each = marked_.groupBy("host", "path", "digest").agg(F.count("*").alias("n"), F.sum(F.col("content").cast("int")).alias("for"))
     marked = each.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("for").alias("for"), F.count("*").alias("texts"))
     content = (2 * F.col("for") > F.col("n")) & (2 * F.col("texts") > F.col("n"))
-    open_ = marked.withColumn("content", content).filter(F.col("for") != F.when(F.col("content"), F.col("n")).otherwise(0))
-    settled = open_.groupBy("host").agg(F.collect_set(F.when(F.col("content"), F.col("path"))).alias("content"), F.collect_set(F.when(~F.col("content"), F.col("path"))).alias("apart"))
-    return winners.join(settled, "host", "full")
+    open_ = marked.withColumn("content", content).filter(F.col("for") != F.when(F.col("content"), F.col("n")).otherwise(0)).select("host", "path", "content")
+    own = marked_.select("host", "k1", "k2", "path").distinct().join(open_, ["host", "path"])
+    of = lambda flag: F.collect_set(F.when(F.col("content") == flag, F.col("path")))  # noqa: E731  (a page's own elements)
+    return own.groupBy("host", "k1", "k2").agg(of(True).alias("content"), of(False).alias("apart"))
+
+
+def joined_by(pages: DataFrame, found: DataFrame, keys: list[str], size, salts: int) -> DataFrame:
+    """Left join that broadcasts `found` if it was counted and small, and else splits pages of one key by salt."""
+    few = common.broadcast_if_small(found, size=size)
+    if few is not found:
+        return pages.join(few, keys, "left")
+    return pages.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "salt"], "left")
 
 
 def extract_pages(pages: DataFrame, salts: int = 32) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
-    found = common.cut(verdicts(pages))
-    few = common.broadcast_if_small(found, size=F.length("host") + 8 * (F.coalesce(F.size("content"), F.lit(0)) + F.coalesce(F.size("apart"), F.lit(0))))
-    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    if few is found:
-        own = own.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(salts)).cast("int"))
-        few = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = own.join(few, ["host", "salt"], "left")
-    else:
-        joined = own.join(few, "host", "left")
+    folder = common.new_folder(pages.sparkSession)
+    votes = common.written(page_votes(pages), folder)
+    winners, verdicts = common.cut(winning_paths(votes)), common.cut(page_verdicts(votes))
+    common.deleted(pages.sparkSession, folder)
+    salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int").alias("salt")
+    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), *common.text_key(F.col("html")), salt)
+    found = joined_by(own, winners, ["host"], F.length("host"), salts)
+    found = joined_by(found, verdicts, ["host", "k1", "k2"], F.length("host") + 8 * (2 + F.size("content") + F.size("apart")), salts)
 
     def run(batches):
         for batch in batches:
@@ -359,7 +379,7 @@ def extract_pages(pages: DataFrame, salts: int = 32) -> DataFrame:
                 texts.append(extract(html or "", None if path is None else path % (1 << 64), known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return common.by_batches(joined.select("page_id", "url", "html", "path", "content", "apart"), run, "page_id long, url string, text string, n_chars long")
+    return common.by_batches(found.select("page_id", "url", "html", "path", "content", "apart"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -417,3 +417,22 @@ def test_line_dedup_short_sketch(spark):
     table = [(k, f"line\nown {k}", f"s{10 * g + k}") for k in range(10)]
     got = line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id long, text string, source string"))
     assert got.filter("n_removed = 1").count() == 10
+
+
+def test_verdicts_grow_with_pages(spark):
+    """Two pages a path that disagree about it, all of one host: what pages carry grows with the pages, not with their square."""
+    carried = []
+    for n in (100, 200, 400):
+        make = lambda k: f"<div class='share x{chr(97 + k // 2 % 26)}{chr(97 + k // 52)}'><p>{'Some words of this page number %d. ' % k * (20 if k % 2 else 1)}</p></div><article><p>{'Article. ' * (1 if k % 2 else 30)}</p></article>"
+        table = [(k, "http://one.example/x", make(k)) for k in range(n)]
+        votes = html_text.page_votes(spark.createDataFrame(table, "page_id long, url string, html string")).cache()
+        carried.append(sum(len(r["content"]) + len(r["apart"]) for r in html_text.page_verdicts(votes).collect()))
+    assert carried[0] > 0 and carried[1] <= 2.2 * carried[0] and carried[2] <= 2.2 * carried[1]
+
+
+def test_pages_of_a_host_beyond_broadcast(spark, monkeypatch):
+    """Joined with salts, pages get the same texts."""
+    pages = common.read(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html").limit(60)
+    few = sorted(map(tuple, html_text.extract_pages(pages).collect()))
+    monkeypatch.setattr(html_text.common, "broadcast_if_small", lambda df, **_: df)
+    assert sorted(map(tuple, html_text.extract_pages(pages, salts=3).collect())) == few
