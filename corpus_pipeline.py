@@ -2,7 +2,10 @@
 
 Each stage takes the documents that the one before kept and returns them with the columns of
 `documents`; the last returns token digests. Null or empty texts are rejected by the first stage (no
-letter, so no language); repeated rows are near-copies of each other and one of them stays.
+letter, so no language); repeated rows are near-copies of each other and the one with the smallest id stays, of
+equal ids the one that `simhash.keep_first` names. Very long texts go through whole, each stage by its
+own bound. An empty table gives an empty result. Columns beyond those of `documents` are dropped at
+each stage, whatever their names.
 """
 
 from __future__ import annotations

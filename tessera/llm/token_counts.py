@@ -8,7 +8,9 @@ gives the number of its pieces; no piece is built and no character is read twice
 Words stand between ASCII white space. A word that can't be cut counts as one unknown token.
 
 Defined results: null or blank text has no words and no tokens; ids may be null or repeated, each
-row gives one row; other columns stay out of the way (`count_tokens` keeps them).
+row gives one row; an empty table gives none; a very long text is a batch of its own and costs memory in
+proportion to its length; greedy longest matching leaves no ties; other columns stay out of the way
+(`count_tokens` keeps them, and replaces those named like its own).
 """
 
 from __future__ import annotations
