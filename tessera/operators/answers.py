@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from . import diagnose, mentions
+from .ontology import cut
 from .text import clause
 
 #: kinds of candidates
@@ -153,7 +154,7 @@ def aligned_failure(found: DataFrame, targets: DataFrame, facts: DataFrame, look
     goals = timed(targets.select("goal", F.col("target").alias("node")), facts).select("goal", F.col("timed").alias("target_timed"))
     scored = timed(alignment(named, found, targets, facts), facts).join(goals, "goal")
     score = F.round(F.col("score") + 0.3 * specific(F.col("node")) + F.when(F.col("timed"), 0.4).otherwise(0.0) + F.when(F.col("target_timed"), 0.2).otherwise(0.0), 6)
-    best = scored.groupBy("goal").agg(F.min(F.struct((-score).alias("less"), "node")).alias("x")).select("goal", "x.node", (-F.col("x.less")).alias("score"))
+    best = cut(scored.groupBy("goal").agg(F.min(F.struct((-score).alias("less"), "node")).alias("x")).select("goal", "x.node", (-F.col("x.less")).alias("score")))
     rest = best_specific(failures, ["goal"], True).join(best, "goal", "left_anti").select("goal", "node", F.lit(None).cast("double").alias("score"))
     return best.unionByName(rest)
 
@@ -162,7 +163,7 @@ def ruled_out(found: DataFrame, targets: DataFrame, facts: DataFrame, keep: int
     """(goal, node, score): failures with an alignment below 0.2, the first `keep` by name, of goals whose best is below
     0.3; a failure with a temporal context counts as 0.4 for the best, so a goal with one rules out nothing."""
     failures = of_kind(found, COMPONENT, SUBSYSTEM).filter(~exprs.has_loss(F.col("node")))
-    scored = timed(alignment(failures, found, targets, facts), facts)
+    scored = cut(timed(alignment(failures, found, targets, facts), facts))
     best = scored.groupBy("goal").agg(F.max(F.greatest("score", F.when(F.col("timed"), 0.4).otherwise(0.0))).alias("best")).filter("best < 0.3")
     low = scored.filter("score < 0.2").join(best.select("goal"), "goal", "left_semi")
     return top(low, ["goal"], [F.col("node")], F.col("node"), keep).select("goal", "node", "score")
@@ -202,16 +203,17 @@ def structured_chains(found: DataFrame, targets: DataFrame, facts: DataFrame, ro
     subsystem's), or two subsystems where no component failed. The recovery line comes if the modifier asks for it or
     the outcome speaks of stability. Last, the facts in time between the failure in focus and the outcome.
     """
-    outcomes = outcome_targets(targets, primary_outcomes(facts, roles), roles)
+    # What several lines start from is written once; otherwise each line would plan and run all of it again.
+    outcomes = cut(outcome_targets(targets, primary_outcomes(facts, roles), roles))
     components = of_kind(found, COMPONENT)
     subsystems = of_kind(found, SUBSYSTEM).join(targets.select("goal", F.col("target").alias("node")), ["goal", "node"], "left_anti")
-    fit = aligned_failure(found, targets, facts).select("goal", "node")
+    fit = cut(aligned_failure(found, targets, facts).select("goal", "node"))
     fit_component = fit.join(components, ["goal", "node"], "left_semi")
     fit_subsystem = fit.join(components, ["goal", "node"], "left_anti")
-    focus = fit_component.unionByName(best_specific(components, ["goal"], True).join(fit_component, "goal", "left_anti"))
+    focus = cut(fit_component.unionByName(best_specific(components, ["goal"], True).join(fit_component, "goal", "left_anti")))
     order = [F.when(exprs.has_loss(F.col("node")), 1).otherwise(0), F.desc(specific(F.col("node"))), F.col("node")]
     first = lambda df: top(df, ["goal"], order, F.col("node"), 2).select("goal", "node", "place")
-    chosen = first(components)
+    chosen = cut(first(components))
     other = best_specific(subsystems.join(focus, ["goal", "node"], "left_anti"), ["goal"], True).join(fit_subsystem, "goal", "left_anti")
     third = fit_subsystem.unionByName(other).join(chosen.select("goal").distinct(), "goal", "left_semi").join(chosen, ["goal", "node"], "left_anti")
     failed = chosen.unionByName(first(subsystems.join(components.select("goal").distinct(), "goal", "left_anti"))).unionByName(third.withColumn("place", F.lit(3)))
