@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: modules of this package that define QUERIES and ORACLES
-MODULES = ["store_queries", "answer_queries", "rule_queries", "diagnose_queries", "text_queries", "stream_queries", "reason_queries", "session_queries", "chain_queries", "mention_queries", "match_queries", "diagnosis_queries"]
+MODULES = ["store_queries", "answer_queries", "rule_queries", "diagnose_queries", "text_queries", "stream_queries", "reason_queries", "session_queries", "chain_queries", "mention_queries", "match_queries", "diagnosis_queries", "lookup_queries"]
 
 
 def _merged(attribute: str) -> dict:
