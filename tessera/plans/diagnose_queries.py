@@ -181,13 +181,15 @@ def survivors(t: Tables):
 
 @query("dependency_contrast", with_views("requires", "pairs") + " SELECT r.s AS dependent, count(DISTINCT x.o) AS suppliers, count(DISTINCT r.o) AS parts FROM requires r JOIN pairs x ON r.o = x.s GROUP BY 1")
 def dependency_contrast(t: Tables):
-    """What an order depends on, directly and one step further."""
-    direct = dia.dependents(facts.order_requires(t)).select("dependent", F.col("resource").alias("part"))
-    further = dia.dependents(facts.part_powered_by(t)).select(F.col("dependent").alias("part"), F.col("resource").alias("supplier"))
-    powered = further.select("part").distinct()
-    parts = direct.join(powered, "part", "left_semi").groupBy("dependent").agg(F.count("*").alias("parts"))
-    suppliers = direct.join(further, "part").select("dependent", "supplier").distinct().groupBy("dependent").agg(F.count("*").alias("suppliers"))
-    return suppliers.join(parts, "dependent").select("dependent", "suppliers", "parts")
+    """What an order depends on, directly and one step further.
+
+    Keys stay numbers until the counts are made: the join makes a row per order, part and supplier, and these are what is shuffled.
+    """
+    direct = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    further = facts.pairs(t)
+    parts = direct.groupBy("l_orderkey").agg(F.count("*").alias("parts"))
+    suppliers = direct.join(further, "l_partkey").select("l_orderkey", "l_suppkey").distinct().groupBy("l_orderkey").agg(F.count("*").alias("suppliers"))
+    return suppliers.join(parts, "l_orderkey").select(facts.symbol("order", F.col("l_orderkey")).alias("dependent"), "suppliers", "parts")
 
 
 @query("condition_contrast", with_views("requires") + " SELECT o AS resource, arg_min(s, seq) AS first, arg_max(s, seq) AS last FROM requires GROUP BY 1")
