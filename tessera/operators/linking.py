@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from .ontology import cut
+from .ontology import counted, cut
 
 
 def postings(known: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def ngram_tags(texts: DataFrame, dictionary: DataFrame, longest: int = 4) -> Dat
     grams = own.select("key", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("length")).select(
         "key", "length", F.posexplode(F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i + F.col("length") - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, F.col("length")), " "))).alias("start", "term")
     )
-    hits = grams.join(dictionary.select("term").distinct(), "term")
+    hits = grams.join(counted(dictionary.select("term").distinct(), "term"), "term")
     sorted_ = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("length")).alias("less"), "term"))).alias("all"))
     chosen = F.aggregate(
         "all",

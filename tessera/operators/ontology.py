@@ -27,6 +27,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that is broadcast after it was counted, and characters of its texts.
+MOST_ROWS, MOST_CHARACTERS = 100_000, 8 << 20
+
+
+def counted(df: DataFrame, text: str) -> DataFrame:
+    """`df`, written and counted, as the side of a join that is broadcast if it is small; else the join sorts both sides.
+
+    Spark rates what arrays are exploded to no larger than the file they come from, so by its own estimate it would broadcast that.
+    """
+    own = cut(df)
+    few = own.limit(MOST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("characters")).first()
+    return F.broadcast(own) if few["n"] <= MOST_ROWS and few["characters"] <= MOST_CHARACTERS else own.hint("merge")
+
+
 def closure(edges: DataFrame, a: str, b: str, most_rounds: int | None = None) -> DataFrame:
     """All (a, b) with a path of one edge or more; cycles end because known pairs are not followed again."""
     base = edges.select(F.col(a), F.col(b)).distinct()

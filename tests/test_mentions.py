@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.operators import linking, mentions, query
+from tessera.operators import linking, mentions, ontology, query
 
 SYLLABLES = ["ba", "ri", "to", "ken", "mu", "sol", "an", "dre", "lix", "po", "qua", "ver", "zin", "hol", "em", "ti", "gra", "fen", "os", "wy"]
 
@@ -59,6 +59,21 @@ def test_mention_facts_need_two_mentions(spark):
     assert got == [(1, 1, "entity:b contains entity:a"), (1, 2, "entity:a with entity:b"), (2, 1, "entity:a on entity:a")]
 
 
+def test_ngram_tags_never_broadcast_the_texts(spark, monkeypatch):
+    """A small dictionary is broadcast, a large one is not; what is exploded from the texts never is, however small their file."""
+    texts = spark.range(300).selectExpr("id AS key", "concat('say big ring ', id, ' or ring') AS text")
+    terms = spark.createDataFrame([("big ring",), ("ring",), ("or",)], "term string")
+    results, plans = [], []
+    for most in (100_000, 2):
+        monkeypatch.setattr(ontology, "MOST_ROWS", most, raising=False)
+        df = linking.ngram_tags(texts, terms)
+        results.append(sorted(tuple(r) for r in df.collect()))
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert results[0] == results[1] and len(results[0]) == 900
+    assert all(side not in plans[0] for side in ("BuildLeft", "SortMergeJoin")) and "BroadcastHashJoin" in plans[0]
+    assert "BroadcastHashJoin" not in plans[1]
+
+
 def test_predicates_from_wording(spark):
     vocabulary = spark.createDataFrame([("operate",), ("cause",), ("power",), ("backupfor",)], "predicate string")
     asked = [(1, "Does it function", "is"), (2, "what powered it", None), (3, "explain the power", "12"), (4, "x", "uses"), (5, "nothing", None), (6, "the backup for systems", ""), (7, None, None)]
