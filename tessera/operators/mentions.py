@@ -120,13 +120,18 @@ def relationship_priority(predicate: Column) -> Column:
 def mention_facts(mentions: DataFrame, facts: DataFrame, known: DataFrame, keep: int = 5) -> DataFrame:
     """(goal, place, priority, line): the first `keep` facts whose ends are aliases of two different mentions (goal, symbol) of a goal.
 
-    Only pairs of a goal's mentions are looked up, each pair of symbols once, whatever stands at either end.
+    Only pairs of a goal's mentions are looked up of which the one is a subject and the other an object of such facts. The
+    aliases are made once a symbol, and pairs go straight to the facts without being written.
     """
-    own = mentions.select("goal", "symbol").distinct()
-    named = own.select("goal", F.col("symbol").alias("mention"), F.explode(alias_keys(F.col("symbol"))).alias("symbol")).join(known.select("symbol").distinct(), "symbol", "left_semi")
-    a, b = named.select("goal", F.col("mention").alias("m1"), F.col("symbol").alias("s")), named.select("goal", F.col("mention").alias("m2"), F.col("symbol").alias("o"))
-    pairs = cut(a.join(b, "goal").filter("m1 <> m2").select("goal", "s", "o").distinct())
-    told = facts.withColumn("priority", relationship_priority(F.col("p"))).filter("priority IS NOT NULL").join(pairs.select("s", "o").distinct(), ["s", "o"], "left_semi")
+    told = facts.withColumn("priority", relationship_priority(F.col("p"))).filter("priority IS NOT NULL")
+    own = mentions.select("goal", F.col("symbol").alias("mention"))
+    aliases = cut(own.select("mention").distinct().select("mention", F.explode(alias_keys(F.col("mention"))).alias("symbol")).join(known.select("symbol").distinct(), "symbol", "left_semi").select("mention", "symbol"))
+
+    def standing(end: str, name: str) -> DataFrame:
+        named = aliases.withColumnRenamed("symbol", end).join(told.select(end).distinct(), end, "left_semi")
+        return own.join(named, "mention").select("goal", F.col("mention").alias(name), end).repartition("goal").distinct()
+
+    pairs = standing("s", "m1").join(standing("o", "m2"), "goal").filter("m1 <> m2").select("goal", "s", "o")
     lines = told.groupBy("s", "o", F.concat_ws(" ", "s", "p", "o").alias("line")).agg(F.min("priority").alias("priority"), F.min("seq").alias("seq"))
     order = Window.partitionBy("goal").orderBy("priority", "seq", "line")
     met = pairs.join(lines, ["s", "o"]).select("goal", "line", "priority", "seq").distinct()

@@ -59,6 +59,19 @@ def test_mention_facts_need_two_mentions(spark):
     assert got == [(1, 1, "entity:b contains entity:a"), (1, 2, "entity:a with entity:b"), (2, 1, "entity:a on entity:a")]
 
 
+def test_mention_facts_write_no_pairs(spark, monkeypatch):
+    """A goal of 30 subjects and 30 objects, each twice: nothing that is written grows with the square of the mentions."""
+    written = []
+    cut = mentions.cut
+    monkeypatch.setattr(mentions, "cut", lambda df: (own := cut(df), written.append(own.count()))[0])
+    facts = spark.range(30).selectExpr("concat('entity:a', id) AS s", "'with' AS p", "concat('entity:b', (id + 1) % 30) AS o", "0.9D AS conf", "id AS seq")
+    said = spark.range(120).selectExpr("1L AS goal", "concat('entity:', CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END, id % 60 div 2) AS symbol")
+    known = facts.selectExpr("explode(array(s, o)) AS symbol").distinct()
+    got = sorted((r.place, r.line) for r in mentions.mention_facts(said, facts, known).collect())
+    assert got == [(i + 1, f"entity:a{i} with entity:b{i + 1}") for i in range(5)]
+    assert max(written, default=0) <= 120
+
+
 def test_ngram_tags_never_broadcast_the_texts(spark, monkeypatch):
     """A small dictionary is broadcast, a large one is not; what is exploded from the texts never is, however small their file."""
     texts = spark.range(300).selectExpr("id AS key", "concat('say big ring ', id, ' or ring') AS text")
