@@ -71,6 +71,16 @@ def occurrences(texts: DataFrame, phrases: DataFrame, most: int = MOST_PHRASES)
     return by_words(own, known)
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """(key, phrase, first, n) of occurrences: where a phrase stands first, and how often without overlapping itself, from the left."""
+    end = (F.length("phrase") + 1).cast("long")
+    taken = F.aggregate(
+        F.array_sort(F.collect_list("at")), F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda acc, at: F.when(at >= acc["end"], F.struct((at + end).alias("end"), (acc["n"] + 1).alias("n"))).otherwise(acc),
+    )
+    return found.groupBy("key", "phrase").agg(F.min("at").alias("first"), taken["n"].alias("n"))
+
+
 BETWEEN = ["relationship between", "under what conditions"]
 
 

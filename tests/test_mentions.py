@@ -59,6 +59,18 @@ def test_mention_facts_need_two_mentions(spark):
     assert got == [(1, 1, "entity:b contains entity:a"), (1, 2, "entity:a with entity:b"), (2, 1, "entity:a on entity:a")]
 
 
+def test_phrases_do_not_overlap_themselves_in_counts(spark, tmp_path):
+    """As in the SQL: "the the the" has "the the" once, four of them have it twice; other phrases may overlap."""
+    from tessera.plans import mention_queries
+    from tessera.sources.facts import Tables
+
+    spark.createDataFrame([(1, "The the cat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    said = [(1, 0, "u", "the the the cat"), (1, 1, "u", "the, the. The the"), (1, 2, "u", "the"), (2, 0, "u", "cat the the. Cat the the"), (2, 1, "u", None)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.turn, r.phrase, r.first, r.n) for r in mention_queries.phrase_occurrences(Tables(spark, str(tmp_path))).collect())
+    assert got == [(1, 0, "cat", 13, 1), (1, 0, "the the", 1, 1), (1, 1, "the the", 1, 2), (2, 0, "cat", 1, 2), (2, 0, "the the", 5, 2)]
+
+
 def test_mention_facts_write_no_pairs(spark, monkeypatch):
     """A goal of 30 subjects and 30 objects, each twice: nothing that is written grows with the square of the mentions."""
     written = []
