@@ -48,20 +48,27 @@ def by_automaton(texts: DataFrame, phrases: list[str]) -> DataFrame:
 
 
 def by_words(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(key, phrase, at) by the phrases' first words: an equi-join, and a look at the text behind the word."""
-    each = texts.select("key", "text", F.posexplode(F.split(F.trim("text"), " ")).alias("n", "word"))
-    sizes = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("at", 1 + F.coalesce(F.sum(F.length("word") + 1).over(sizes), F.lit(0)))
-    met = placed.join(phrases.select("phrase", F.split("phrase", " ")[0].alias("word")), "word")
-    there = F.substring(F.col("text"), (F.col("at") + 1).cast("int"), F.length("phrase") + 1) == F.concat("phrase", F.lit(" "))
-    return met.filter(there).select("key", "phrase", F.col("at").cast("long").alias("at"))
+    """(key, phrase, at) by an equi-join of whole phrases with the texts' runs of as many words.
+
+    A text costs its words once for each number of words that phrases have, however many phrases begin alike.
+    """
+    own = phrases.select("phrase", F.size(F.split("phrase", " ")).alias("length"))
+    lengths = sorted(r["length"] for r in own.select("length").distinct().collect())
+    each = texts.select("key", F.posexplode(F.split(F.trim("text"), " ")).alias("n", "word"))
+    order = Window.partitionBy("key").orderBy("n")
+    at = 1 + F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A run cut off by the text's end has fewer words than its length says, so it meets no phrase.
+    runs = F.array(*[F.struct(F.lit(k).alias("length"), F.array_join(F.collect_list("word").over(order.rowsBetween(0, k - 1)), " ").alias("phrase")) for k in lengths])
+    placed = each.select("key", at.cast("long").alias("at"), runs.alias("runs")).select("key", "at", F.explode("runs").alias("x")).select("key", "at", "x.*")
+    # The runs are many more than Spark makes of the size of the texts' file: they are never broadcast.
+    return placed.join(own.hint("merge"), ["length", "phrase"]).select("key", "phrase", "at")
 
 
 def occurrences(texts: DataFrame, phrases: DataFrame, most: int = MOST_PHRASES) -> DataFrame:
     """(key, phrase, at): where known phrases (phrase) stand as whole words in texts (key, text); `at` counts characters from 1.
 
     Texts are compared as `plain_text`, phrases likewise; nested and overlapping phrases are all found. Up to `most`
-    phrases, counted first, make one automaton that every worker gets; more are joined by their first word.
+    phrases, counted first, make one automaton that every worker gets; more are joined with the texts' runs of words.
     """
     own = texts.select("key", plain_text(F.col("text")).alias("text"))
     known = cut(phrases.select(F.trim(plain_text(F.col("phrase"))).alias("phrase")).filter("phrase <> ''").distinct())

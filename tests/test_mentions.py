@@ -71,6 +71,33 @@ def test_phrases_do_not_overlap_themselves_in_counts(spark, tmp_path):
     assert got == [(1, 0, "cat", 13, 1), (1, 0, "the the", 1, 1), (1, 1, "the the", 1, 2), (2, 0, "cat", 1, 2), (2, 0, "the the", 5, 2)]
 
 
+def join_rows(df):
+    """Rows that the joins of a query made, largest first."""
+    df.collect()
+    nodes, made = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if "Join" in name:
+            made.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return sorted(made, reverse=True)
+
+
+def test_phrases_that_begin_alike_are_not_all_looked_at(spark):
+    """Many phrases of one first word, joined: rows behind the join are those found, and the runs are in proportion to the words."""
+    texts = spark.range(2000).selectExpr("id AS key", "concat('part ', id, ' is down, part ', id + 1, ' works') AS text")
+    phrases = spark.range(2000).selectExpr("concat('part ', id) AS phrase").union(spark.createDataFrame([("down",)], "phrase string"))
+    df = mentions.occurrences(texts, phrases, most=0)
+    assert df.count() == 2000 + 2000 + 1999
+    assert 0 < join_rows(df)[0] <= 6000
+
+
 def test_mention_facts_write_no_pairs(spark, monkeypatch):
     """A goal of 30 subjects and 30 objects, each twice: nothing that is written grows with the square of the mentions."""
     written = []
