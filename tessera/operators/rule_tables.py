@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules as given
-from .ontology import cut
+from .ontology import clusters, counted, cut
 
 TRIPLE = "struct<s:string,p:string,o:string>"
 RULES = f"seq long, name string, enabled boolean, executor string, params map<string,string>, patterns array<{TRIPLE}>, action {TRIPLE}, weight double"
@@ -115,7 +115,11 @@ def propagate(facts: DataFrame, rows: DataFrame, most_rounds: int | None = None)
 
     Semi-naive; a derived fact's confidence is the largest weight of the rules of its round that conclude it.
     """
-    shapes = cut(runnable(definitions(rows)))
+    return spread(facts, cut(runnable(definitions(rows))), most_rounds)
+
+
+def spread(facts: DataFrame, shapes: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """`propagate` for rules as `runnable` gives them."""
     known = delta = cut(facts.groupBy("s", "p", "o").agg(F.max("conf").alias("conf")).withColumn("round", F.lit(0)))
     rounds = 0
     while most_rounds is None or rounds < most_rounds:
@@ -127,3 +131,52 @@ def propagate(facts: DataFrame, rows: DataFrame, most_rounds: int | None = None)
         known = known.unionByName(delta)
         known = cut(known) if rounds % COMPACT_ROUNDS == 0 else known
     return known
+
+
+def closed(facts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s, p, o): all that `propagate` derives, each once, without confidences and rounds.
+
+    Where rules carry a predicate q along others both ways (a x b and a q c give b q c, and the reverse), nodes that such
+    facts connect have the same objects of q. They are one class, whose objects are derived once and not along every
+    fact. That holds if q is in no other rule's patterns but its own transitive one, and no rule makes facts to carry
+    along; else, or if several predicates are carried, the rules run as they are.
+    """
+    shapes = cut(runnable(definitions(rows)))
+    ends = "NOT checked AND p2 = action.p AND side2 = 's' AND o_at = 3"
+    carries = f"{ends} AND p1 <> p2 AND (side1 = 's' AND s_at = 1 OR side1 = 'o' AND s_at = 0)"
+    both = shapes.filter(carries).groupBy("p1", "p2").agg(F.count_distinct("side1").alias("n")).filter("n = 2").select("p1", "p2")
+    found = both.select("p2").distinct().limit(2).collect()
+    if len(found) != 1:
+        return spread(facts, shapes).select("s", "p", "o")
+    q = found[0]["p2"]
+    along = cut(both.select("p1"))
+    transitive = f"{ends} AND p1 = p2 AND side1 = 'o' AND s_at = 0"
+    is_q = F.col("p2") == q
+    own = shapes.join(along.withColumn("along", F.lit(True)), "p1", "left")
+    rest = cut(own.filter(~F.coalesce(is_q & F.expr(carries) & F.col("along"), F.lit(False)) & ~F.coalesce(is_q & F.expr(transitive), F.lit(False))).select(*shapes.columns))
+    touched = rest.filter((F.col("p1") == q) | F.coalesce(is_q, F.lit(False)))
+    made = rest.select(F.col("action.p").alias("p1")).join(along, "p1", "left_semi")
+    if not touched.isEmpty() or not made.isEmpty():
+        return spread(facts, shapes).select("s", "p", "o")
+    used = counted(rest.select(F.explode(F.array_compact(F.array("p1", "p2"))).alias("p")).distinct(), "p")
+    derived = spread(facts.join(used, "p", "left_semi"), rest).filter("round > 0").select("s", "p", "o")
+    every = facts.select("s", "p", "o").unionByName(derived)
+    others = every.filter(F.col("p") != q).distinct()
+
+    classes = clusters(facts.join(counted(along.withColumnRenamed("p1", "p"), "p"), "p", "left_semi").select(F.col("s").alias("a"), F.col("o").alias("b")))
+    named = lambda df, end, name: df.join(classes.withColumnRenamed("node", end), end, "left").withColumn(name, F.coalesce("cluster", end)).drop("cluster")
+    base = cut(named(every.filter(F.col("p") == q).select("s", "o"), "s", "c").select("c", "o").distinct())
+    known = base
+    if not shapes.filter(is_q & F.expr(transitive)).isEmpty():
+        via = cut(named(base.select("o").distinct(), "o", "via"))
+        delta = base
+        while True:
+            step = delta.join(via, "o").select("c", "via").join(base.select(F.col("c").alias("via"), "o"), "via").select("c", "o").distinct()
+            delta = cut(step.join(known, ["c", "o"], "left_anti"))
+            if delta.isEmpty():
+                break
+            known = known.unionByName(delta)
+    shared = counted(known.join(classes.select(F.col("cluster").alias("c")).distinct(), "c", "left_semi"), "o")
+    inside = classes.withColumnRenamed("cluster", "c").join(shared, "c").select(F.col("node").alias("s"), "o")
+    alone = known.join(classes.select(F.col("node").alias("c")), "c", "left_anti").select(F.col("c").alias("s"), "o")
+    return inside.unionByName(alone).select("s", F.lit(q).alias("p"), "o").unionByName(others)

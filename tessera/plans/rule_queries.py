@@ -123,7 +123,7 @@ SELECT s, o FROM cl""",
 def propagation_closure(t: Tables):
     """All the catalogue's rules, read as a table, to a fixpoint: where everything is."""
     own = facts.union(facts.places(t), facts.part_with_supplier(t))
-    return rule_tables.propagate(own, rule_tables.catalogue(t.spark)).filter("p = 'in'").select("s", "o")
+    return rule_tables.closed(own, rule_tables.catalogue(t.spark)).filter("p = 'in'").select("s", "o")
 
 
 @query(

@@ -54,6 +54,30 @@ def test_constants_and_repeated_variables(spark):
     assert got == plain(facts, own[:-1], 2)
 
 
+def test_closure_by_classes_has_the_same_facts(spark):
+    """Random facts and the catalogue; rules that use what is carried, or make facts to carry along, as they are."""
+    rng = random.Random(4)
+    names = ["in", "inside", "locatedIn", "with", "wear", "near", "partOf", "poweredBy", "chargedBy"]
+    more = [[], [rules.Rule("uses", (("?a", "in", "?b"),), ("?b", "has", "?a"))], [rules.Rule("makes", (("?a", "in", "?b"),), ("?a", "near", "?b"))]]
+    for extra in more:
+        facts = spark.createDataFrame([(f"n{rng.randint(0, 24)}", rng.choice(names), f"n{rng.randint(0, 24)}", 0.5) for _ in range(30)], FACT)
+        own = [*rules.catalogue(), *extra]
+        got = [tuple(r) for r in rule_tables.closed(facts, table(spark, own)).collect()]
+        assert sorted(got) == sorted(tuple(r)[:3] for r in rules.propagate(facts, own).collect())
+
+
+def test_closure_carries_no_place_along_every_fact(spark, monkeypatch):
+    """What is bound in the rounds grows with the places and not with places times facts to carry along."""
+    from tessera.plans import rule_queries
+    from tessera.sources.facts import Tables
+
+    bound, derive = [], rule_tables.derive
+    monkeypatch.setattr(rule_tables, "derive", lambda *args: (out := derive(*args), bound.append(out.count()))[0])
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    assert rule_queries.propagation_closure(tables).count() > 0
+    assert sum(bound) <= 4 * (tables.customer.count() + tables.supplier.count())
+
+
 def test_definitions(spark):
     a, b = ("?x", "p", "?y"), ("?x", "q", "?y")
     rows = [
