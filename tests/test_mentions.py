@@ -2,10 +2,11 @@
 
 import random
 import re
+from functools import partial
 
 from pyspark.sql import functions as F
 
-from tessera.operators import linking, mentions, ontology, query
+from tessera.operators import answers, linking, mentions, ontology, query
 
 SYLLABLES = ["ba", "ri", "to", "ken", "mu", "sol", "an", "dre", "lix", "po", "qua", "ver", "zin", "hol", "em", "ti", "gra", "fen", "os", "wy"]
 
@@ -98,6 +99,17 @@ def test_phrases_that_begin_alike_are_not_all_looked_at(spark):
     assert 0 < join_rows(df)[0] <= 6000
 
 
+def test_named_signals_that_begin_alike_are_not_all_looked_at(spark, monkeypatch):
+    """Signals beyond one automaton, all of one first word: each text's own signal is its answer, and no join pairs texts with all signals."""
+    monkeypatch.setattr(mentions, "occurrences", partial(mentions.occurrences, most=0))
+    texts = spark.range(300).selectExpr("id AS goal", "concat('Seen: click ', id) AS text")
+    roles = spark.range(300).selectExpr("concat('entity:click_', id) AS id", "'evidence_signal' AS role")
+    none = spark.createDataFrame([], "goal long, kind string, node string"), spark.createDataFrame([], "goal long, s string, p string, o string, seq long")
+    df = answers.signal_answers(texts, none[0], none[1], roles, spark.createDataFrame([], "p string, weight double"))
+    assert {(r.goal, r.node, r.tier) for r in df.collect()} == {(i, f"entity:click_{i}", 0) for i in range(300)}
+    assert join_rows(df)[0] <= 600
+
+
 def test_mention_facts_write_no_pairs(spark, monkeypatch):
     """A goal of 30 subjects and 30 objects, each twice: nothing that is written grows with the square of the mentions."""
     written = []
