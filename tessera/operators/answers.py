@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from . import diagnose, mentions
 from .ontology import cut
+from .store import by_predicate
 from .text import clause
 
 #: kinds of candidates
@@ -68,7 +69,7 @@ def candidates(facts: DataFrame, rules: DataFrame, targets: DataFrame, roles: Da
     fails = (F.col("p") == "fail") & (flag | (F.col("s") == F.col("o"))) | F.col("con") & F.col("p").isin(diagnose.NEGATED) & ~flag
     lost = F.col("con") & (F.col("p") == "control") & ~flag
     node = lambda df, kind: df.select("goal", F.lit(kind).alias("kind"), F.col("s").alias("node"))
-    weighted = own.join(weights.filter("weight > 0").select(exprs.local_name(F.col("p")).alias("p")).distinct(), "p", "left_semi")
+    weighted = by_predicate(own, weights.filter("weight > 0").select(exprs.local_name(F.col("p")).alias("p")).distinct(), "left_semi")
     pointing = weighted.join(targets.select("goal", F.col("target").alias("o")), ["goal", "o"], "left_semi")
     itself = weighted.join(targets.select("goal", F.col("target").alias("s")), ["goal", "s"], "left_semi")
     agents = recovery_facts(facts, roles).join(with_role(roles, "evidence_signal", "temporal_marker").withColumnRenamed("node", "s"), "s", "left_anti")
@@ -184,7 +185,7 @@ def signal_answers(texts: DataFrame, found: DataFrame, facts: DataFrame, roles:
     names = signals.select("node", F.trim(mentions.plain_text(exprs.display(F.col("node")))).alias("phrase")).filter("phrase <> ''")
     said = mentions.occurrences(texts.select(F.col("goal").alias("key"), "text"), names.select("phrase").distinct())
     in_text = said.select(F.col("key").alias("goal"), "phrase").distinct().join(names, "phrase").select("goal", "node", specific(F.col("node")).alias("score"), F.lit(0).alias("tier"))
-    weighted = local(facts).join(weights.select(exprs.local_name(F.col("p")).alias("p"), "weight"), "p").groupBy("goal", F.col("s").alias("node")).agg(F.max("weight").alias("weight"))
+    weighted = by_predicate(local(facts), weights.select(exprs.local_name(F.col("p")).alias("p"), "weight")).groupBy("goal", F.col("s").alias("node")).agg(F.max("weight").alias("weight"))
     in_graph = weighted.select("goal", "node", F.round(F.col("weight") + specific(F.col("node")), 6).alias("score"), F.lit(1).alias("tier"))
     explained = of_kind(found, PRECURSOR, EVIDENCE).join(signals, "node", "left_semi").select("goal", "node", specific(F.col("node")).alias("score"), F.lit(2).alias("tier"))
     every = in_text.unionByName(in_graph).unionByName(explained).join(texts.select("goal"), "goal", "left_semi")
@@ -322,7 +323,7 @@ def predicate_lines(goals: DataFrame, facts: DataFrame, rules: DataFrame, recove
     rule = F.concat(F.lit("If "), F.regexp_replace(sentence("ant.s", "ant.p", "ant.o"), r"^The (.*)\.$", "the $1"), F.lit(", then "), F.regexp_replace(sentence("con.s", "con.p", "con.o"), r"^The (.*)\.$", "the $1"), F.lit("."))
     told = local(facts).select("s", "p", "o", F.lit(0).alias("tier"), sentence("s", "p", "o").alias("line"))
     said = rules.select("con.s", exprs.local_name(F.col("con.p")).alias("p"), "con.o", F.lit(1).alias("tier"), rule.alias("line"))
-    rows = told.unionByName(said).join(dynamic.select(exprs.local_name(F.col("p")).alias("p"), "weight"), "p", "left")
+    rows = by_predicate(told.unionByName(said), dynamic.select(exprs.local_name(F.col("p")).alias("p"), "weight"), "left")
     rows = rows.withColumn("less", F.round(-(specific(F.col("s")) + specific(F.col("o")) + F.coalesce("weight", F.lit(0.0))), 6))
     cols = ["predicate", "subject", "object", "tier", "less", "line"]
     by_s = keys.filter("subject IS NOT NULL").join(rows, (F.col("subject") == F.col("s")) & (F.col("predicate") == F.col("p"))).filter("object IS NULL OR object = o").select(*cols)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from .diagnose import TEMPORAL
 from .ontology import alias_keys, cut
+from .store import by_predicate
 
 #: What a step over an alias, a type or a shared time adds. Fixed values.
 ALIAS, TYPE, BRIDGE = 0.05, 0.15, 0.25
@@ -38,7 +39,7 @@ def composed_edges(facts: DataFrame, rules: DataFrame, types: DataFrame, dynamic
     """
     specific = lambda *ends: F.greatest(*[exprs.specificity(e) for e in ends])
     own = dynamic.select(exprs.local_name(F.col("p")).alias("local"), F.col("weight").alias("dynamic"))
-    weighed = lambda df: df.join(own, "local", "left").select("s", "o", (F.col("base") + F.coalesce("dynamic", F.lit(0.0))).alias("w"), "kind")
+    weighed = lambda df: by_predicate(df, own, "left", "local").select("s", "o", (F.col("base") + F.coalesce("dynamic", F.lit(0.0))).alias("w"), "kind")
     told = facts.select("s", "o", exprs.local_name(F.col("p")).alias("local"), specific(F.col("s"), F.col("o")).alias("base"), F.lit("fact").alias("kind"))
     concluded = rules.select(F.explode(F.array("ant.s", "ant.o")).alias("s"), "con").select("s", F.explode(F.array("con.s", "con.o")).alias("o"), exprs.local_name(F.col("con.p")).alias("local"), specific(F.col("con.s"), F.col("con.o")).alias("base"), F.lit("rule").alias("kind"))
     known = known_symbols(facts, rules)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from .store import by_predicate
 
 # Verbs whose denial is a failure, and predicates of time and dependency.
 NEGATED = ["operate", "function", "work", "respond", "stop", "stop_responding"]
@@ -43,12 +44,12 @@ def capability_losses(facts: DataFrame) -> DataFrame:
 
 def signal_weights(facts: DataFrame, weights: DataFrame) -> DataFrame:
     """(s, weight): the largest evidence weight of a subject's predicates."""
-    return facts.join(weights, "p").groupBy("s").agg(F.max("weight").alias("weight"))
+    return by_predicate(facts, weights).groupBy("s").agg(F.max("weight").alias("weight"))
 
 
 def precursors(facts: DataFrame, weights: DataFrame) -> DataFrame:
     """(target, signal, weight): subjects of evidence-weighted predicates that point at a target."""
-    return facts.join(weights.filter("weight > 0"), "p").groupBy(F.col("o").alias("target"), F.col("s").alias("signal")).agg(F.max("weight").alias("weight"))
+    return by_predicate(facts, weights.filter("weight > 0")).groupBy(F.col("o").alias("target"), F.col("s").alias("signal")).agg(F.max("weight").alias("weight"))
 
 
 def recovery(facts: DataFrame, roles: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def temporal_support(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 def telemetry_support(facts: DataFrame, weights: DataFrame) -> DataFrame:
     """(node, support): evidence weight times the number of facts at the node."""
-    return ends(facts).join(weights, "p").groupBy("node").agg(F.sum("weight").alias("support"))
+    return by_predicate(ends(facts), weights).groupBy("node").agg(F.sum("weight").alias("support"))
 
 
 def cause_scores(causes: DataFrame, facts: DataFrame, evidence: DataFrame, dynamic: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def cause_scores(causes: DataFrame, facts: DataFrame, evidence: DataFrame, dynam
     pairs = causes.select(F.col("s").alias("cause"), F.col("o").alias("effect"), "p").distinct()
     timed = temporal_support(pairs.select("cause", "effect").distinct(), facts)
     told = telemetry_support(facts, evidence).select(F.col("node").alias("cause"), F.col("support").alias("telemetry"))
-    all_ = pairs.join(timed, ["cause", "effect"]).join(told, "cause", "left").join(dynamic, "p", "left")
+    all_ = by_predicate(pairs.join(timed, ["cause", "effect"]).join(told, "cause", "left"), dynamic, "left")
     score = exprs.specificity(F.col("cause")) + F.col("support") + F.coalesce("telemetry", F.lit(0.0)) + F.coalesce("weight", F.lit(0.0))
     return all_.select("cause", "effect", "p", score.alias("score"))
 

@@ -16,6 +16,11 @@ def find(facts: DataFrame, s: str | None = None, p: str | None = None, o: str |
     return facts
 
 
+def by_predicate(facts: DataFrame, weights: DataFrame, how: str = "inner", key: str = "p") -> DataFrame:
+    """Facts with what `weights` says of their predicates, of which there are few: shuffled by them, all facts would meet in a few tasks."""
+    return facts.join(F.broadcast(weights), key, how)
+
+
 def upsert_entities(rows: DataFrame) -> DataFrame:
     """(id, surface, type, seq) to one row per entity: first surface form, union of types."""
     return rows.groupBy("id").agg(F.min_by("surface", "seq").alias("surface"), F.array_sort(F.collect_set("type")).alias("types"))
