@@ -16,6 +16,8 @@ from .text import words
 
 #: Phrases, and characters of them, that one automaton may hold; more are looked up by a join.
 MOST_PHRASES, MOST_CHARACTERS = 100_000, 8 << 20
+#: runs of words that a worker gives out at once
+RUNS = 20_000
 
 
 def plain_text(text: Column) -> Column:
@@ -50,16 +52,34 @@ def by_automaton(texts: DataFrame, phrases: list[str]) -> DataFrame:
 def by_words(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(key, phrase, at) by an equi-join of whole phrases with the texts' runs of as many words.
 
-    A text costs its words once for each number of words that phrases have, however many phrases begin alike.
+    A text costs its words once for each number of words that phrases have, however many phrases begin alike; its runs
+    are made where the text is, so neither words nor texts are shuffled and sorted for them.
     """
     own = phrases.select("phrase", F.size(F.split("phrase", " ")).alias("length"))
     lengths = sorted(r["length"] for r in own.select("length").distinct().collect())
-    each = texts.select("key", F.posexplode(F.split(F.trim("text"), " ")).alias("n", "word"))
-    order = Window.partitionBy("key").orderBy("n")
-    at = 1 + F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A run cut off by the text's end has fewer words than its length says, so it meets no phrase.
-    runs = F.array(*[F.struct(F.lit(k).alias("length"), F.array_join(F.collect_list("word").over(order.rowsBetween(0, k - 1)), " ").alias("phrase")) for k in lengths])
-    placed = each.select("key", at.cast("long").alias("at"), runs.alias("runs")).select("key", "at", F.explode("runs").alias("x")).select("key", "at", "x.*")
+    schema = StructType([texts.schema["key"]]).add("length", "integer").add("phrase", "string").add("at", "long")
+
+    def run(batches):
+        for batch in batches:
+            rows, sizes, found, places = [], [], [], []
+            made = lambda: pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(found, pa.string()), pa.array(places, pa.int64())], ["key", "length", "phrase", "at"])  # noqa: E731,B023
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own_words, at = text.split(), 1
+                for n, word in enumerate(own_words):
+                    for k in lengths:
+                        # A run that the text's end would cut off is none.
+                        if n + k <= len(own_words):
+                            rows.append(i)
+                            sizes.append(k)
+                            found.append(" ".join(own_words[n : n + k]))
+                            places.append(at)
+                    at += len(word) + 1
+                    if len(rows) >= RUNS:
+                        yield made()
+                        rows, sizes, found, places = [], [], [], []
+            yield made()
+
+    placed = texts.mapInArrow(run, schema)
     # The runs are many more than Spark makes of the size of the texts' file: they are never broadcast.
     return placed.join(own.hint("merge"), ["length", "phrase"]).select("key", "phrase", "at")
 

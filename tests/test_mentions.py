@@ -200,3 +200,13 @@ def test_a_hot_object_bridges_asked_pairs_only(spark):
     facts = spark.range(100_000).selectExpr("concat('n', id) AS s", "'during' AS p", "'now' AS o").unionByName(spark.createDataFrame([("n1", "before", "x"), ("n2", "before", "x"), ("m", "after", "y")], "s string, p string, o string"))
     asked = spark.createDataFrame([("n1", "n2"), ("n1", "m"), ("n5", "n99999"), ("n3", "n3")], "a string, b string")
     assert {tuple(r) for r in query.temporal_bridge(facts, asked).collect()} == {("n1", "n2", "now"), ("n1", "n2", "x"), ("n5", "n99999", "now")}
+
+
+def test_runs_of_words_are_made_without_a_window(spark, monkeypatch):
+    """No sorting of a text's words; batches end within a text, and a long text is whole."""
+    monkeypatch.setattr(mentions, "RUNS", 7)
+    texts = spark.createDataFrame([(1, " " + "é b c " * 50), (2, " b c é "), (3, "  ")], "key long, text string")
+    got = mentions.by_words(texts, spark.createDataFrame([("é b",), ("c",), ("b c é b",)], "phrase string"))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    expected = [(1, "é b", 1 + 6 * i) for i in range(50)] + [(1, "c", 5 + 6 * i) for i in range(50)] + [(1, "b c é b", 3 + 6 * i) for i in range(49)] + [(2, "c", 3)]
+    assert sorted(map(tuple, got.select("key", "phrase", "at").collect())) == sorted(expected)
