@@ -94,15 +94,15 @@ def clusters(edges: DataFrame) -> DataFrame:
     """(node, cluster): connected components of undirected (a, b); a cluster is named by its least node.
 
     Each round a node takes the least name among itself, its neighbours and its name's name (pointer
-    jumping), so long chains need few rounds.
+    jumping), so long chains need few rounds. Names are never broadcast: each round would send them through the driver.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     name = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(name, F.col("b") == F.col("node")).groupBy("a").agg(F.min("c").alias("n"))
-        low = name.join(near, F.col("node") == F.col("a")).select("node", F.least("c", "n").alias("c"), F.col("c").alias("old"))
+        near = both.join(name.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("c").alias("n"))
+        low = name.join(near.hint("merge"), F.col("node") == F.col("a")).select("node", F.least("c", "n").alias("c"), F.col("c").alias("old"))
         up = low.select(F.col("node").alias("k"), F.col("c").alias("jump"))
-        step = cut(low.join(up, F.col("c") == F.col("k"), "left").select("node", F.least("c", F.coalesce("jump", "c")).alias("c"), "old"))
+        step = cut(low.join(up.hint("merge"), F.col("c") == F.col("k"), "left").select("node", F.least("c", F.coalesce("jump", "c")).alias("c"), "old"))
         changed = not step.filter("c <> old").isEmpty()
         name = step.select("node", "c")
         if not changed:
