@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..operators import diagnose as dia
 from ..operators import chains, ontology, paths
+from ..operators.rules import chain_ends
 from ..sources import facts
 from ..sources.facts import Tables, with_views
 from . import answer_queries
@@ -183,12 +184,12 @@ def survivors(t: Tables):
 def dependency_contrast(t: Tables):
     """What an order depends on, directly and one step further.
 
-    Keys stay numbers until the counts are made: the join makes a row per order, part and supplier, and these are what is shuffled.
+    Keys stay numbers until the counts are made, and the suppliers of a part are listed once.
     """
     direct = t.lineitem.select("l_orderkey", "l_partkey").distinct()
-    further = facts.pairs(t)
     parts = direct.groupBy("l_orderkey").agg(F.count("*").alias("parts"))
-    suppliers = direct.join(further, "l_partkey").select("l_orderkey", "l_suppkey").distinct().groupBy("l_orderkey").agg(F.count("*").alias("suppliers"))
+    ends = chain_ends(t.lineitem.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")), t.lineitem.select(F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c")))
+    suppliers = ends.groupBy(F.col("a").alias("l_orderkey")).agg(F.sum(F.size("ends").cast("long")).alias("suppliers"))
     return suppliers.join(parts, "l_orderkey").select(facts.symbol("order", F.col("l_orderkey")).alias("dependent"), "suppliers", "parts")
 
 
