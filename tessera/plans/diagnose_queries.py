@@ -186,9 +186,14 @@ def dependency_contrast(t: Tables):
 
     Keys stay numbers until the counts are made, and the suppliers of a part are listed once.
     """
-    direct = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    return contrasts(t, t.lineitem)
+
+
+def contrasts(t: Tables, lines):
+    """`dependency_contrast` of the orders that have `lines`."""
+    direct = lines.select("l_orderkey", "l_partkey").distinct()
     parts = direct.groupBy("l_orderkey").agg(F.count("*").alias("parts"))
-    ends = chain_ends(t.lineitem.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")), t.lineitem.select(F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c")))
+    ends = chain_ends(lines.select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")), t.lineitem.select(F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c")))
     suppliers = ends.groupBy(F.col("a").alias("l_orderkey")).agg(F.sum(F.size("ends").cast("long")).alias("suppliers"))
     return suppliers.join(parts, "l_orderkey").select(facts.symbol("order", F.col("l_orderkey")).alias("dependent"), "suppliers", "parts")
 
@@ -233,12 +238,17 @@ UNION ALL SELECT id, 'entity:event_' || n3, id || ' > entity:event_' || nxt || '
 )
 def relationship_path(t: Tables):
     """Nations of one region are joined through it, those of two not at all; an error is joined with the third event after it."""
+    return chains.meeting_paths(*related(t))
+
+
+def related(t: Tables):
+    """The edges of `relationship_path` and its pairs (a, b)."""
     own = facts.nation_places(t)
     names = own.select("s")
     pairs = names.select(F.col("s").alias("a")).join(names.select(F.col("s").alias("b")), F.col("a") < F.col("b"))  # 25 nations
     third = F.lead("event_id", 3).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     later = t.events.select("event_type", facts.event_symbol(F.col("event_id")).alias("a"), facts.event_symbol(third).alias("b")).filter("event_type = 'error' AND b IS NOT NULL")
-    return chains.meeting_paths(own.unionByName(facts.event_order(t)), pairs.unionByName(later.select("a", "b")))
+    return own.unionByName(facts.event_order(t)), pairs.unionByName(later.select("a", "b"))
 
 
 CHAIN_SQL = EV + """, e AS (SELECT id AS s, 'entity:event_' || nxt AS o, round(value / 1000, 3) - 0.1 AS w FROM ev WHERE nxt IS NOT NULL),
@@ -389,19 +399,26 @@ UNION ALL SELECT 'entity:order_' || o_orderkey, ['contrast', 'survivors', 'why']
 UNION ALL SELECT DISTINCT 'entity:user_' || user_id, ['ruled_out', 'why'][user_id % 2 + 1] FROM events"""
 
 
-def lookups(t: Tables) -> dict:
-    """Answers (goal, answer) that both dispatches choose from."""
+def lookups(t: Tables, asked) -> dict:
+    """Answers (goal, answer) that both dispatches choose from.
+
+    Paths are searched, and suppliers counted, only for those that `asked` (goal, cue) asks for them; of a part's lines only the first is made.
+    """
     user = facts.symbol("user", F.col("goal")).alias("goal")
-    short = F.split("lines", "; ")[0].alias("answer")
+    of = lambda cue: asked.filter(F.col("cue") == cue)
+    edges, pairs = related(t)
+    orders = of("contrast").select(F.regexp_extract("goal", r"^entity:order_(\d+)$", 1).try_cast("long").alias("l_orderkey"))
+    line = F.concat_ws(" ", "s", "p", "o").alias("line")
+    lines = facts.order_requires(t).select(F.col("o").alias("goal"), F.lit(0).alias("tier"), line).unionByName(facts.part_with_supplier(t).select(F.col("s").alias("goal"), F.lit(1).alias("tier"), line))
     return {
         "backup": backup_lookup(t).join(resource_availability(t).filter("state = -1"), F.col("part") == F.col("node"), "left_semi").select(F.col("part").alias("goal"), F.col("backup").alias("answer")),
         "signal": signals(t).filter("weight > 0.4").select(F.col("target").alias("goal"), F.col("signal").alias("answer")),
         "dependents": dependents(t).select(F.col("resource").alias("goal"), F.col("first").alias("answer")),
-        "relation": relationship_path(t).select(F.col("a").alias("goal"), F.col("path").alias("answer")),
+        "relation": chains.meeting_paths(edges, pairs.join(of("relation").select(F.col("goal").alias("a")), "a", "left_semi")).select(F.col("a").alias("goal"), F.col("path").alias("answer")),
         "ruled_out": ruled_out(t).select(user, F.col("failure").alias("answer")),
-        "contrast": dependency_contrast(t).select(F.col("dependent").alias("goal"), F.concat_ws(" of ", F.col("suppliers").cast("string"), F.col("parts").cast("string")).alias("answer")),
+        "contrast": contrasts(t, t.lineitem.join(orders, "l_orderkey", "left_semi")).select(F.col("dependent").alias("goal"), F.concat_ws(" of ", F.col("suppliers").cast("string"), F.col("parts").cast("string")).alias("answer")),
         "condition": condition_contrast(t).select(F.col("resource").alias("goal"), F.concat_ws(" to ", "first", "last").alias("answer")),
-        "predicate": predicate_explanation(t).select(F.col("subject").alias("goal"), short),
+        "predicate": lines.groupBy("goal").agg(F.min(F.struct("tier", "line"))["line"].alias("answer")),
         "structured": structured_chain(t).select(user, F.col("chain").alias("answer")),
         "forward": forward_best_path(t).groupBy(F.col("start").alias("goal")).agg(F.max_by("node", F.struct("score", "node")).alias("answer")),
         "ancestry": rule_ancestry(t).select(F.col("target").alias("goal"), F.col("cause").alias("answer")),
@@ -434,8 +451,9 @@ CAUSE_BRANCHES = [("backup", "backup"), ("signal", "signal"), ("dependents", "de
 @query("cause_dispatch", branches_sql(GOALS_SQL, [(cue, lookup_sql()[name]) for cue, name in CAUSE_BRANCHES]))
 def cause_dispatch(t: Tables):
     """Eleven branches by priority: seven speak to their cue only, then predicates, structured chain, forward chain, ancestry."""
-    found = lookups(t)
-    return dia.dispatch(goals(t), [(cue, found[name]) for cue, name in CAUSE_BRANCHES])
+    asked = goals(t)
+    found = lookups(t, asked)
+    return dia.dispatch(asked, [(cue, found[name]) for cue, name in CAUSE_BRANCHES])
 
 
 def relation_branches_sql() -> list[tuple[str | None, str]]:
@@ -457,8 +475,8 @@ PLACED_SQL = GOALS_SQL + " UNION ALL SELECT 'entity:customer_' || c_custkey, 'wh
 @query("relation_dispatch", branches_sql(PLACED_SQL, relation_branches_sql()))
 def relation_dispatch(t: Tables):
     """Signals, survivors, dependency list, relationship, ranked answers, direct facts, direct rules, places, Unknown."""
-    found = lookups(t)
     asked = goals(t).unionByName(t.customer.select(facts.symbol("customer", F.col("c_custkey")).alias("goal"), F.lit("why").alias("cue")))
+    found = lookups(t, asked)
     named = lambda kind, df: df.select(facts.symbol(kind, F.col("goal_id")).alias("goal"), "answer")
     plain = [
         named("part", answer_queries.best_answer(t)), named("order", answer_queries.direct_relation(t)), named("event", answer_queries.direct_rule(t)),
