@@ -55,15 +55,33 @@ def times(facts: DataFrame) -> DataFrame:
     return facts.filter(exprs.local_name(F.col("p")).isin(TEMPORAL)).select(F.col("s").alias("node"), F.col("o").alias("time")).distinct()
 
 
-def over_times(level: DataFrame, members: DataFrame) -> DataFrame:
-    """(goal, node, score, before): steps of `level` (goal, node, score) to others at one of its times.
+def ways_back(targets: DataFrame, edges: DataFrame, members: DataFrame, depth: int, most: int) -> list[DataFrame]:
+    """[(node, target)] by distance from 0: the nodes from which a target may be reached in that many steps and not in fewer.
+
+    Ends after `depth` steps or before the first distance with more than `most` rows, so hubs around targets cost no more than that.
+    """
+    seen = frontier = cut(targets.select(F.col("target").alias("node"), "target").distinct())
+    found = [frontier]
+    for _ in range(depth):
+        straight = frontier.join(edges.select(F.col("o").alias("node"), "s"), "node").select(F.col("s").alias("node"), "target")
+        over = frontier.join(members, "node").select("time", "target").distinct().join(members, "time").select("node", "target")
+        frontier = cut(straight.unionByName(over).distinct().join(seen, ["node", "target"], "left_anti"))
+        if frontier.count() > most:
+            break
+        found.append(frontier)
+        seen = seen.unionByName(frontier)
+    return found
+
+
+def over_times(level: DataFrame, members: DataFrame, onto: DataFrame | None = None) -> DataFrame:
+    """(goal, node, score, before): steps of `level` (goal, node, score) to others at one of its times, or to those of `onto` only.
 
     A time with many nodes is reached by the two best of a goal's nodes only: whoever leaves by it came from the best node
     that is not itself. So a time costs its members per goal, not their pairs.
     """
     best = Window.partitionBy("goal", "time").orderBy(F.desc("score"), "node")
     there = level.join(members, "node").withColumn("place", F.row_number().over(best)).filter("place <= 2").select("goal", "target", "time", F.col("node").alias("before"), "score")
-    away = there.join(members.select(F.col("node").alias("next"), "time"), "time").filter("next <> before")
+    away = there.join((members if onto is None else onto).select(F.col("node").alias("next"), "time"), "time").filter("next <> before")
     return away.select("goal", "target", F.col("next").alias("node"), F.round(F.col("score") + BRIDGE, 9).alias("score"), "before", F.lit("bridge").alias("kind"))
 
 
@@ -71,17 +89,21 @@ def best_walks(goals: DataFrame, edges: DataFrame, members: DataFrame, depth: in
     """(goal, score, hops, path, kinds): of the walks of at most `depth` steps from start to target, the one with the largest sum.
 
     goals (goal, start, target), each goal once. A round keeps a goal's best way to each node; a walk ends when it
-    is at its target. Equal sums go to fewer steps, then to the name. In the last round only steps to the target count.
+    is at its target. Equal sums go to fewer steps, then to the name. Steps to where the target can't be reached any more aren't taken:
+    what leads to the targets is searched back from them first, once for all goals of a target.
     """
+    edges, members = cut(edges), cut(members)
     own = goals.select("goal", "target").filter("target IS NOT NULL")
     levels = [cut(goals.filter("start IS NOT NULL AND target IS NOT NULL").select("goal", "target", F.col("start").alias("node"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("kind")))]
+    back = ways_back(own, edges, members, depth - 1, edges.count() + levels[0].count())
     for hops in range(1, depth + 1):
+        useful = union(back[: depth - hops + 1]) if depth - hops < len(back) else None
         open_ = levels[-1].filter("node <> target").select("goal", "target", "node", "score")
         step = open_.join(edges.select(F.col("s").alias("node"), F.col("o").alias("next"), "w", "kind"), "node")
         step = step.select("goal", "target", F.col("next").alias("node"), F.round(F.col("score") + F.col("w"), 9).alias("score"), F.col("node").alias("before"), "kind")
-        bridged = over_times(open_, members)
-        every = step.unionByName(bridged)
-        every = every.filter("node = target") if hops == depth else every  # pushed into the joins
+        onto = None if useful is None else members.join(useful.select("node").distinct(), "node", "left_semi")
+        every = step.unionByName(over_times(open_, members, onto))
+        every = every.filter("node = target") if hops == depth else every if useful is None else every.join(useful, ["node", "target"], "left_semi")
         best = every.groupBy("goal", "target", "node").agg(F.max(F.struct("score", "before", "kind")).alias("x"))
         level = cut(best.select("goal", "target", "node", "x.score", "x.before", "x.kind"))
         if level.isEmpty():

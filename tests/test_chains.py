@@ -3,6 +3,8 @@
 import random
 from itertools import pairwise
 
+import pytest
+
 from tessera.operators import chains, paths
 
 FACT = "s string, p string, o string, conf double, seq long"
@@ -104,3 +106,18 @@ def test_explanations(spark):
     given = spark.createDataFrame(rows, "effect string, cause string, kind string, score double, seq long, line string")
     got = {r.target: (r.lines, r.kinds, r.hops) for r in chains.explained(given, facts, spark.createDataFrame([("c",), ("x",), ("none",)], "target string"), 4).collect()}
     assert got == {"c": (["b causes c", "b before c", "if a then b", "a before b", "b after a"], "fact,rule", 2), "x": (["x during y"], "", 0), "none": ([], "", 0)}
+
+
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_only_steps_towards_the_target_are_taken(spark, monkeypatch, most):
+    """Nodes from which the target is out of reach are in no round's table; where too many lead to it they may be, with the same result."""
+    edges = spark.createDataFrame([("a", "b", 0.5, "fact"), ("b", "t", 0.5, "fact"), *[("a", f"x{i}", 0.9, "fact") for i in range(50)], *[(f"x{i}", f"y{i}", 0.9, "fact") for i in range(50)]], "s string, o string, w double, kind string")
+    members = spark.createDataFrame([("a", "noon"), ("c", "noon"), ("x1", "noon")], "node string, time string")
+    goals = spark.createDataFrame([("g", "a", "t")], "goal string, start string, target string")
+    cuts, cut, back = [], chains.cut, chains.ways_back
+    monkeypatch.setattr(chains, "cut", lambda df: cuts.append(cut(df)) or cuts[-1])
+    monkeypatch.setattr(chains, "ways_back", lambda *args: back(*args[:-1], most if most == 0 else args[-1]), raising=False)
+    got = chains.best_walks(goals, edges, members, depth=3).collect()
+    assert [(r["score"], r["hops"], r["path"]) for r in got] == [(1.0, 2, "a > b > t")]
+    rounds = [df for df in cuts if {"goal", "node", "before"} <= set(df.columns)]
+    assert (max(df.count() for df in rounds) == 1) == (most > 0)
