@@ -7,16 +7,18 @@ is forgotten when the session's newest row is more than `idle` later. Once the s
 session's newest row a timer drops its state.
 
 State is bounded per list, whatever the session's length. Before the shuffle each Arrow batch is cut to
-what could be held, so a session with a third of all rows sends a list's length per batch.
+what could be held, so a session with a third of all rows sends a list's length per batch. After it a session's rows are cut
+again and packed into one row, so that the state, which costs Python time a row and a list, is given lists and not events.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -29,23 +31,62 @@ KINDS = ("entity", "fact", "answer", "reset")
 #: Rows that a session emits: the items of the lists it touched, and one row of kind "clock" with its reset and end.
 ROW = "session string, kind string, key string, value string, ts long, seq long, reset_ts long, reset_seq long, expired boolean"
 INPUT = "session string, kind string, key string, value string, ts timestamp, seq long"
+RECENT = INPUT.replace("timestamp", "long")
+PACK = "session string, ts long, items string"
+#: Rows that a task packs at once.
+PACKED = 200_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def cut_to_recent(rows: pd.DataFrame, sizes: dict[str, int]) -> pd.DataFrame:
-    """Of rows (session, kind, key, value, ts, seq) those that a list of its size could hold, newest first.
+    """Of rows (session, kind, key, value, ts, seq) those that a list of its size could hold, newest first, equal ones by value.
 
     Entities and answers are distinct by value, facts are not; of resets the last one counts.
     """
-    rows = rows.sort_values(["ts", "seq"], ascending=False, kind="stable")
+    rows = rows.sort_values(["ts", "seq", "value"], ascending=[False, False, True], kind="stable")
     repeats = rows.duplicated(["session", "kind", "key", "value"]) & rows["kind"].isin(("entity", "answer"))
     rows = rows[~repeats]
     place = rows.groupby(["session", "kind", "key"], dropna=False, sort=False).cumcount()
     return rows[place < rows["kind"].map(sizes)]
 
 
+def newest_first(items: Iterable[tuple], size: int, distinct: bool) -> list[tuple]:
+    """Of items (-ts, -seq, value) the `size` newest, distinct by value if asked; the same item again is none."""
+    found, seen = [], set()
+    for item in sorted(items):
+        mark = item[2] if distinct else item
+        if mark not in seen:
+            seen.add(mark)
+            found.append(item)
+            if len(found) == size:
+                break
+    return found
+
+
+def packed(parts: Iterable[pd.DataFrame], sizes: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """(session, ts, items) of rows (session, kind, key, value, ts, seq): what each session could hold of PACKED rows or a part more, as one row.
+
+    `items` is a JSON list of [kind, key, value, ts, seq], `ts` its newest.
+    """
+    own: list[pd.DataFrame] = []
+
+    def pack() -> pd.DataFrame:
+        rows, found = cut_to_recent(pd.concat(own), sizes), {}
+        for name, *item in rows[["session", "kind", "key", "value", "ts", "seq"]].itertuples(index=False, name=None):
+            found.setdefault(name, []).append(item)
+        own.clear()
+        return pd.DataFrame({"session": list(found), "ts": [max(x[3] for x in items) for items in found.values()], "items": [json.dumps(items) for items in found.values()]})
+
+    for part in parts:
+        own.append(part)
+        if sum(map(len, own)) >= PACKED:
+            yield pack()
+    if any(map(len, own)):
+        yield pack()
+
+
 class Memory(StatefulProcessor):
-    """Lists of one session. Times are microseconds."""
+    """Lists of one session, which come in packs: there are many short sessions, and a data frame, or a row an item, would cost more than the lists. Times are microseconds."""
 
     def __init__(self, sizes: dict[str, int], idle: int):
         self.sizes, self.idle = sizes, idle
@@ -56,52 +97,52 @@ class Memory(StatefulProcessor):
         # A list per kind and, for answers, question.
         self.lists = handle.getMapState("lists", "kind string, key string", "value array<string>, ts array<long>, seq array<long>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest, reset_ts, reset_seq = self.clock.get() if self.clock.exists() else (None, None, None)
-        had = newest
-        touched: pd.DataFrame | None = None
-        for part in rows:
-            part = part.assign(ts=part["ts"].astype("datetime64[us]").astype("int64"))
-            touched = part if touched is None else pd.concat([touched, part])
-            touched = cut_to_recent(touched, self.sizes)  # never more than the lists hold
-        newest = max(x for x in (newest, int(touched["ts"].max())) if x is not None)
-        for ts, seq in touched.loc[touched["kind"] == "reset", ["ts", "seq"]].itertuples(index=False):
-            reset_ts, reset_seq = max(((reset_ts, reset_seq), (int(ts), int(seq))), key=lambda x: (x[0] is not None, x))
-        self.clock.update((newest, reset_ts, reset_seq))
-        if had is not None and had != newest:
-            self.handle.deleteTimer((had + self.idle) // 1000 + 1)
-        self.handle.registerTimer((newest + self.idle) // 1000 + 1)
-
-        out = [pd.DataFrame({"kind": ["clock"], "key": [""], "value": [None], "ts": [newest], "seq": [None]})]
-        for (kind, name), new in touched[touched["kind"] != "reset"].groupby(["kind", "key"], sort=False):
-            own = new[["value", "ts", "seq"]]
-            if self.lists.containsKey((kind, name)):
-                values, times, seqs = self.lists.getValue((kind, name))
-                own = pd.concat([own, pd.DataFrame({"value": list(values), "ts": list(times), "seq": list(seqs)})])
-            own = own.assign(session="", kind=kind, key=name)
-            if kind == "fact":  # a row that comes again is the same fact
-                own = own.drop_duplicates(["value", "ts", "seq"])
-            own = own[own["ts"] >= newest - self.idle]
-            if reset_ts is not None:
-                own = own[(own["ts"] > reset_ts) | ((own["ts"] == reset_ts) & (own["seq"] > reset_seq))]
-            own = cut_to_recent(own, self.sizes)
-            if len(own):
-                self.lists.updateValue((kind, name), (own["value"].tolist(), own["ts"].astype(int).tolist(), own["seq"].astype(int).tolist()))
-                out.append(own[["kind", "key", "value", "ts", "seq"]])
-            elif self.lists.containsKey((kind, name)):
+    def first(self, kind: str, items: Iterable[tuple]) -> list[tuple]:
+        return newest_first(items, self.sizes[kind], kind != "fact")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        had, reset_ts, reset_seq = self.clock.get() or (None, None, None)
+        newest, reset = had, None if reset_ts is None else (reset_ts, reset_seq)
+        touched: dict[tuple, list[tuple]] = {}
+        for kind, name, value, at, seq in (item for row in rows for item in json.loads(row["items"])):
+            newest = at if newest is None else max(newest, at)
+            if kind == "reset":
+                reset = (at, seq) if reset is None else max(reset, (at, seq))
+                continue
+            own = touched.setdefault((kind, name), [])
+            own.append((-at, -seq, value))
+            if len(own) > 4 * self.sizes[kind]:  # never many more than the list holds
+                own[:] = self.first(kind, own)
+        self.clock.update((newest, *(reset or (None, None))))
+        if had != newest:
+            if had is not None:
+                self.handle.deleteTimer((had + self.idle) // 1000 + 1)
+            self.handle.registerTimer((newest + self.idle) // 1000 + 1)
+
+        yield self.row(key, "clock", "", None, newest, None, reset, False)
+        for (kind, name), own in touched.items():
+            held = None if had is None else self.lists.getValue((kind, name))
+            if held is not None:
+                own += [(-at, -seq, value) for value, at, seq in zip(*held)]
+            fresh = [x for x in own if -x[0] >= newest - self.idle and (reset is None or (-x[0], -x[1]) > reset)]
+            kept = [(value, -at, -seq) for at, seq, value in self.first(kind, fresh)]
+            if kept:
+                self.lists.updateValue((kind, name), tuple([x[k] for x in kept] for k in range(3)))
+            elif held is not None:
                 self.lists.removeKey((kind, name))
-        yield self.named(key, pd.concat(out), reset_ts, reset_seq, False)
+            for value, at, seq in kept:
+                yield self.row(key, kind, name, value, at, seq, reset, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         newest, reset_ts, reset_seq = self.clock.get()
         self.clock.clear()
         self.lists.clear()
-        yield self.named(key, pd.DataFrame({"kind": ["clock"], "key": [""], "value": [None], "ts": [newest], "seq": [None]}), reset_ts, reset_seq, True)
+        yield self.row(key, "clock", "", None, newest, None, None if reset_ts is None else (reset_ts, reset_seq), True)
 
     @staticmethod
-    def named(key, rows: pd.DataFrame, reset_ts, reset_seq, expired: bool) -> pd.DataFrame:
-        rows = rows.assign(session=key[0], reset_ts=reset_ts, reset_seq=reset_seq, expired=expired)
-        return rows[[c.split()[0] for c in ROW.split(", ")]].astype({c: "Int64" for c in ("ts", "seq", "reset_ts", "reset_seq")})
+    def row(key, kind: str, name: str, value: str | None, ts: int, seq: int | None, reset: tuple | None, expired: bool) -> Row:
+        reset_ts, reset_seq = reset or (None, None)
+        return Row(session=key[0], kind=kind, key=name, value=value, ts=ts, seq=seq, reset_ts=reset_ts, reset_seq=reset_seq, expired=expired)
 
     def close(self) -> None:
         pass
@@ -126,7 +167,7 @@ def remember(
 
     `rows` has INPUT's columns: kind is one of KINDS, key names the question of an answer, seq decides within one ts.
     Rows without session, ts, or kind, and entities, facts or answers without a value or of blanks only, are none.
-    `idle` is in seconds, `late` is the watermark's delay: rows later than that are dropped by Spark, and sessions
+    `idle` is in seconds, `late` is the watermark's delay: rows later than that are dropped by Spark, if none of their pack is newer, and sessions
     silent for `idle` beyond it are forgotten. With the `folder` of an earlier call the stream goes on.
     """
     spark = rows.sparkSession
@@ -134,9 +175,11 @@ def remember(
     sizes = {"entity": entities, "fact": facts, "answer": answers, "reset": 1}
     sound = F.col("kind").isin(*KINDS) & F.col("session").isNotNull() & F.col("ts").isNotNull() & ((F.col("kind") == "reset") | (F.trim("value") != ""))
     key = F.when(F.col("kind") == "answer", F.coalesce("key", F.lit(""))).otherwise(F.lit(""))
-    rows = rows.filter(sound).select(F.col("session").cast("string").alias("session"), "kind", key.alias("key"), F.when(F.col("kind") != "reset", F.col("value")).alias("value"), "ts", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"))
-    recent = rows.mapInPandas(lambda parts: (cut_to_recent(part, sizes) for part in parts), INPUT)
-    memory = recent.withWatermark("ts", late).groupBy("session").transformWithStateInPandas(Memory(sizes, idle * 1_000_000), outputStructType=ROW, outputMode="Update", timeMode="EventTime")
+    rows = rows.filter(sound).select(F.col("session").cast("string").alias("session"), "kind", key.alias("key"), F.when(F.col("kind") != "reset", F.col("value")).alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"))
+    recent = rows.mapInPandas(lambda parts: (cut_to_recent(part, sizes) for part in parts), RECENT)
+    packs = recent.repartition("session").mapInPandas(lambda parts: packed(parts, sizes), PACK)
+    timed = packs.withColumn("ts", F.timestamp_micros("ts")).withWatermark("ts", late)
+    memory = timed.groupBy("session").transformWithState(Memory(sizes, idle * 1_000_000), outputStructType=ROW, outputMode="Update", timeMode="EventTime")
     # A session's lists and its clock are versions of their own.
     versions = ingest.Versions(spark, folder, StructType.fromDDL(ROW), ["session", "kind", "key"])
     with rocks(spark):

@@ -99,6 +99,41 @@ def test_a_long_session_sends_a_lists_length():
         assert len(session.cut_to_recent(rows, sizes)) == 150
 
 
+def test_a_session_is_one_row_of_lists():
+    """A session's rows come to its state as one row, which reads no list of a new session; the tie of two answers goes to the name."""
+    import json
+
+    import pandas as pd
+
+    sizes = {"entity": 3, "fact": 2, "answer": 1, "reset": 1}
+    rows = pd.DataFrame([(s, kind, "", f"{kind}{k % 7}", 10 * k, k) for k in range(300) for s in "ab" for kind in ("entity", "fact")] + [("a", "answer", "q", v, 5_000, 1) for v in "yx"] + [("b", "reset", "", None, 2_975, 0)], columns=["session", "kind", "key", "value", "ts", "seq"])
+    got = pd.concat(session.packed(iter([rows[:400], rows[400:]]), sizes))
+    assert sorted(got["session"]) == ["a", "b"] and got["ts"].max() == 5_000
+    assert {len(json.loads(x)) for x in got["items"]} == {6}
+
+    class Handle:
+        def __init__(self):
+            self.reads, self.values, self.timers = 0, {}, []
+            self.registerTimer = self.timers.append
+            self.updateValue = self.values.__setitem__
+
+        def getValueState(self, name, schema):
+            return type("Clock", (), {"get": lambda _: None, "update": lambda _, value: None})()
+
+        def getMapState(self, name, key, value):
+            return self
+
+        def getValue(self, key):
+            self.reads += 1
+
+    for name, expected in (("a", [("answer", "x", 5_000), ("entity", "entity3", 2_970), ("entity", "entity4", 2_980), ("entity", "entity5", 2_990), ("fact", "fact4", 2_980), ("fact", "fact5", 2_990)]), ("b", [("entity", "entity4", 2_980), ("entity", "entity5", 2_990), ("fact", "fact4", 2_980), ("fact", "fact5", 2_990)])):
+        handle, memory = Handle(), session.Memory(sizes, 10**6)
+        memory.init(handle)
+        pack = [{"items": x} for x in got.loc[got["session"] == name, "items"]]
+        out = [(r.kind, r.value, r.ts) for r in memory.handleInputRows((name,), iter(pack), None)]
+        assert sorted(out[1:]) == expected and out[0][0] == "clock" and handle.reads == 0 and len(handle.timers) == 1
+
+
 FACTS = [("tom", "is", "cat", 1.0, 1), ("rex", "is", "animal", 0.9, 2), ("tom", "is", "alive", 0.8, 3), ("tom", "is", "cat", 0.5, 0)]
 RULES = [("is", "cat", "is", "animal", 0.7), ("is", "animal", "is", "alive", 0.6), ("is", "alive", "has", "heart", 0.5), ("has", "heart", "is", "animal", 0.4), ("is", "cat", "is", "animal", 0.3)]
 FOLLOWS = {("tom", "is", "cat", 0.5), ("tom", "is", "animal", 0.7), ("tom", "is", "alive", 0.8), ("tom", "has", "heart", 0.5), ("rex", "is", "animal", 0.9), ("rex", "is", "alive", 0.6), ("rex", "has", "heart", 0.5)}
