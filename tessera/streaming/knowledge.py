@@ -1,7 +1,7 @@
 """Facts and rules that arrive in any order, and indexes kept from the facts as they come.
 
 Every rule meets every fact once, whichever comes first: both are streams that a two-sided join keeps as state by
-(p, o). What is derived is written as a batch's files, and these are a source of the same join, so derived
+(p, o) and a part of the subjects, as very many facts may share one (p, o); a rule is kept once a part. What is derived is written as a batch's files, and these are a source of the same join, so derived
 facts meet rules too, and none is read twice. No row is looked at again when others arrive later.
 """
 
@@ -16,6 +16,8 @@ from .session import rocks
 
 DERIVED = "s string, p string, o string, conf double"
 TOLD = "s string, p string, o string, conf double, seq long"
+#: parts that the facts of one (p, o) are dealt over
+PARTS = 32
 
 
 class Knowledge:
@@ -37,8 +39,10 @@ class Knowledge:
         """Takes what the streams have, and what follows, until nothing new does; (s, p, o, conf, seq) of all facts so far."""
         derived = self.spark.readStream.schema(DERIVED).option("recursiveFileLookup", "true").parquet(f"{self.folder}/derived")
         known = facts.select("s", "p", "o").unionByName(derived.select("s", "p", "o")).dropDuplicates(["s", "p", "o"])
+        known = known.withColumn("part", F.pmod(F.xxhash64("s"), F.lit(PARTS)).cast("int"))
         recorded = rules.select("p", "o", "p2", "o2", F.col("weight").cast("double").alias("weight")).dropDuplicates()
-        made = known.join(recorded, ["p", "o"]).select("s", F.col("p2").alias("p"), F.col("o2").alias("o"), F.col("weight").alias("conf"), F.lit(None).cast("long").alias("seq"), F.lit(False).alias("told"))
+        recorded = recorded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        made = known.join(recorded, ["p", "o", "part"]).select("s", F.col("p2").alias("p"), F.col("o2").alias("o"), F.col("weight").alias("conf"), F.lit(None).cast("long").alias("seq"), F.lit(False).alias("told"))
         told = facts.select("s", "p", "o", F.col("conf").cast("double").alias("conf"), F.col("seq").cast("long").alias("seq"), F.lit(True).alias("told"))
         more = [True]
 

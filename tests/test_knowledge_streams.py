@@ -159,6 +159,18 @@ def test_knowledge_in_any_order(spark, arrivals, order):
     assert store.rows_read == 2 * len(FACTS) + len(RULES) + derivations
 
 
+def test_facts_of_one_object_are_dealt_over_parts(spark, arrivals, monkeypatch):
+    """Facts that share (p, o) aren't all joined in one task, and each still meets each rule once."""
+    seen, run = [], ingest.run_available
+    monkeypatch.setattr(ingest, "run_available", lambda stream, *rest: seen.append(stream._jdf.queryExecution().analyzed().toString()) or run(stream, *rest))
+    facts, rules = arrivals(), arrivals()
+    facts.put([(f"s{k}", "is", "cat", 1.0, k) for k in range(100)], knowledge.TOLD)
+    rules.put([("is", "cat", "is", "animal", 0.7), ("is", "animal", "is", "alive", 0.6)], RULE)
+    got = knowledge.Knowledge(spark).take(facts.stream(), rules.stream())
+    assert got.groupBy("o").count().orderBy("o").collect() == [("alive", 100), ("animal", 100), ("cat", 100)]
+    assert all("part#" in next(x for x in plan.splitlines() if "Join Inner" in x) for plan in seen)
+
+
 def plain_indexes(facts, weights, signals):
     found = defaultdict(lambda: [0.0, 0])
 
