@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from .diagnose import TEMPORAL
-from .ontology import alias_keys, cut
+from .ontology import alias_keys, cut, sized
 from .store import by_predicate
 
 #: What a step over an alias, a type or a shared time adds. Fixed values.
@@ -128,53 +128,59 @@ def meeting_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFra
     reached over the edge inserted first.
     """
     both = cut(edges.select("s", "o", "seq").unionByName(edges.select(F.col("o").alias("s"), F.col("s").alias("o"), "seq")).filter("s <> o").groupBy("s", "o").agg(F.min("seq").alias("seq")))
-    pairs = cut(pairs.select("a", "b").filter("a <> b").distinct())
-    side = lambda end, back: pairs.select("a", "b", F.lit(back).alias("back"), F.col(end).alias("node"), F.lit(0).alias("dist"))
-    seen = frontier = cut(side("a", False).unionByName(side("b", True)))
+    # Written once, so that a pair's number stays; rounds carry it in place of both names.
+    pairs = cut(pairs.select("a", "b").filter("a <> b").distinct().withColumn("pair", F.monotonically_increasing_id()))
+    side = lambda end, back: pairs.select("pair", F.lit(back).alias("back"), F.col(end).alias("node"), F.lit(0).alias("dist"))
+    # What is seen of pairs that have not met is all that a round has to look at.
+    seen = open_ = frontier = cut(side("a", False).unionByName(side("b", True)))
     met: list[DataFrame] = []
     for _ in range(depth):
-        size = frontier.groupBy("a", "b").agg(F.count_if("back").alias("n_back"), F.count_if(~F.col("back")).alias("n_on"), F.max(F.when(F.col("back"), F.col("dist"))).alias("d_back"), F.max(F.when(~F.col("back"), F.col("dist"))).alias("d_on"))
+        size = frontier.groupBy("pair").agg(F.count_if("back").alias("n_back"), F.count_if(~F.col("back")).alias("n_on"))
         # A side without a frontier has seen all it can reach: its pair has no path.
-        turn = size.filter("n_back > 0 AND n_on > 0").select("a", "b", (F.col("n_back") < F.col("n_on")).alias("back"))
-        growing = frontier.join(turn, ["a", "b", "back"], "left_semi")
-        waiting = frontier.join(turn.withColumn("back", ~F.col("back")), ["a", "b", "back"], "left_semi")
-        step = growing.join(both.select(F.col("s").alias("node"), F.col("o").alias("next")), "node").select("a", "b", "back", F.col("next").alias("node"), (F.col("dist") + 1).alias("dist")).distinct()
-        new = cut(step.join(seen.select("a", "b", "back", "node"), ["a", "b", "back", "node"], "left_anti"))
+        turn = size.filter("n_back > 0 AND n_on > 0").select("pair", (F.col("n_back") < F.col("n_on")).alias("turn"))
+        marked = cut(frontier.join(turn, "pair"))
+        growing, waiting = marked.filter("back = turn").drop("turn"), marked.filter("back <> turn").drop("turn")
+        step = sized(growing, "node").join(both.select(F.col("s").alias("node"), F.col("o").alias("next")), "node").select("pair", "back", F.col("next").alias("node"), (F.col("dist") + 1).alias("dist")).distinct()
+        new = cut(step.join(open_.select("pair", "back", "node"), ["pair", "back", "node"], "left_anti"))
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
-        other = waiting.select("a", "b", "node", (~F.col("back")).alias("back"), F.col("dist").alias("far"))
-        hit = cut(new.join(other, ["a", "b", "node", "back"]).select("a", "b", "node", F.when(F.col("back"), F.col("far")).otherwise(F.col("dist")).alias("from_a"), F.when(F.col("back"), F.col("dist")).otherwise(F.col("far")).alias("from_b")))
+        seen, open_ = seen.unionByName(new), open_.unionByName(new)
+        other = waiting.select("pair", "node", (~F.col("back")).alias("back"), F.col("dist").alias("far"))
+        hit = cut(new.join(other, ["pair", "node", "back"]).select("pair", "node", F.when(F.col("back"), F.col("far")).otherwise(F.col("dist")).alias("from_a"), F.when(F.col("back"), F.col("dist")).otherwise(F.col("far")).alias("from_b")))
         met.append(hit)
-        done = hit.select("a", "b").distinct()
-        frontier = cut(new.unionByName(waiting).join(done, ["a", "b"], "left_anti"))
+        frontier = new.unionByName(waiting)
+        if not hit.isEmpty():
+            done = hit.select("pair").distinct()
+            frontier, open_ = cut(frontier.join(done, "pair", "left_anti")), cut(open_.join(done, "pair", "left_anti"))
         if frontier.isEmpty():
             break
     if not met:
         return pairs.limit(0).select("a", "b", F.col("a").alias("path"), F.lit(0).alias("hops"))
-    meet = union(met)
+    meet = cut(union(met))
     # Nodes at each distance from a: all that a's side has seen, and of b's side those on a way to where they met.
-    on_way = meet.select("a", "b", "node", F.col("from_a").alias("at"), F.col("from_b").alias("left"))
-    known = [seen.filter("NOT back").select("a", "b", "node", F.col("dist").alias("at"))]
-    b_side = seen.filter("back").select("a", "b", "node", F.col("dist").alias("left"))
+    on_way = meet.select("pair", "node", F.col("from_a").alias("at"), F.col("from_b").alias("left"))
+    found = meet.select("pair").distinct()
+    known = [seen.filter("NOT back").join(found, "pair", "left_semi").select("pair", "node", F.col("dist").alias("at"))]
+    b_side = cut(seen.filter("back").join(found, "pair", "left_semi").select("pair", "node", F.col("dist").alias("left")))
     for _ in range(depth):
-        ahead = on_way.filter("left > 0").join(both.select(F.col("s").alias("node"), F.col("o").alias("next")), "node").select("a", "b", F.col("next").alias("node"), (F.col("at") + 1).alias("at"), (F.col("left") - 1).alias("left"))
-        on_way = cut(ahead.join(b_side, ["a", "b", "node", "left"], "left_semi").distinct())
+        ahead = on_way.filter("left > 0").join(both.select(F.col("s").alias("node"), F.col("o").alias("next")), "node").select("pair", F.col("next").alias("node"), (F.col("at") + 1).alias("at"), (F.col("left") - 1).alias("left"))
+        on_way = cut(ahead.join(b_side, ["pair", "node", "left"], "left_semi").distinct())
         if on_way.isEmpty():
             break
-        known.append(on_way.select("a", "b", "node", "at"))
-    stations = union(known).distinct()
-    total = meet.groupBy("a", "b").agg(F.min(F.col("from_a") + F.col("from_b")).alias("hops"))
-    back = cut(total.select("a", "b", "hops", F.col("b").alias("node"), F.col("hops").alias("at"), F.array("b").alias("path")))
+        known.append(on_way.select("pair", "node", "at"))
+    stations = cut(union(known).distinct())
+    total = meet.groupBy("pair").agg(F.min(F.col("from_a") + F.col("from_b")).alias("hops"))
+    back = cut(total.join(pairs.select("pair", F.col("b").alias("node")), "pair").select("pair", "hops", "node", F.col("hops").alias("at"), F.array("node").alias("path")))
     for _ in range(depth):
         going = back.filter("at > 0")
         before = going.join(both.select(F.col("o").alias("node"), F.col("s").alias("before"), "seq"), "node").withColumn("at", F.col("at") - 1)
-        before = before.join(stations.withColumnRenamed("node", "before"), ["a", "b", "before", "at"], "left_semi")
-        best = before.groupBy("a", "b", "hops", "at", "path").agg(F.min_by("before", F.struct("seq", "before")).alias("before"))
-        back = cut(best.select("a", "b", "hops", F.col("before").alias("node"), "at", F.concat(F.array("before"), "path").alias("path")).unionByName(back.filter("at = 0")))
+        before = before.join(stations.withColumnRenamed("node", "before"), ["pair", "before", "at"], "left_semi")
+        # A pair has one path, which all its rows carry.
+        best = before.groupBy("pair", "hops", "at").agg(F.min(F.struct("seq", "before", "path")).alias("x"))
+        back = cut(best.select("pair", "hops", F.col("x.before").alias("node"), "at", F.concat(F.array("x.before"), "x.path").alias("path")).unionByName(back.filter("at = 0")))
         if back.filter("at > 0").isEmpty():
             break
-    return back.filter("at = 0").select("a", "b", F.array_join("path", " > ").alias("path"), "hops")
+    return back.filter("at = 0").join(pairs, "pair").select("a", "b", F.array_join("path", " > ").alias("path"), "hops")
 
 
 def hop_evidence(hops: DataFrame, facts: DataFrame, most: int) -> DataFrame:

@@ -36,7 +36,11 @@ def counted(df: DataFrame, text: str) -> DataFrame:
 
     Spark rates what arrays are exploded to no larger than the file they come from, so by its own estimate it would broadcast that.
     """
-    own = cut(df)
+    return sized(cut(df), text)
+
+
+def sized(own: DataFrame, text: str) -> DataFrame:
+    """`counted` for what is written already."""
     few = own.limit(MOST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("characters")).first()
     return F.broadcast(own) if few["n"] <= MOST_ROWS and few["characters"] <= MOST_CHARACTERS else own.hint("merge")
 

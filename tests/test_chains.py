@@ -121,3 +121,15 @@ def test_only_steps_towards_the_target_are_taken(spark, monkeypatch, most):
     assert [(r["score"], r["hops"], r["path"]) for r in got] == [(1.0, 2, "a > b > t")]
     rounds = [df for df in cuts if {"goal", "node", "before"} <= set(df.columns)]
     assert (max(df.count() for df in rounds) == 1) == (most > 0)
+
+
+def test_meeting_paths_rounds_carry_numbers_and_open_pairs(spark, monkeypatch):
+    """A round's rows name neither end of their pair, and pairs that have met aren't looked at again."""
+    rows, cut = [], chains.cut
+    monkeypatch.setattr(chains, "cut", lambda df: rows.append(cut(df)) or rows[-1])
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", i) for i in range(8)], "s string, o string, seq long")
+    got = chains.meeting_paths(edges, spark.createDataFrame([("n0", "n1"), ("n0", "n5")], "a string, b string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("n0", "n1", "n0 > n1", 1), ("n0", "n5", "n0 > n1 > n2 > n3 > n4 > n5", 5)]
+    sides = [df for df in rows if "back" in df.columns]
+    assert sides and all("a" not in df.columns and "b" not in df.columns for df in sides)
+    assert all(df.select("pair").distinct().count() <= 1 for df in sides[3:])
