@@ -41,3 +41,15 @@ def test_names_of_components_are_not_broadcast(spark, monkeypatch):
     got = {tuple(r) for r in ontology.clusters(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, i // 10 * 10) for i in range(40)}
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_facts_meet_once_in_the_first_round(spark, monkeypatch):
+    """The first round joins a rule's two patterns once, later ones only those whose predicates are new; results are those of the table of rules."""
+    plans, cut = [], rules.cut
+    monkeypatch.setattr(rules, "cut", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or cut(df))
+    some = [r for r in rules.catalogue() if r.name.startswith(("poweredBy", "chargedBy"))]
+    told = [("part", "poweredBy", "maker"), ("maker", "chargedBy", "town"), ("town", "chargedBy", "land")]
+    facts = spark.createDataFrame(told, "s string, p string, o string").withColumn("conf", F.lit(0.9))
+    got = {(r.s, r.p, r.o, r["round"]) for r in rules.propagate(facts, some).collect()}
+    assert got == {(*t, 0) for t in told} | {("part", "poweredBy", "town", 1), ("maker", "chargedBy", "land", 1), ("part", "poweredBy", "land", 2)}
+    assert [p.count("Join Inner") for p in plans[1:]] == [3, 6, 3][: len(plans) - 1]
