@@ -33,10 +33,21 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> int:
-    """Runs what is there in batches, with offsets in `folder`, and ends; how many rows the sources gave."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append", follow: bool = False) -> int:
+    """Runs what is there in batches, with offsets in `folder`, and ends; how many rows the sources gave.
+
+    With `follow` it also takes what its own batches add to the sources, by the same query, until there is nothing new.
+    """
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/offsets")
+    if follow:
+        query = writer.start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    else:
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
     return sum(p.numInputRows for p in query.recentProgress)
 
 

@@ -3,10 +3,15 @@
 Every rule meets every fact once, whichever comes first: both are streams that a two-sided join keeps as state by
 (p, o) and a part of the subjects, as very many facts may share one (p, o); a rule is kept once a part. What is derived is written as a batch's files, and these are a source of the same join, so derived
 facts meet rules too, and none is read twice. No row is looked at again when others arrive later.
+
+Every batch commits all stores of the state, whatever it brings. So a call is one query, which opens them once, commits write
+what changed only, a partition of the join is one store and not four, and there are as many partitions as cores, or LEAST.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,25 @@ DERIVED = "s string, p string, o string, conf double"
 TOLD = "s string, p string, o string, conf double, seq long"
 #: parts that the facts of one (p, o) are dealt over
 PARTS = 32
+#: partitions of the state, where there are fewer cores
+LEAST = 8
+#: commits write changes and not files of RocksDB; a join has one store a partition
+STORES = {"spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.join.stateFormatVersion": "3"}
+
+
+@contextmanager
+def few_stores(spark: SparkSession):
+    """Settings of a stream that is begun here; the session's own come back afterwards. A stream that goes on keeps its partitions."""
+    partitions = "spark.sql.shuffle.partitions"
+    own = {partitions: str(min(int(spark.conf.get(partitions)), max(LEAST, spark.sparkContext.defaultParallelism))), **STORES}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class Knowledge:
@@ -33,40 +57,32 @@ class Knowledge:
         #: rows that the sources gave to the join so far
         self.rows_read = 0
         # The derived facts' own folder must be there before it can be a source.
-        spark.createDataFrame([], DERIVED).write.mode("ignore").parquet(f"{self.folder}/derived/begin")
+        spark.createDataFrame([], DERIVED).write.mode("ignore").parquet(f"{self.folder}/rows/begin/told=false")
 
     def take(self, facts: DataFrame, rules: DataFrame) -> DataFrame:
         """Takes what the streams have, and what follows, until nothing new does; (s, p, o, conf, seq) of all facts so far."""
-        derived = self.spark.readStream.schema(DERIVED).option("recursiveFileLookup", "true").parquet(f"{self.folder}/derived")
+        derived = self.spark.readStream.schema(DERIVED).option("recursiveFileLookup", "true").parquet(f"{self.folder}/rows/*/told=false")
         known = facts.select("s", "p", "o").unionByName(derived.select("s", "p", "o")).dropDuplicates(["s", "p", "o"])
         known = known.withColumn("part", F.pmod(F.xxhash64("s"), F.lit(PARTS)).cast("int"))
         recorded = rules.select("p", "o", "p2", "o2", F.col("weight").cast("double").alias("weight")).dropDuplicates()
         recorded = recorded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         made = known.join(recorded, ["p", "o", "part"]).select("s", F.col("p2").alias("p"), F.col("o2").alias("o"), F.col("weight").alias("conf"), F.lit(None).cast("long").alias("seq"), F.lit(False).alias("told"))
         told = facts.select("s", "p", "o", F.col("conf").cast("double").alias("conf"), F.col("seq").cast("long").alias("seq"), F.lit(True).alias("told"))
-        more = [True]
 
         def each(batch: DataFrame, number: int) -> None:
-            batch = batch.persist()
-            for flag, name in ((True, "told"), (False, "derived")):
-                own = batch.filter(F.col("told") == flag).select("s", "p", "o", "conf", *["seq"] * flag)
-                if not own.isEmpty():
-                    own.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
-                    more[0] = more[0] or not flag
-            batch.unpersist()
+            batch.write.mode("overwrite").partitionBy("told").parquet(f"{self.folder}/rows/batch={number}")
 
-        with rocks(self.spark):
-            while more[0]:
-                # What this pass derives is there for the next one.
-                more[0] = False
-                self.rows_read += ingest.run_available(made.unionByName(told), self.folder, each)
+        # What a batch derives is there for the next one.
+        with rocks(self.spark), few_stores(self.spark):
+            self.rows_read += ingest.run_available(made.unionByName(told), self.folder, each, "append", True)
         return self.facts()
 
     def facts(self) -> DataFrame:
         """Each fact once: told ones with their first confidence by seq, derived ones with their largest weight."""
         reader = self.spark.read.option("recursiveFileLookup", "true")
-        derived = reader.schema(DERIVED).parquet(f"{self.folder}/derived").withColumn("seq", F.lit(None).cast("long"))
-        paths = ingest.children(self.spark, f"{self.folder}/told")
+        of = lambda flag: [x for batch in ingest.children(self.spark, f"{self.folder}/rows") for x in ingest.children(self.spark, batch) if x.endswith(f"/told={flag}")]
+        derived = reader.schema(DERIVED).parquet(*of("false")).withColumn("seq", F.lit(None).cast("long"))
+        paths = of("true")
         every = reader.schema(TOLD).parquet(*paths).unionByName(derived) if paths else derived
         order = F.struct(F.col("seq").isNull(), "seq", -F.col("conf"))
         return every.groupBy("s", "p", "o").agg(F.min_by(F.struct("conf", "seq"), order).alias("x")).select("s", "p", "o", "x.*")

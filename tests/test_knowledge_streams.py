@@ -4,6 +4,7 @@ import datetime
 import random
 import tempfile
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -171,6 +172,26 @@ def test_facts_of_one_object_are_dealt_over_parts(spark, arrivals, monkeypatch):
     assert all("part#" in next(x for x in plan.splitlines() if "Join Inner" in x) for plan in seen)
 
 
+def test_a_call_is_one_query_with_few_stores(spark, arrivals, monkeypatch):
+    """However many partitions the session has and rounds there are: every batch commits every store of the state."""
+    calls, run = [], ingest.run_available
+    monkeypatch.setattr(ingest, "run_available", lambda *given: calls.append(1) or run(*given))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    facts, rules, store = arrivals(), arrivals(), knowledge.Knowledge(spark)
+    facts.put(FACTS, knowledge.TOLD)
+    rules.put(RULES, RULE)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = store.take(facts.stream(), rules.stream())
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24" and spark.conf.get("spark.sql.streaming.join.stateFormatVersion") == "2"
+        assert {(r.s, r.p, r.o, r.conf) for r in got.collect()} == FOLLOWS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    operators = [[p for p in Path(o).iterdir() if p.name.isdigit()] for o in Path(f"{store.folder}/offsets/state".removeprefix("file:")).iterdir()]
+    assert len(calls) == 1 and [len(x) for x in operators] == [max(knowledge.LEAST, spark.sparkContext.defaultParallelism)] * 3
+    assert not [p for x in operators for each in x for p in each.iterdir() if p.name.startswith(("left-", "right-"))]
+
+
 def plain_indexes(facts, weights, signals):
     found = defaultdict(lambda: [0.0, 0])
 
