@@ -26,6 +26,20 @@ def test_ends_are_each_once(spark, monkeypatch, listed):
     assert ends.count() == len({r.a for r in ends.collect()}) if listed > 5 else ends.count() > 13
 
 
+def test_lists_are_packed_and_sides_dealt_once(spark):
+    """Longs of any size come back from their pack; both sides are shuffled once, and only packs are sent to an `a`."""
+    most = 2**63 - 1
+    given = [[], [7], [1, 2, 65_535], [65_535, 65_536], [-65_537, -1, 0, 1, 10**12], [-most - 1, most], list(range(-5, 70_000, 99))]
+    df = spark.createDataFrame([(x,) for x in given], "list array<bigint>")
+    got = df.select("list", rules.packed(F.col("list")).alias("pack")).select("list", rules.unpacked(F.col("pack")).alias("back"), (F.size("pack.rest") > 0).alias("wide"))
+    assert [(r["list"], r.back) for r in got.collect()] == [(x, x) for x in given]
+    assert [bool(r.wide) for r in got.collect()] == [False, False, False, True, True, True, True]
+    ends = rules.chain_ends(spark.range(50).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b")), spark.range(70).select((F.col("id") % 7).alias("b"), F.col("id").alias("c")))
+    plan = ends._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 3 and "Broadcast" not in plan
+    assert {(r.a, *sorted(r.ends)) for r in ends.collect()} == {(a, *range(a % 7, 70, 7)) for a in range(50)}
+
+
 def test_other_shapes_are_joined(spark):
     facts = spark.createDataFrame([("x", "with", "y"), ("x", "in", "z"), ("y", "in", "q")], "s string, p string, o string").withColumn("conf", F.lit(0.9))
     transfer = rules.Rule("t", (("?a", "with", "?b"), ("?a", "in", "?c")), ("?b", "in", "?c"))
