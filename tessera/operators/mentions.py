@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 from ..functions import exprs
 from . import linking
 from .ontology import alias_keys, cut
+from .rules import packed, unpacked
 from .text import words
 
 #: Phrases, and characters of them, that one automaton may hold; more are looked up by a join.
@@ -154,25 +156,52 @@ def relationship_priority(predicate: Column) -> Column:
     return reduce(lambda c, kv: c.when(local.isin(kv[1]), kv[0]), RELATIONSHIP.items(), F.when(F.lit(False), F.lit(0)))
 
 
-def mention_facts(mentions: DataFrame, facts: DataFrame, known: DataFrame, keep: int = 5) -> DataFrame:
-    """(goal, place, priority, line): the first `keep` facts whose ends are aliases of two different mentions (goal, symbol) of a goal.
+def aliases_of(named: DataFrame, known: DataFrame) -> DataFrame:
+    """(mention, symbol): known symbols (symbol, name) under one of the keys of a mention's name (mention, name); ids may be of any type."""
+    return named.select("mention", F.explode(alias_keys(F.col("name"))).alias("name")).join(known, "name").select("mention", "symbol").distinct()
 
-    Only pairs of a goal's mentions are looked up of which the one is a subject and the other an object of such facts. The
-    aliases are made once a symbol, and pairs go straight to the facts without being written.
-    """
-    told = facts.withColumn("priority", relationship_priority(F.col("p"))).filter("priority IS NOT NULL")
+
+def mention_facts(mentions: DataFrame, facts: DataFrame, known: DataFrame, keep: int = 5) -> DataFrame:
+    """(goal, place, priority, line): the first `keep` facts whose ends are aliases of two different mentions (goal, symbol) of a goal."""
     own = mentions.select("goal", F.col("symbol").alias("mention"))
-    aliases = cut(own.select("mention").distinct().select("mention", F.explode(alias_keys(F.col("mention"))).alias("symbol")).join(known.select("symbol").distinct(), "symbol", "left_semi").select("mention", "symbol"))
+    named = own.select("mention", F.col("mention").alias("name")).distinct()
+    return lines_between(own, aliases_of(named, known.select("symbol", F.col("symbol").alias("name")).distinct()), facts, keep=keep)
 
-    def standing(end: str, name: str) -> DataFrame:
-        named = aliases.withColumnRenamed("symbol", end).join(told.select(end).distinct(), end, "left_semi")
-        return own.join(named, "mention").select("goal", F.col("mention").alias(name), end).repartition("goal").distinct()
 
-    pairs = standing("s", "m1").join(standing("o", "m2"), "goal").filter("m1 <> m2").select("goal", "s", "o")
-    lines = told.groupBy("s", "o", F.concat_ws(" ", "s", "p", "o").alias("line")).agg(F.min("priority").alias("priority"), F.min("seq").alias("seq"))
+#: facts of a subject that a goal's objects are held against
+LISTED = 10_000
+
+
+def lines_between(mentions: DataFrame, aliases: DataFrame, facts: DataFrame, name: Callable[[Column], Column] = lambda x: x, keep: int = 5) -> DataFrame:
+    """`mention_facts` of mentions (goal, mention), their aliases (mention, symbol) and facts (s, p, o, seq), with ids of any type, of which `name` makes symbols.
+
+    Only aliases that are ends of such facts count. A goal asks each subject among them for all objects of its other mentions at
+    once, so there is no row per pair; where a subject has more than LISTED facts, pairs are looked up.
+    """
+    told = facts.withColumn("priority", relationship_priority(F.col("p"))).filter("priority IS NOT NULL").select("s", "o", "p", "priority", "seq")
+    end = lambda name, first: F.struct(F.col(name).alias("symbol"), F.lit(first).alias("first"))
+    ends = told.select(F.explode(F.array(end("s", True), end("o", False))).alias("x")).groupBy("x.symbol").agg(F.count_if("x.first").alias("n"), F.bool_or(~F.col("x.first")).alias("second"))
+    marked = cut(aliases.join(ends, "symbol").select("mention", "symbol", "n", "second"))
+    most = marked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    # What is shuffled: 1 for a subject, 2 for an object, 3 for both, and no mention where it is its own alias.
+    side = (F.when(F.col("n") > 0, 1).otherwise(0) + F.when(F.col("second"), 2).otherwise(0)).cast("tinyint")
+    same = dict(marked.dtypes)["mention"] == dict(marked.dtypes)["symbol"]
+    alias = mentions.join(marked.select("mention", "symbol", side.alias("side")), "mention").select("goal", F.when(F.col("mention") != F.col("symbol"), F.col("mention")).alias("mention") if same else "mention", "symbol", "side").repartition("goal")
+    goals = alias.groupBy("goal").agg(F.collect_set(F.struct(F.coalesce("mention", "symbol").alias("mention") if same else "mention", "symbol", "side")).alias("all"))
+    each = goals.select("goal", "all", F.explode(F.filter("all", lambda x: x["side"] != 2)).alias("x"))
+    others = F.filter("all", lambda y: (y["side"] != 1) & (y["mention"] != F.col("x.mention")))
+    asked = each.select("goal", F.col("x.symbol").alias("s"), F.array_distinct(F.transform(others, lambda y: y["symbol"])).alias("os")).filter(F.size("os") > 0)
+    by, lines = ("s",) if most <= LISTED else ("s", "o"), ["s", "o", "p", "priority"]
+    there = told.repartition(*by).groupBy(*lines).agg(F.min("seq").alias("seq")).hint("merge")
+    if most <= LISTED:
+        longs = dict(asked.dtypes)["os"] == "array<bigint>"
+        asked = asked.withColumn("os", packed(F.sort_array("os")) if longs else F.col("os")).repartition("s").withColumn("os", unpacked(F.col("os")) if longs else F.col("os"))
+        met = asked.join(there, "s").filter(F.array_contains("os", F.col("o")))
+    else:
+        met = asked.select("goal", "s", F.explode("os").alias("o")).join(there, ["s", "o"])
     order = Window.partitionBy("goal").orderBy("priority", "seq", "line")
-    met = pairs.join(lines, ["s", "o"]).select("goal", "line", "priority", "seq").distinct()
-    return met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("goal", "place", "priority", "line")
+    found = met.select("goal", *lines, "seq").repartition("goal").select("goal", F.concat_ws(" ", name(F.col("s")), "p", name(F.col("o"))).alias("line"), "priority", "seq").distinct()
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("goal", "place", "priority", "line")
 
 
 def nearest_states(texts: DataFrame, resources: DataFrame, markers: DataFrame) -> DataFrame:

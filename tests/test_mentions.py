@@ -4,6 +4,7 @@ import random
 import re
 from functools import partial
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import answers, linking, mentions, ontology, query
@@ -125,6 +126,41 @@ def test_mention_facts_write_no_pairs(spark, monkeypatch):
     assert max(written, default=0) <= 120
 
 
+def rows_shuffled(df):
+    """Rows of the largest shuffle of a query."""
+    df.collect()
+    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_mention_facts_shuffle_no_pairs(spark, monkeypatch, kind):
+    """20 goals of 30 subjects and 30 objects: a row per mention is shuffled, not one per pair, by names or by numbers; pairs do as well."""
+    end = lambda x: f"({x})" if kind == "long" else f"concat('entity:x', {x})"
+    facts = spark.range(30).selectExpr(f"{end('id * 70000')} AS s", "'with' AS p", f"{end('(id + 1) % 30 * 70000 + 1')} AS o", "id AS seq").union(spark.sql(f"SELECT {end('0')}, 'powers', {end('1')}, 0L"))
+    said = spark.range(1200).selectExpr("id div 60 AS goal", f"{end('id % 60 div 2 * 70000 + id % 2')} AS mention")
+    aliases = said.select("mention", F.col("mention").alias("symbol")).distinct()
+    assert aliases.count() == 60
+    name = (lambda x: F.concat(F.lit("entity:x"), x.cast("string"))) if kind == "long" else lambda x: x
+    expected = [(g, i + 1, f"entity:x{i * 70000} with entity:x{(i + 1) * 70000 + 1}") for g in range(20) for i in range(5)]
+    for most in (10_000, 0):
+        monkeypatch.setattr(mentions, "LISTED", most)
+        df = mentions.lines_between(said, aliases, facts, name)
+        assert sorted((r.goal, r.place, r.line) for r in df.collect()) == expected
+        assert (rows_shuffled(df) <= 1200) == (most > 0)
+
+
 def test_ngram_tags_never_broadcast_the_texts(spark, monkeypatch):
     """A small dictionary is broadcast, a large one is not; what is exploded from the texts never is, however small their file."""
     texts = spark.range(300).selectExpr("id AS key", "concat('say big ring ', id, ' or ring') AS text")
