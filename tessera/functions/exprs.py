@@ -55,11 +55,15 @@ def has_loss(symbol: Column) -> Column:
 
 def specificity(symbol: Column) -> Column:
     """1.0 for entities and 0.5 for concepts, up to 0.4 for tokens, less for containers and losses."""
-    own = tokens(symbol)
     base = F.when(symbol.startswith("concept:"), 0.5).otherwise(1.0)
-    containers = F.size(F.filter(own, lambda t: t.isin(CONTAINER_TOKENS)))
-    losses = F.size(F.filter(own, lambda t: t.startswith("loss")))
-    return base + F.least(F.lit(0.4), 0.05 * F.size(own)) - 0.35 * containers - 0.3 * losses
+
+    def rated(own: Column) -> Column:
+        containers = F.size(F.filter(own, lambda t: t.isin(CONTAINER_TOKENS)))
+        losses = F.size(F.filter(own, lambda t: t.startswith("loss")))
+        return base + F.least(F.lit(0.4), 0.05 * F.size(own)) - 0.35 * containers - 0.3 * losses
+
+    # The tokens are made once and not for each of their three uses.
+    return F.get(F.transform(F.array(tokens(symbol)), rated), F.lit(0))
 
 
 def boolean_concept(symbol: Column) -> Column:

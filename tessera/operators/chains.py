@@ -163,7 +163,7 @@ def meeting_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFra
     known = [seen.filter("NOT back").join(found, "pair", "left_semi").select("pair", "node", F.col("dist").alias("at"))]
     b_side = cut(seen.filter("back").join(found, "pair", "left_semi").select("pair", "node", F.col("dist").alias("left")))
     for _ in range(depth):
-        ahead = on_way.filter("left > 0").join(both.select(F.col("s").alias("node"), F.col("o").alias("next")), "node").select("pair", F.col("next").alias("node"), (F.col("at") + 1).alias("at"), (F.col("left") - 1).alias("left"))
+        ahead = sized(on_way.filter("left > 0"), "node").join(both.select(F.col("s").alias("node"), F.col("o").alias("next")), "node").select("pair", F.col("next").alias("node"), (F.col("at") + 1).alias("at"), (F.col("left") - 1).alias("left"))
         on_way = cut(ahead.join(b_side, ["pair", "node", "left"], "left_semi").distinct())
         if on_way.isEmpty():
             break
@@ -172,7 +172,7 @@ def meeting_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFra
     total = meet.groupBy("pair").agg(F.min(F.col("from_a") + F.col("from_b")).alias("hops"))
     back = cut(total.join(pairs.select("pair", F.col("b").alias("node")), "pair").select("pair", "hops", "node", F.col("hops").alias("at"), F.array("node").alias("path")))
     for _ in range(depth):
-        going = back.filter("at > 0")
+        going = sized(back.filter("at > 0"), F.array_join("path", ""))
         before = going.join(both.select(F.col("o").alias("node"), F.col("s").alias("before"), "seq"), "node").withColumn("at", F.col("at") - 1)
         before = before.join(stations.withColumnRenamed("node", "before"), ["pair", "before", "at"], "left_semi")
         # A pair has one path, which all its rows carry.

@@ -162,12 +162,11 @@ def dispatch(goals: DataFrame, branches: list[tuple[str | None, DataFrame]]) ->
     """(goal, answer, tier): each goal's answer by the first branch that has one.
 
     goals (goal, cue); a branch (goal, answer) with a cue speaks only to goals of that cue.
-    The goals are met once, by what is least of each goal and cue, and not once a branch.
+    Answers and goals are dealt by goal once and sorted once: the least of a text has to be sorted for, before and after a shuffle if it is summed up before.
     """
     own = [branch.select("goal", F.lit(cue).cast("string").alias("needs"), F.lit(tier).alias("tier"), "answer") for tier, (cue, branch) in enumerate(branches)]
-    least = reduce(DataFrame.unionByName, own).groupBy("goal", "needs").agg(F.min(F.struct("tier", "answer")).alias("x"))
-    asked = least.join(goals.select("goal", "cue"), "goal").filter("needs IS NULL OR needs = cue")
-    return asked.groupBy("goal").agg(F.min("x").alias("x")).select("goal", "x.answer", "x.tier")
+    asked = reduce(DataFrame.unionByName, own).repartition("goal").join(goals.select("goal", "cue").repartition("goal").hint("merge"), "goal").filter("needs IS NULL OR needs = cue")
+    return asked.groupBy("goal").agg(F.min(F.struct("tier", "answer")).alias("x")).select("goal", "x.answer", "x.tier")
 
 
 def richer_chain(structured: DataFrame, explained: DataFrame, ruled: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def counted(df: DataFrame, text: str) -> DataFrame:
     return sized(cut(df), text)
 
 
-def sized(own: DataFrame, text: str) -> DataFrame:
+def sized(own: DataFrame, text: str | F.Column) -> DataFrame:
     """`counted` for what is written already."""
     few = own.limit(MOST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("characters")).first()
     return F.broadcast(own) if few["n"] <= MOST_ROWS and few["characters"] <= MOST_CHARACTERS else own.hint("merge")

@@ -399,10 +399,11 @@ UNION ALL SELECT 'entity:order_' || o_orderkey, ['contrast', 'survivors', 'why']
 UNION ALL SELECT DISTINCT 'entity:user_' || user_id, ['ruled_out', 'why'][user_id % 2 + 1] FROM events"""
 
 
-def lookups(t: Tables, asked) -> dict:
+def lookups(t: Tables, asked, only: tuple[str, ...] | None = None) -> dict:
     """Answers (goal, answer) that both dispatches choose from.
 
     Paths are searched, and suppliers counted, only for those that `asked` (goal, cue) asks for them; of a part's lines only the first is made.
+    With `only` no other branch is begun: searches write their rounds, whether their answers are read or not.
     """
     user = facts.symbol("user", F.col("goal")).alias("goal")
     of = lambda cue: asked.filter(F.col("cue") == cue)
@@ -410,20 +411,21 @@ def lookups(t: Tables, asked) -> dict:
     orders = of("contrast").select(F.regexp_extract("goal", r"^entity:order_(\d+)$", 1).try_cast("long").alias("l_orderkey"))
     line = F.concat_ws(" ", "s", "p", "o").alias("line")
     lines = facts.order_requires(t).select(F.col("o").alias("goal"), F.lit(0).alias("tier"), line).unionByName(facts.part_with_supplier(t).select(F.col("s").alias("goal"), F.lit(1).alias("tier"), line))
-    return {
-        "backup": backup_lookup(t).join(resource_availability(t).filter("state = -1"), F.col("part") == F.col("node"), "left_semi").select(F.col("part").alias("goal"), F.col("backup").alias("answer")),
-        "signal": signals(t).filter("weight > 0.4").select(F.col("target").alias("goal"), F.col("signal").alias("answer")),
-        "dependents": dependents(t).select(F.col("resource").alias("goal"), F.col("first").alias("answer")),
-        "relation": chains.meeting_paths(edges, pairs.join(of("relation").select(F.col("goal").alias("a")), "a", "left_semi")).select(F.col("a").alias("goal"), F.col("path").alias("answer")),
-        "ruled_out": ruled_out(t).select(user, F.col("failure").alias("answer")),
-        "contrast": contrasts(t, t.lineitem.join(orders, "l_orderkey", "left_semi")).select(F.col("dependent").alias("goal"), F.concat_ws(" of ", F.col("suppliers").cast("string"), F.col("parts").cast("string")).alias("answer")),
-        "condition": condition_contrast(t).select(F.col("resource").alias("goal"), F.concat_ws(" to ", "first", "last").alias("answer")),
-        "predicate": lines.groupBy("goal").agg(F.min(F.struct("tier", "line"))["line"].alias("answer")),
-        "structured": structured_chain(t).select(user, F.col("chain").alias("answer")),
-        "forward": forward_best_path(t).groupBy(F.col("start").alias("goal")).agg(F.max_by("node", F.struct("score", "node")).alias("answer")),
-        "ancestry": rule_ancestry(t).select(F.col("target").alias("goal"), F.col("cause").alias("answer")),
-        "survivors": survivors(t).select(F.col("dependent").alias("goal"), F.lit("survives").alias("answer")),
+    every = {
+        "backup": lambda: backup_lookup(t).join(resource_availability(t).filter("state = -1"), F.col("part") == F.col("node"), "left_semi").select(F.col("part").alias("goal"), F.col("backup").alias("answer")),
+        "signal": lambda: signals(t).filter("weight > 0.4").select(F.col("target").alias("goal"), F.col("signal").alias("answer")),
+        "dependents": lambda: dependents(t).select(F.col("resource").alias("goal"), F.col("first").alias("answer")),
+        "relation": lambda: chains.meeting_paths(edges, pairs.join(of("relation").select(F.col("goal").alias("a")), "a", "left_semi")).select(F.col("a").alias("goal"), F.col("path").alias("answer")),
+        "ruled_out": lambda: ruled_out(t).select(user, F.col("failure").alias("answer")),
+        "contrast": lambda: contrasts(t, t.lineitem.join(orders, "l_orderkey", "left_semi")).select(F.col("dependent").alias("goal"), F.concat_ws(" of ", F.col("suppliers").cast("string"), F.col("parts").cast("string")).alias("answer")),
+        "condition": lambda: condition_contrast(t).select(F.col("resource").alias("goal"), F.concat_ws(" to ", "first", "last").alias("answer")),
+        "predicate": lambda: lines.groupBy("goal").agg(F.min(F.struct("tier", "line"))["line"].alias("answer")),
+        "structured": lambda: structured_chain(t).select(user, F.col("chain").alias("answer")),
+        "forward": lambda: forward_best_path(t).groupBy(F.col("start").alias("goal")).agg(F.max_by("node", F.struct("score", "node")).alias("answer")),
+        "ancestry": lambda: rule_ancestry(t).select(F.col("target").alias("goal"), F.col("cause").alias("answer")),
+        "survivors": lambda: survivors(t).select(F.col("dependent").alias("goal"), F.lit("survives").alias("answer")),
     }
+    return {name: make() for name, make in every.items() if only is None or name in only}
 
 
 def lookup_sql() -> dict[str, str]:
@@ -476,13 +478,14 @@ PLACED_SQL = GOALS_SQL + " UNION ALL SELECT 'entity:customer_' || c_custkey, 'wh
 def relation_dispatch(t: Tables):
     """Signals, survivors, dependency list, relationship, ranked answers, direct facts, direct rules, places, Unknown."""
     asked = goals(t).unionByName(t.customer.select(facts.symbol("customer", F.col("c_custkey")).alias("goal"), F.lit("why").alias("cue")))
-    found = lookups(t, asked)
+    cued = ("signal", "survivors", "dependents", "relation")
+    found = lookups(t, asked, cued)
     named = lambda kind, df: df.select(facts.symbol(kind, F.col("goal_id")).alias("goal"), "answer")
     plain = [
         named("part", answer_queries.best_answer(t)), named("order", answer_queries.direct_relation(t)), named("event", answer_queries.direct_rule(t)),
         facts.places(t).select(F.col("s").alias("goal"), F.col("o").alias("answer")), asked.select("goal", F.lit("Unknown").alias("answer")),
     ]
-    return dia.dispatch(asked, [(n, found[n]) for n in ("signal", "survivors", "dependents", "relation")] + [(None, df) for df in plain])
+    return dia.dispatch(asked, [(n, found[n]) for n in cued] + [(None, df) for df in plain])
 
 
 @query(
